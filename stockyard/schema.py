@@ -32,7 +32,7 @@ NUMERIC_COLUMNS = [f.name for f in FACT_SCHEMA if isinstance(f.dataType, T.Numer
 STRING_COLUMNS = [f.name for f in FACT_SCHEMA if isinstance(f.dataType, T.StringType)]
 
 # Physical partition column of the stored fact: first day of the month of `date`.
-MONTH = "month"
+MONTH = "date_month"
 
 # Lookup table -> (fact column, surrogate id, name column).
 LOOKUPS = {
