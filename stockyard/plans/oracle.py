@@ -138,8 +138,8 @@ def describe(columns, table):
       SELECT column_name, COUNT(v) AS count, CAST(SUM(h) AS DOUBLE) / 100 / COUNT(v) AS mean,
         ROUND(SQRT(CAST(CAST(COUNT(v) AS HUGEINT) * SUM(h * h) - SUM(h) * SUM(h) AS DOUBLE)
           / NULLIF(CAST(COUNT(v) AS DOUBLE) * (CAST(COUNT(v) AS DOUBLE) - 1), 0) / 10000), 9) AS std,
-        MIN(v) AS min, QUANTILE_CONT(v, 0.25) AS p25, QUANTILE_CONT(v, 0.5) AS p50,
-        QUANTILE_CONT(v, 0.75) AS p75, MAX(v) AS max
+        MIN(v) AS min, ROUND(QUANTILE_CONT(v, 0.25), 9) AS p25, ROUND(QUANTILE_CONT(v, 0.5), 9) AS p50,
+        ROUND(QUANTILE_CONT(v, 0.75), 9) AS p75, MAX(v) AS max
       FROM (SELECT column_name, v, CAST(ROUND(v * 100) AS HUGEINT) AS h FROM ({unpivoted(columns, 'DOUBLE', table)}))
       GROUP BY column_name"""
 
@@ -371,14 +371,15 @@ TYPE_ROWS = [
 FACT_ROWS = f"SELECT {COLUMNS} FROM fact"
 RAW_ROWS = f"SELECT {COLUMNS} FROM raw"
 OUTLIERS = f"""
-  SELECT column_name, q1, q3, lower_bound, upper_bound,
+  SELECT column_name, ROUND(q1, 9) AS q1, ROUND(q3, 9) AS q3, ROUND(lower_bound, 9) AS lower_bound,
+    ROUND(upper_bound, 9) AS upper_bound,
     COUNT(*) FILTER (WHERE v < lower_bound OR v > upper_bound) AS outlier_count,
     CAST(100 AS DOUBLE) * COUNT(*) FILTER (WHERE v < lower_bound OR v > upper_bound) / COUNT(*) AS outlier_pct
   FROM ({unpivoted(NUMBERS, 'DOUBLE', 'raw')}) JOIN (
     SELECT column_name, q1, q3, q1 - 1.5::DOUBLE * (q3 - q1) AS lower_bound, q3 + 1.5::DOUBLE * (q3 - q1) AS upper_bound
     FROM (SELECT column_name, QUANTILE_CONT(v, 0.25) AS q1, QUANTILE_CONT(v, 0.75) AS q3
           FROM ({unpivoted(NUMBERS, 'DOUBLE', 'raw')}) GROUP BY column_name)) USING (column_name)
-  GROUP BY column_name, q1, q3, lower_bound, upper_bound"""
+  GROUP BY ALL"""
 
 KPI_ROWS = [
     ("Total Observations", "CAST(COUNT(*) AS DOUBLE)"), ("Total Units Sold", "CAST(SUM(units_sold) AS DOUBLE)"),

@@ -32,6 +32,11 @@ def _flat(inv):
     return inv.fact.select(*S.FACT_COLUMNS)
 
 
+def _round9(df, *columns):
+    """Interpolated and square-root values to 9 places: engines differ in the last bit."""
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
 def _keyed(df, *columns):
     return df.select(*KEYS, *columns)
 
@@ -478,7 +483,7 @@ def select_dtypes(inv):
 
 @query()
 def describe_numeric(inv):
-    return quality.describe_numeric(inv.raw).withColumn("std", F.round("std", 9))
+    return _round9(quality.describe_numeric(inv.raw), "std", "p25", "p50", "p75")
 
 
 @query()
@@ -488,12 +493,12 @@ def describe_strings(inv):
 
 @query()
 def numeric_summary(inv):
-    return quality.numeric_summary(inv.raw)
+    return _round9(quality.numeric_summary(inv.raw), "median")
 
 
 @query()
 def iqr_outliers(inv):
-    return quality.iqr_outliers(inv.raw)
+    return _round9(quality.iqr_outliers(inv.raw), "q1", "q3", "lower_bound", "upper_bound")
 
 
 @query()
@@ -523,7 +528,7 @@ def negative_forecast_by_promotion(inv):
 
 @query()
 def negative_forecast_described(inv):
-    return quality.negative_forecast_described(inv.raw).withColumn("std", F.round("std", 9))
+    return _round9(quality.negative_forecast_described(inv.raw), "std", "p25", "p50", "p75")
 
 
 @query()
