@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stockyard import params as P
 
 LEVEL, FORECAST, SOLD, ORDERED = "inventory_level", "demand_forecast", "units_sold", "units_ordered"
+RISK = "inventory_risk"
 
 
 def _times(forecast, factor):

@@ -1,8 +1,12 @@
 """Aggregate expressions.
 
-Averages are ``exact total / count``: integers and decimals are summed exactly
-and only the total becomes a double. The result does not depend on the order in
-which partitions merge, so a retried task cannot change it.
+Averages are ``exact total / count``: totals are whole numbers (money in whole
+hundredths), and only the total becomes a double. The result does not depend on the
+order in which partitions merge, so a retried task cannot change it.
+
+Money is decimal(10,2). Summing it as decimal takes a 20-digit buffer and squaring
+an error takes arbitrary-precision arithmetic per row; hundredths in a bigint are
+as exact and stay in primitive code. An overflow raises.
 """
 
 from pyspark.sql import Column
@@ -10,16 +14,27 @@ from pyspark.sql import functions as F
 
 from stockyard.functions import classify as C
 
+MONEY_COLUMNS = {"demand_forecast", "price", "competitor_pricing"}
+
 
 def rows() -> Column:
     return F.count(F.lit(1))
 
 
+def hundredths(money) -> Column:
+    return F.rint(F.col(money).cast("double") * 100).cast("bigint")
+
+
 def mean(value) -> Column:
-    value = F.col(value) if isinstance(value, str) else value
+    if value in MONEY_COLUMNS:
+        return mean_of_hundredths(hundredths(value))
     return F.try_divide(F.sum(value).cast("double"), F.count(value))
 
 
+def mean_of_hundredths(value) -> Column:
+    return F.try_divide(F.sum(value).cast("double") / 100, F.count(value))
+
+
 def ratio(top, bottom) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 
@@ -29,29 +44,37 @@ def percent(condition, base=None) -> Column:
     return F.try_divide(F.lit(100.0) * F.count_if(condition), rows() if base is None else base)
 
 
-def tier_percent(position, cuts=C.P.CANONICAL_CUTS) -> Column:
-    return percent(C.risk_tier(cuts) == C.P.RISK_TIERS[position])
+def tier_percent(position) -> Column:
+    """Needs the tier column, so that a row is classified once, not once per tier."""
+    return percent(F.col(C.RISK) == C.P.RISK_TIERS[position])
 
 
 def turnover() -> Column:
     return F.try_divide(mean(C.SOLD), mean(C.LEVEL))
 
 
+def _error() -> Column:
+    return F.col(C.SOLD).cast("bigint") * 100 - hundredths(C.FORECAST)
+
+
+def _surplus() -> Column:
+    return F.col(C.LEVEL).cast("bigint") * 100 - hundredths(C.FORECAST)
+
+
 def mean_absolute_error() -> Column:
-    return mean(F.abs(C.forecast_error()))
+    return mean_of_hundredths(F.abs(_error()))
 
 
 def root_mean_square_error() -> Column:
-    error = C.forecast_error()
-    return F.sqrt(mean(error * error))
+    error = _error()
+    squares = F.sum((error * error).cast("decimal(19,0)")).cast("double")
+    return F.sqrt(F.try_divide(squares / 10000, F.count(error)))
 
 
 def mean_absolute_percentage_error() -> Column:
     """Rows without sales are left out. A mean of ratios: rounded to 6 places."""
-    share = F.try_divide(
-        F.abs(C.forecast_error()).cast("double"), F.nullif(F.col(C.SOLD), F.lit(0)).cast("double")
-    )
-    return F.round(F.avg(share) * 100, 6)
+    share = F.try_divide(F.abs(_error()).cast("double"), F.col(C.SOLD).cast("double"))
+    return F.round(F.avg(share), 6)
 
 
 def mean_coverage() -> Column:
@@ -110,8 +133,8 @@ MEASURES = {
     "mae": mean_absolute_error,
     "rmse": root_mean_square_error,
     "mape": mean_absolute_percentage_error,
-    "avg_inventory_gap": lambda: mean(F.col(C.FORECAST) - F.col(C.LEVEL)),
-    "avg_inventory_surplus": lambda: mean(F.col(C.LEVEL) - F.col(C.FORECAST)),
+    "avg_inventory_gap": lambda: mean_of_hundredths(-_surplus()),
+    "avg_inventory_surplus": lambda: mean_of_hundredths(_surplus()),
 }
 
 

@@ -71,7 +71,7 @@ def inventory_coverage(df, by=()):
 
 
 def overview_kpis(df):
-    return df.agg(
+    return with_risk(df).agg(
         M.mean(C.LEVEL).alias("avg_inventory"),
         F.sum(C.SOLD).alias("total_units_sold"),
         F.sum(C.ORDERED).alias("total_units_ordered"),
@@ -109,7 +109,7 @@ def kpi_summary(df):
 # --- risk -------------------------------------------------------------------
 
 
-def with_risk(df: DataFrame, cuts=P.CANONICAL_CUTS, into="inventory_risk"):
+def with_risk(df: DataFrame, cuts=P.CANONICAL_CUTS, into=C.RISK):
     return df.withColumn(into, C.risk_tier(cuts))
 
 
@@ -132,7 +132,7 @@ def risk_distribution(df: DataFrame, valid_only=True, cuts=P.CANONICAL_CUTS):
 def risk_by(df: DataFrame, by, extra=()):
     head, *tail = SEGMENT_RISK
     return report(
-        df, by, [head, *extra, *tail],
+        with_risk(df), by, [head, *extra, *tail],
         where=F.col(C.FORECAST) > 0, order=[("understocked_pct", "desc")],
     )
 

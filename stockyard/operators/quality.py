@@ -218,7 +218,7 @@ def describe_numeric(df: DataFrame, columns=S.NUMERIC_COLUMNS):
     """
     histogram = value_histogram(df, columns)
     # Moments in whole hundredths, exact in 38 digits; an overflow would raise, not wrap.
-    exact = F.round(F.col("value") * 100).cast("decimal(12,0)")
+    exact = F.rint(F.col("value") * 100).cast("decimal(12,0)")
     weight = F.col("n").cast("decimal(14,0)")
     moments = histogram.groupBy("name").agg(
         F.sum("n").alias("count"),

@@ -161,15 +161,10 @@ def trend_reorder_point(
 
 
 def publish_daily_reorder(df: DataFrame, path, as_of):
-    """Write one day's triggered rows; a rerun replaces that day's partition only."""
-    snapshot = latest_snapshot(df, as_of)
-    (
-        daily_reorder(snapshot)
-        .write.partitionBy("date")
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .parquet(path)
-    )
-    return path
-
+    """Write one day's triggered rows as the partition of that day.
 
+    A rerun replaces exactly that partition, also when nothing is triggered any more.
+    """
+    orders = daily_reorder(latest_snapshot(df, as_of)).drop("date")
+    orders.write.mode("overwrite").parquet(f"{path}/date={as_of}")
+    return path

@@ -1,11 +1,12 @@
 """Point-in-time and trailing-window views of the fact.
 
 The latest date is a scalar subquery, which Spark evaluates first and pushes into
-the scan as a literal. A stored fact carries a month partition column; the same
-bound on it prunes whole partitions.
+the scan as a literal. A stored fact carries a month or year partition column; the
+same bound on it prunes whole partitions.
 """
 
 import datetime
+import operator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,16 +28,21 @@ def reference_date(df: DataFrame, as_of=None, shape=lambda day: day):
     return shape(F.lit(as_of))
 
 
-def _month(day):
-    return F.trunc(day, "MM")
+def _compare(df, as_of, op, shift=lambda day: day):
+    """``op(date, reference)``, with the same bound on the partition column if stored."""
+    rows = df.filter(op(F.col("date"), reference_date(df, as_of, shift)))
+    for column, unit in S.GRAINS.items():
+        if column in df.columns:
+            # A strict date bound still needs the period the bound falls in.
+            loose = {operator.gt: operator.ge}.get(op, op)
+            period = reference_date(df, as_of, lambda day, u=unit: F.trunc(shift(day), u))
+            rows = rows.filter(loose(F.col(column), period))
+    return rows
 
 
 def latest_snapshot(df: DataFrame, as_of=None):
     """Rows of the latest date, or of ``as_of``."""
-    rows = df.filter(F.col("date") == reference_date(df, as_of))
-    if S.MONTH in df.columns:
-        rows = rows.filter(F.col(S.MONTH) == reference_date(df, as_of, _month))
-    return rows
+    return _compare(df, as_of, operator.eq)
 
 
 def trailing_window(df: DataFrame, days=P.TRAILING_DAYS, as_of=None):
@@ -44,16 +50,5 @@ def trailing_window(df: DataFrame, days=P.TRAILING_DAYS, as_of=None):
 
     With ``as_of`` the rows after it are left out.
     """
-    def start(day):
-        return F.date_sub(day, days)
-
-    rows = df.filter(F.col("date") > reference_date(df, as_of, start))
-    if S.MONTH in df.columns:
-        rows = rows.filter(
-            F.col(S.MONTH) >= reference_date(df, as_of, lambda day: _month(start(day)))
-        )
-    if as_of is not None:
-        rows = rows.filter(F.col("date") <= reference_date(df, as_of))
-        if S.MONTH in df.columns:
-            rows = rows.filter(F.col(S.MONTH) <= reference_date(df, as_of, _month))
-    return rows
+    rows = _compare(df, as_of, operator.gt, lambda day: F.date_sub(day, days))
+    return rows if as_of is None else _compare(rows, as_of, operator.le)

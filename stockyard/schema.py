@@ -31,8 +31,9 @@ KEYS = ["date", "store_id", "product_id"]
 NUMERIC_COLUMNS = [f.name for f in FACT_SCHEMA if isinstance(f.dataType, T.NumericType)]
 STRING_COLUMNS = [f.name for f in FACT_SCHEMA if isinstance(f.dataType, T.StringType)]
 
-# Physical partition column of the stored fact: first day of the month of `date`.
-MONTH = "date_month"
+# Physical partition columns of a stored fact: first day of the period of `date`.
+GRAINS = {"date_month": "MM", "date_year": "YY"}
+MONTH, YEAR = GRAINS
 
 # Lookup table -> (fact column, surrogate id, name column).
 LOOKUPS = {

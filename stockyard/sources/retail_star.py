@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stockyard import schema as S
 from stockyard.operators.cleaning import clean
 from stockyard.session import shared_dir, work_path
-from stockyard.sources.tables import read_partitioned, write_partitioned
+from stockyard.sources.tables import grain_for, read_partitioned, write_partitioned
 
 BASE_TABLES = ["lineitem", "orders", "customer", "nation", "region", "supplier", "part"]
 # Columns that order the copies of a business key; kept in the staging table.
@@ -114,7 +114,11 @@ def raw_rows(spark, folder):
 
 def _fingerprint(spark, folder):
     """Name, size and time of every base file, as one number."""
-    files = spark.read.format("binaryFile").load([f"{folder}/{t}.parquet" for t in BASE_TABLES])
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load([f"{folder}/{t}.parquet" for t in BASE_TABLES])
+    )
     stamp = F.xxhash64("path", "length", "modificationTime")
     row = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(stamp)).first()
     return tuple(row)
@@ -131,18 +135,22 @@ def load(spark, folder) -> Inventory:
         lineage = raw_rows(spark, folder)
         return Inventory(lineage.select(*S.FACT_COLUMNS), lineage, clean(lineage, tie_break=LINEAGE))
     with _lock:
-        key = (spark.sparkContext.applicationId, folder, _fingerprint(spark, folder))
+        stamp = _fingerprint(spark, folder)
+        key = (spark.sparkContext.applicationId, folder, stamp)
         if key not in _stored:
-            _stored[key] = _store(spark, folder)
-        lineage_path, schema, fact_path = _stored[key]
+            _stored[key] = _store(spark, folder, grain_for(stamp[1]))
+        lineage_path, schema, fact_path, grain = _stored[key]
     lineage = spark.read.schema(schema).parquet(lineage_path)
-    return Inventory(lineage.select(*S.FACT_COLUMNS), lineage, read_partitioned(spark, fact_path))
+    return Inventory(
+        lineage.select(*S.FACT_COLUMNS), lineage, read_partitioned(spark, fact_path, grain)
+    )
 
 
-def _store(spark, folder):
+def _store(spark, folder, grain):
     lineage = raw_rows(spark, folder)
     lineage_path = work_path(spark, "staging")
     lineage.write.parquet(lineage_path)
     lineage = spark.read.schema(lineage.schema).parquet(lineage_path)
-    fact_path = write_partitioned(clean(lineage, tie_break=LINEAGE), work_path(spark, "fact"))
-    return lineage_path, lineage.schema, fact_path
+    fact = clean(lineage, tie_break=LINEAGE)
+    fact_path = write_partitioned(fact, work_path(spark, "fact"), grain)
+    return lineage_path, lineage.schema, fact_path, grain

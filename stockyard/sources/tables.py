@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockyard import schema as S
 from stockyard.session import work_path
@@ -72,28 +73,33 @@ def load_fact(df: DataFrame, table=FACT_TABLE, expected_rows=None):
     return loaded
 
 
-def write_partitioned(df: DataFrame, path):
-    """Store the fact by month of date, files of even size, sorted by date inside.
+def write_partitioned(df: DataFrame, path, grain=S.MONTH):
+    """Store the fact by month (or year) of date, files of even size, sorted by date.
 
-    REBALANCE lets adaptive execution split a month that holds much of the data and
+    REBALANCE lets adaptive execution split a period that holds much of the data and
     merge small ones, so neither tiny files nor one huge task results.
     """
     (
-        df.withColumn(S.MONTH, F.trunc("date", "MM"))
-        .hint("rebalance", S.MONTH)
-        .sortWithinPartitions(S.MONTH, "date")
-        .write.partitionBy(S.MONTH)
+        df.withColumn(grain, F.trunc("date", S.GRAINS[grain]))
+        .hint("rebalance", grain)
+        .sortWithinPartitions(grain, "date")
+        .write.partitionBy(grain)
         .mode("overwrite")
         .parquet(path)
     )
     return path
 
 
-def read_partitioned(spark, path, schema=S.FACT_SCHEMA):
-    stored = type(schema)([*schema.fields]).add(S.MONTH, "date")
+def read_partitioned(spark, path, grain=S.MONTH):
+    stored = T.StructType([*S.FACT_SCHEMA.fields, T.StructField(grain, T.DateType())])
     return spark.read.schema(stored).parquet(path)
 
 
+def grain_for(size_in_bytes, monthly_from=16 * 2**30):
+    """Months for a large fact; below that they would only be small files."""
+    return S.MONTH if size_in_bytes >= monthly_from else S.YEAR
+
+
 def table_query(spark, sql, **frames):
     """Run SQL text; ``frames`` become its tables (by name, without global views)."""
     return spark.sql(sql, **frames) if frames else spark.sql(sql)
