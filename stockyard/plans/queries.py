@@ -62,10 +62,8 @@ def read_csv_dates(inv):
 def bulk_load_staging(inv):
     spark = inv.raw.sparkSession
     path = files.write_csv(inv.raw, work_path(spark, "csv"), titled=False)
-    staged = files.read_delimited(spark, path)
-    table = tables.create_tables(spark, ["inventory_raw_staging"])["inventory_raw_staging"]
-    tables.insert_select(staged.filter(F.col(files.CORRUPT).isNull()), table)
-    return spark.table(table)
+    staged = files.bulk_load(spark, path)
+    return staged.filter(F.col(files.CORRUPT).isNull()).drop(files.CORRUPT)
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from stockyard import schema as S
 from stockyard.functions import dates as D
+from stockyard.session import materialize
 
 CORRUPT = "_corrupt_record"
 
@@ -41,11 +42,14 @@ def read_csv(spark, path, date_format=D.ISO, text_dates=False):
     )
 
 
-def read_delimited(spark, path, sep=",", quote='"', mode="PERMISSIVE", date_format=D.ISO):
-    """Bulk load: header skipped, columns by position, bad rows kept in a column."""
-    names = S.FACT_COLUMNS
+def bulk_load(spark, path, sep=",", quote='"', mode="PERMISSIVE", date_format=D.ISO):
+    """Load a delimited file into staging: header skipped, columns by position.
+
+    Bad rows stay, with their text in one more column. The staging is stored with all
+    columns, because the parser only notices a bad field in a column it is asked for.
+    """
     fields = [*S.FACT_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())]
-    return (
+    parsed = (
         spark.read.schema(T.StructType(fields))
         .option("header", True)
         .option("sep", sep)
@@ -54,8 +58,8 @@ def read_delimited(spark, path, sep=",", quote='"', mode="PERMISSIVE", date_form
         .option("dateFormat", date_format)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
-        .select(*names, CORRUPT)
     )
+    return materialize(parsed, "csv_staging")
 
 
 def write_csv(df: DataFrame, path, titled=True, mode="overwrite"):
