@@ -7,6 +7,7 @@ from stockyard import params as P
 from stockyard.functions import measures as M
 from stockyard.functions import classify as C
 from stockyard.operators.ordering import column_quantiles, ntile, top_k
+from stockyard.session import materialize
 
 
 def movement_metrics(df: DataFrame, by=("product_id",), daily="dates"):
@@ -76,6 +77,7 @@ def segments(df: DataFrame, by=("product_id",), method="ntile"):
         )
         result = tiled.withColumn("movement_segment", named).drop("_tile")
     else:
+        metrics = materialize(metrics, "segment_metrics")  # read for the edges and the rows
         edges = column_quantiles(metrics, ["inventory_turnover_proxy"], [1 / 3, 2 / 3])
         first, second = edges.select("q0").scalar(), edges.select("q1").scalar()
         rate = F.col("inventory_turnover_proxy")

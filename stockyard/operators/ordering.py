@@ -62,7 +62,8 @@ def value_histogram(df: DataFrame, columns):
 
     The counts combine before the shuffle, so its size follows the number of
     distinct values, not of rows, and a hot value is one row per task. Values are
-    doubles; ints and decimal(10,2) convert without loss of order or identity.
+    doubles; ints and decimal(10,2) convert without loss of order or identity. The
+    counts are stored, so whatever is derived from them shares the one scan.
     """
     pairs = F.explode(
         F.array(
@@ -72,13 +73,14 @@ def value_histogram(df: DataFrame, columns):
             ]
         )
     )
-    return (
+    counts = (
         df.select(pairs.alias("p"))
         .select("p.name", "p.value")
         .filter(F.col("value").isNotNull())
         .groupBy("name", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return materialize(counts, "histogram")
 
 
 def quantiles(histogram: DataFrame, probabilities):
