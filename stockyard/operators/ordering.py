@@ -65,20 +65,19 @@ def value_histogram(df: DataFrame, columns):
     doubles; ints and decimal(10,2) convert without loss of order or identity. The
     counts are stored, so whatever is derived from them shares the one scan.
     """
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
-                for c in columns
-            ]
-        )
+    pairs = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("value"))
+            for i, c in enumerate(columns)
+        ]
     )
+    names = F.array(*[F.lit(c) for c in columns])
     counts = (
-        df.select(pairs.alias("p"))
-        .select("p.name", "p.value")
+        df.select(F.inline(pairs))
         .filter(F.col("value").isNotNull())
-        .groupBy("name", "value")
+        .groupBy("i", "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select(names[F.col("i")].alias("name"), "value", "n")
     )
     return materialize(counts, "histogram")
 

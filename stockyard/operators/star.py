@@ -3,11 +3,11 @@
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stockyard import schema as S
 from stockyard.functions import measures as M
+from stockyard.operators.ordering import running_total
 from stockyard.operators.quality import foreign_key_check
 from stockyard.session import materialize
 
@@ -15,11 +15,11 @@ from stockyard.session import materialize
 def build_dimensions(df: DataFrame):
     """Name -> frame for the two entity tables, four lookups and the promotions.
 
-    One scan: the values of all six columns are counted together and stored as one
-    small table. Surrogate ids follow the name order within a lookup, so a rerun
-    gives the same ids. Lookup values that are missing get no id.
+    One scan: the values of all six columns are collected together. Surrogate ids
+    follow the name order within a lookup, so a rerun gives the same ids; they come
+    from a distributed rank, so a lookup may be of any size. Missing values get no id.
+    The result is stored, which gives Catalyst the size of each dimension.
     """
-    spark = df.sparkSession
     source = {table: column for table, (column, _, _) in S.LOOKUPS.items()} | S.ENTITIES
     pairs = F.array(
         *[
@@ -27,21 +27,21 @@ def build_dimensions(df: DataFrame):
             for table, column in source.items()
         ]
     )
-    seen = (
-        df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
+    seen = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
+    ranked = running_total(seen, ["table", "value"], into="_rank")
+    starts = ranked.groupBy("table").agg((F.min("_rank") - 1).alias("_start"))
+    numbered = ranked.join(starts, "table").select(
+        "table", "value", (F.col("_rank") - F.col("_start")).cast("int").alias("id")
     )
-    stored = materialize(seen, "dimension_values")
+    stored = materialize(numbered, "dimension_values")
     dimensions = {}
     for table, key in S.ENTITIES.items():
         dimensions[table] = stored.filter(F.col("table") == table).select(F.col("value").alias(key))
     for table, (_, key, name) in S.LOOKUPS.items():
-        order = W.partitionBy("table").orderBy("value")
-        dimensions[table] = (
-            stored.filter(F.col("table") == table)
-            .withColumn(key, F.row_number().over(order))
-            .select(key, F.col("value").alias(name))
+        dimensions[table] = stored.filter(F.col("table") == table).select(
+            F.col("id").alias(key), F.col("value").alias(name)
         )
-    dimensions["promotions"] = spark.createDataFrame(S.PROMOTIONS, S.PROMOTIONS_SCHEMA)
+    dimensions["promotions"] = df.sparkSession.createDataFrame(S.PROMOTIONS, S.PROMOTIONS_SCHEMA)
     return dimensions
 
 

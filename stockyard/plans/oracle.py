@@ -623,5 +623,26 @@ BODIES = {
 }
 
 
+def _fixed(sql, **digits):
+    cells = ", ".join(
+        f"CAST(ROUND(CAST({c} AS DECIMAL(30,12)), {d}) AS DOUBLE) AS {c}" for c, d in digits.items()
+    )
+    return f"SELECT * REPLACE ({cells}) FROM ({sql})"
+
+
+BODIES |= {
+    "store_performance_report": _fixed(
+        BODIES["store_performance"], avg_inventory=2, avg_demand_forecast=2, inventory_turnover_proxy=3
+    ),
+    "risk_by_store_report": _fixed(
+        BODIES["risk_by_store"], understocked_pct=2, balanced_pct=2, high_inventory_pct=2, excess_inventory_pct=2
+    ),
+    "trend_reorder_report": _fixed(
+        BODIES["trend_reorder_point"], avg_daily_sales_90d=2, stddev_daily_sales_90d=2, lead_time_demand=1,
+        safety_stock=1, reorder_point_trend_based=0,
+    ),
+}
+
+
 def oracle_sql():
     return {name: f"{INPUT}{body}" for name, body in BODIES.items()}

@@ -6,8 +6,10 @@ from stockyard import params as P
 from stockyard import schema as S
 from stockyard.functions import classify as C
 from stockyard.functions import measures as M
+from stockyard.functions.present import report_view
 from stockyard.operators import cleaning, kpi, movement, quality, replenishment, reshape, star
 from stockyard.operators import ordering, snapshot
+from stockyard.plans import jobs
 from stockyard.session import materialize, work_path
 from stockyard.sources import files, tables
 from stockyard.streaming import reorder_stream
@@ -91,23 +93,9 @@ def load_fact(inv):
     return spark.table(table)
 
 
-def _stored_star(inv, prefix):
-    """Create all tables of the normalised model, fill them, return name -> frame."""
-    spark = inv.raw.sparkSession
-    names = [*S.ENTITIES, *S.LOOKUPS, "promotions", "inventory_sales_normalized"]
-    catalog_names = tables.create_tables(spark, names, prefix=prefix)
-    dimensions = star.build_dimensions(inv.fact)
-    for name in [*S.ENTITIES, *S.LOOKUPS]:
-        tables.insert_select(dimensions[name], catalog_names[name])
-    tables.insert_values(spark, S.PROMOTIONS, catalog_names["promotions"])
-    stored = {name: spark.table(catalog_names[name]) for name in names[:-1]}
-    tables.insert_select(star.normalize(_flat(inv), stored), catalog_names[names[-1]])
-    return {name: spark.table(catalog_names[name]) for name in names}
-
-
 @query()
 def insert_select(inv):
-    return _stored_star(inv, "star_")["inventory_sales_normalized"]
+    return jobs.store_star(_flat(inv), "star_")["inventory_sales_normalized"]
 
 
 @query()
@@ -125,7 +113,7 @@ def insert_values(inv):
 
 @query()
 def create_tables(inv):
-    stored = _stored_star(inv, "typed_")
+    stored = jobs.store_star(_flat(inv), "typed_")
     counts = star.row_counts(stored)
     widths = F.create_map(*[x for n, f in stored.items() for x in (F.lit(n), F.lit(len(f.columns)))])
     return counts.withColumn("column_count", widths[F.col("table_name")])
@@ -378,8 +366,7 @@ def build_dimensions(inv):
 @query()
 def denormalize_fact(inv):
     dimensions = star.build_dimensions(inv.fact)
-    stored = materialize(star.normalize(_flat(inv), dimensions), "normalized")
-    return star.denormalize(stored, dimensions)
+    return star.denormalize(star.normalize(_flat(inv), dimensions), dimensions)
 
 
 @query()
@@ -393,8 +380,7 @@ def aligned_assign(inv):
 def fk_check(inv):
     # Staging rows against dimensions that only know values with a valid forecast.
     dimensions = star.build_dimensions(cleaning.valid_forecasts(inv.raw))
-    stored = materialize(star.normalize(inv.raw, dimensions), "normalized_raw")
-    return star.star_schema_check(stored, dimensions)
+    return star.star_schema_check(star.normalize(inv.raw, dimensions), dimensions)
 
 
 @query()
@@ -678,6 +664,24 @@ def safety_stock(inv):
     )
 
 
+# --- the same numbers as printed reports: fixed decimals --------------------
+
+
+@query()
+def store_performance_report(inv):
+    return report_view(kpi.performance(inv.fact, ["store_id"]))
+
+
+@query()
+def risk_by_store_report(inv):
+    return report_view(kpi.risk_by(inv.fact, ["store_id"]))
+
+
+@query()
+def trend_reorder_report(inv):
+    return report_view(replenishment.trend_reorder_point(inv.fact))
+
+
 # --- sorts, limits, reshaping -----------------------------------------------
 
 

@@ -138,7 +138,7 @@ def load(spark, folder) -> Inventory:
         stamp = _fingerprint(spark, folder)
         key = (spark.sparkContext.applicationId, folder, stamp)
         if key not in _stored:
-            _stored[key] = _store(spark, folder, grain_for(stamp[1]))
+            _stored[key] = store(spark, folder, grain_for(stamp[1]))
         lineage_path, schema, fact_path, grain = _stored[key]
     lineage = spark.read.schema(schema).parquet(lineage_path)
     return Inventory(
@@ -146,7 +146,8 @@ def load(spark, folder) -> Inventory:
     )
 
 
-def _store(spark, folder, grain):
+def store(spark, folder, grain=S.YEAR):
+    """Write staging and fact; returns what ``load`` needs to read them back."""
     lineage = raw_rows(spark, folder)
     lineage_path = work_path(spark, "staging")
     lineage.write.parquet(lineage_path)
