@@ -25,10 +25,11 @@ def hundredths(money) -> Column:
     return F.rint(F.col(money).cast("double") * 100).cast("bigint")
 
 
-def mean(value) -> Column:
-    if value in MONEY_COLUMNS:
-        return mean_of_hundredths(hundredths(value))
-    return F.try_divide(F.sum(value).cast("double"), F.count(value))
+def mean(column) -> Column:
+    if column in MONEY_COLUMNS:
+        whole = f"CAST(RINT(CAST({column} AS DOUBLE) * 100) AS BIGINT)"
+        return F.expr(f"try_divide(CAST(SUM({whole}) AS DOUBLE) / 100, COUNT({column}))")
+    return F.expr(f"try_divide(CAST(SUM({column}) AS DOUBLE), COUNT({column}))")
 
 
 def mean_of_hundredths(value) -> Column:

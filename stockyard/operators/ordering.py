@@ -13,22 +13,29 @@ from pyspark.sql import functions as F
 from stockyard.session import materialize
 
 
-def running_total(df: DataFrame, order, weight=None, into="running_total"):
-    """Add the inclusive running sum of ``weight`` (row count if None) in ``order``.
+def place(df: DataFrame, order):
+    """Store the rows in global ``order`` with their place and the slice they lie in.
 
-    Also adds ``grand_total``. ``order`` holds columns or (column, "desc") pairs.
+    ``order`` holds columns or (column, "desc") pairs. Written once: the slices must
+    be the same for the totals and for the rows.
     """
     keys = [F.desc(o[0]) if isinstance(o, tuple) else F.asc(o) for o in order]
-    weight_of = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
-    # Written once: the task numbers must be the same for the totals and the rows.
-    placed = materialize(
+    return materialize(
         df.orderBy(*keys)
         .withColumn("_place", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_place", 33)),
         "ordered",
     )
+
+
+def accumulate(placed: DataFrame, weight=None, into="running_total"):
+    """Add the inclusive running sum of ``weight`` (row count if None) to placed rows.
+
+    Also adds ``grand_total``.
+    """
+    weight_of = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     slices = placed.groupBy("_slice").agg(F.sum(weight_of).alias("_slice_total"))
-    # One row per task of the sort above, so this window stays small at any scale.
+    # One row per task of the sort, so this window stays small at any scale.
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     slices = slices.select(
         "_slice",
@@ -44,6 +51,10 @@ def running_total(df: DataFrame, order, weight=None, into="running_total"):
     )
 
 
+def running_total(df: DataFrame, order, weight=None, into="running_total"):
+    return accumulate(place(df, order), weight, into)
+
+
 def ntile(df: DataFrame, tiles, order, into="tile"):
     """SQL NTILE over the whole frame: the first ``n % tiles`` tiles get one row more."""
     ranked = running_total(df, order, into="_rank")
@@ -63,7 +74,7 @@ def value_histogram(df: DataFrame, columns):
     The counts combine before the shuffle, so its size follows the number of
     distinct values, not of rows, and a hot value is one row per task. Values are
     doubles; ints and decimal(10,2) convert without loss of order or identity. The
-    counts are stored, so whatever is derived from them shares the one scan.
+    counts are stored in order, so whatever is derived from them shares the one scan.
     """
     pairs = F.array(
         *[
@@ -79,15 +90,15 @@ def value_histogram(df: DataFrame, columns):
         .agg(F.count(F.lit(1)).alias("n"))
         .select(names[F.col("i")].alias("name"), "value", "n")
     )
-    return materialize(counts, "histogram")
+    return place(counts, ["name", "value"])
 
 
 def quantiles(histogram: DataFrame, probabilities):
-    """Exact linear-interpolated quantiles of a (name, value, n) histogram.
+    """Exact linear-interpolated quantiles of a value histogram.
 
     One row per name, columns ``q0, q1, ..`` in the order of ``probabilities``.
     """
-    ranked = running_total(histogram, ["name", "value"], weight="n", into="_upto")
+    ranked = accumulate(histogram, weight="n", into="_upto")
     sizes = ranked.groupBy("name").agg(
         F.sum("n").alias("_size"), F.min(F.col("_upto") - F.col("n")).alias("_base")
     )

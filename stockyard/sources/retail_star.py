@@ -30,9 +30,12 @@ def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def raw_rows(spark, folder):
+def raw_rows(spark, folder, spread=None):
     """Order lines as store x product observations.
 
+    ``spread`` deals the lines out to that many tasks first: a small input may come
+    in one row group and leave cores idle. A large one needs no such shuffle.
+
     The order side is reduced to (order, priority, region) before it meets the
     lines, so the wide line rows are shuffled once per large join and the tiny
     geography never on its own. No hints: Catalyst broadcasts what its size
@@ -60,9 +63,11 @@ def raw_rows(spark, folder):
     )
     supplier = _table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     part = _table(spark, folder, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
+    lines = _table(spark, folder, "lineitem")
+    if spread:
+        lines = lines.repartition(spread)
     lines = (
-        _table(spark, folder, "lineitem")
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     )
@@ -148,7 +153,8 @@ def load(spark, folder) -> Inventory:
 
 def store(spark, folder, grain=S.YEAR):
     """Write staging and fact; returns what ``load`` needs to read them back."""
-    lineage = raw_rows(spark, folder)
+    spread = spark.sparkContext.defaultParallelism if grain == S.YEAR else None
+    lineage = raw_rows(spark, folder, spread)
     lineage_path = work_path(spark, "staging")
     lineage.write.parquet(lineage_path)
     lineage = spark.read.schema(lineage.schema).parquet(lineage_path)
