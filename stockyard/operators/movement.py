@@ -90,8 +90,16 @@ def segment_table(df: DataFrame, by=("product_id",), method="ntile"):
     return segments(df, by, method).orderBy(F.desc("inventory_turnover_proxy"), *by)
 
 
-def segment_summary(segmented: DataFrame):
-    """Means per segment, fastest first."""
+def segment_summary(segmented: DataFrame, digits=None):
+    """Means per segment, fastest first.
+
+    ``digits`` rounds the per-product stock and risk rate before they are averaged,
+    which is what a report built on rounded product rows shows.
+    """
+    if digits is not None:
+        segmented = segmented.withColumns(
+            {c: F.round(c, digits) for c in ("avg_inventory", "low_inventory_risk_rate")}
+        )
     return (
         segmented.groupBy("movement_segment")
         .agg(

@@ -637,6 +637,12 @@ BODIES |= {
     "risk_by_store_report": _fixed(
         BODIES["risk_by_store"], understocked_pct=2, balanced_pct=2, high_inventory_pct=2, excess_inventory_pct=2
     ),
+    "segment_summary_report": _fixed(
+        segment_means(
+            _fixed(by_ntile("product_id"), avg_inventory=2, low_inventory_risk_rate=2)
+        ),
+        avg_total_units_sold=0, avg_inventory=2, avg_turnover_proxy=3, avg_low_inventory_risk_rate=2,
+    ),
     "trend_reorder_report": _fixed(
         BODIES["trend_reorder_point"], avg_daily_sales_90d=2, stddev_daily_sales_90d=2, lead_time_demand=1,
         safety_stock=1, reorder_point_trend_based=0,

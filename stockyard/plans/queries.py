@@ -677,6 +677,11 @@ def risk_by_store_report(inv):
     return report_view(kpi.risk_by(inv.fact, ["store_id"]))
 
 
+@query()
+def segment_summary_report(inv):
+    return report_view(movement.segment_summary(movement.segments(inv.fact), digits=2))
+
+
 @query()
 def trend_reorder_report(inv):
     return report_view(replenishment.trend_reorder_point(inv.fact))

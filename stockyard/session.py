@@ -1,6 +1,5 @@
 """Session settings and the shared work folder."""
 
-import os
 import tempfile
 import uuid
 
@@ -37,7 +36,7 @@ def shared_dir(spark):
     if configured:
         return configured
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         return None
     if context.applicationId not in _local_dirs:
         _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="stockyard-")
@@ -64,7 +63,3 @@ def materialize(df: DataFrame, label):
     path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def repo_root():
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
