@@ -62,10 +62,11 @@ def start(stream: DataFrame, output, checkpoint, buffer=P.BUFFER, watermark=None
 
 
 def read_orders(spark, output):
-    """Triggered rows, newest batch first where a key came more than once.
+    """Triggered rows; where a key triggered in several batches, its newest row.
 
-    The newest batch number per key is found by a map-side aggregation and joined
-    back, so copies of a key are not collected in one place.
+    A fact row is final once delivered: a key is not withdrawn by a later row that
+    no longer triggers. The newest batch number per key is found by a map-side
+    aggregation and joined back, so copies of a key are not collected in one place.
     """
     stored = spark.read.parquet(output)
     newest = stored.groupBy(*S.KEYS).agg(F.max(BATCH).alias(BATCH))

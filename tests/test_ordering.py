@@ -101,3 +101,10 @@ def test_bubble_sizes_span(facts):
     assert [r.bubble_size for r in movement.bubble_sizes(rows).collect()] == [200.0, 2000.0, 1100.0]
     flat = movement.bubble_sizes(facts({"product_id": "a"}, {"product_id": "b"}))
     assert [r.bubble_size for r in flat.collect()] == [None, None]
+
+
+def test_approximate_quantiles_are_near(spark):
+    frame = spark.range(10_001).select(F.col("id").alias("a"), (F.col("id") / 100).alias("b"))
+    rows = {r["name"]: r for r in ordering.approximate_quantiles(frame, ["a", "b"], [0.25, 0.5]).collect()}
+    assert abs(rows["a"].q0 - 2500) <= 5 and abs(rows["a"].q1 - 5000) <= 5
+    assert abs(rows["b"].q1 - 50) <= 0.05

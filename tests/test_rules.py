@@ -1,8 +1,11 @@
 """Boundaries of the row rules and the aggregate definitions."""
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stockyard import params as P
@@ -94,8 +97,13 @@ def test_lenient_and_strict_dates(spark):
     text = spark.createDataFrame([("2023-01-31",), ("2023-02-31",), ("x",), (None,)], "date string")
     assert cleaning.invalid_date_count(text).first().asDict() == {"total_rows": 4, "invalid_dates": 3}
     assert cleaning.parse_dates(text, strict=False).filter("date is null").count() == 3
-    with pytest.raises(Exception):
-        cleaning.parse_dates(text).collect()
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        with pytest.raises(Exception, match="not a date"):
+            cleaning.parse_dates(text).collect()
+    spark.conf.unset("spark.sql.ansi.enabled")
+    good = text.filter("date = '2023-01-31' or date is null")
+    assert sorted(str(r.date) for r in cleaning.parse_dates(good).collect()) == ["2023-01-31", "None"]
 
 
 def test_time_features(facts):
@@ -179,3 +187,33 @@ def test_share_column_values(facts):
     from stockyard.operators.quality import share_of_total
 
     assert {r.region: r.percentage for r in share_of_total(counts).collect()} == {"a": 50.0, "b": 50.0}
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 600), st.integers(0, 60_000), st.integers(0, 500)), min_size=1, max_size=30))
+def test_rules_against_plain_python(facts, rows):
+    frame = facts(
+        *[
+            {"inventory_level": level, "demand_forecast": Decimal(cents) / 100, "units_sold": sold}
+            for level, cents, sold in rows
+        ]
+    )
+
+    def tier(level, cents):
+        cuts = [(level * 100 < cents), (level * 200 <= cents * 3), (level * 100 <= cents * 2)]
+        return P.RISK_TIERS[cuts.index(True) if True in cuts else 3]
+
+    def order(level, cents):
+        gap = Decimal(cents) / 100 * Decimal("1.10") - level
+        return int(gap.quantize(0, ROUND_HALF_UP)) if level * 100 < cents else 0
+
+    found = frame.select(
+        "inventory_level", "demand_forecast", C.risk_tier().alias("t"), C.order_quantity().alias("q")
+    ).collect()
+    for row, (level, cents, _) in zip(found, rows):
+        assert (row.t, row.q) == (tier(level, cents), order(level, cents))
+    errors = [sold * 100 - cents for _, cents, sold in rows if sold > 0]
+    scored = kpi.forecast_accuracy(frame).first()
+    if errors:
+        assert scored.mae == sum(map(abs, errors)) / 100 / len(errors)
+        assert math.isclose(scored.rmse, math.sqrt(sum(e * e for e in errors) / 10_000 / len(errors)))
