@@ -45,12 +45,24 @@ def accumulate(placed: DataFrame, weight=None, into="running_total"):
     within = W.partitionBy("_slice").orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
     return (
         placed.withColumn("_within", F.sum(weight_of).over(within))
-        .join(slices, "_slice")
+        .join(F.broadcast(slices), "_slice")  # one row per sort task
         .withColumn(into, F.col("_within") + F.col("_offset"))
         .drop("_place", "_slice", "_within", "_offset")
     )
 
 
+def group_offsets(placed: DataFrame, group, weight=None):
+    """(group, _size, _base) for rows placed by ``group`` first: the weight of the group
+    and of all groups before it. For a handful of groups."""
+    weight_of = F.lit(1) if weight is None else F.col(weight)
+    before = W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        placed.groupBy(group)
+        .agg(F.sum(weight_of).cast("bigint").alias("_size"))
+        .withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    )
+
+
 def running_total(df: DataFrame, order, weight=None, into="running_total"):
     return accumulate(place(df, order), weight, into)
 
@@ -99,10 +111,9 @@ def quantiles(histogram: DataFrame, probabilities):
     One row per name, columns ``q0, q1, ..`` in the order of ``probabilities``.
     """
     ranked = accumulate(histogram, weight="n", into="_upto")
-    sizes = ranked.groupBy("name").agg(
-        F.sum("n").alias("_size"), F.min(F.col("_upto") - F.col("n")).alias("_base")
-    )
-    ranked = ranked.join(sizes, "name").select(
+    # One row per profiled column; a join by shuffle would put a column in one task.
+    sizes = group_offsets(histogram, "name", "n")
+    ranked = ranked.join(F.broadcast(sizes), "name").select(
         "name",
         "value",
         "_size",
@@ -111,16 +122,16 @@ def quantiles(histogram: DataFrame, probabilities):
     )
     picks = []
     for i, p in enumerate(probabilities):
-        place = (F.col("_size") - 1).cast("double") * F.lit(float(p))
-        for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+        position = (F.col("_size") - 1).cast("double") * F.lit(float(p))
+        for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
             covers = (F.col("_first") <= rank) & (rank < F.col("_end"))
             picks.append(F.max(F.when(covers, F.col("value"))).alias(f"_{side}{i}"))
     picked = ranked.groupBy("name", "_size").agg(*picks)
     result = [F.col("name")]
     for i, p in enumerate(probabilities):
-        place = (F.col("_size") - 1).cast("double") * F.lit(float(p))
+        position = (F.col("_size") - 1).cast("double") * F.lit(float(p))
         low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-        result.append((low + (high - low) * (place - F.floor(place))).alias(f"q{i}"))
+        result.append((low + (high - low) * (position - F.floor(position))).alias(f"q{i}"))
     return picked.select(*result)
 
 

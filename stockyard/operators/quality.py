@@ -294,7 +294,7 @@ def iqr_outliers(df: DataFrame, columns=S.NUMERIC_COLUMNS, fence=P.IQR_FENCE):
     )
     outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
     return (
-        histogram.join(quarters, "name")
+        histogram.join(F.broadcast(quarters), "name")  # one row per profiled column
         .groupBy(F.col("name").alias("column_name"), "q1", "q3", "lower_bound", "upper_bound")
         .agg(
             F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outlier_count"),

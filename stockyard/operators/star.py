@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stockyard import schema as S
 from stockyard.functions import measures as M
-from stockyard.operators.ordering import running_total
+from stockyard.operators.ordering import accumulate, group_offsets, place
 from stockyard.operators.quality import foreign_key_check
 from stockyard.session import materialize
 
@@ -28,10 +28,11 @@ def build_dimensions(df: DataFrame):
         ]
     )
     seen = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
-    ranked = running_total(seen, ["table", "value"], into="_rank")
-    starts = ranked.groupBy("table").agg((F.min("_rank") - 1).alias("_start"))
-    numbered = ranked.join(starts, "table").select(
-        "table", "value", (F.col("_rank") - F.col("_start")).cast("int").alias("id")
+    placed = place(seen, ["table", "value"])
+    # Six rows; a join by shuffle would put a whole dimension in one task.
+    starts = F.broadcast(group_offsets(placed, "table"))
+    numbered = accumulate(placed, into="_rank").join(starts, "table").select(
+        "table", "value", (F.col("_rank") - F.col("_base")).cast("int").alias("id")
     )
     stored = materialize(numbered, "dimension_values")
     dimensions = {}
