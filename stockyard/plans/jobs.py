@@ -17,14 +17,18 @@ def clean_csv(spark, source, target):
     return quality.quality_summary(rows)
 
 
-def load_flat(spark, source, table=tables.FACT_TABLE, expected_shape=None, location=None):
-    """Clean CSV into the typed flat table, with shape and row-count checks."""
+def load_flat(spark, source, prefix="", expected_shape=None, location=None):
+    """Clean CSV into the typed flat table ``<prefix>inventory_sales``.
+
+    Refuses another shape, missing values and repeated keys before it touches the
+    table, and checks the stored row count after.
+    """
     rows = materialize(files.read_csv(spark, source), "load")
     if expected_shape is not None:
         tables.check_input_shape(rows, *expected_shape)
-    name = tables.create_tables(
-        spark, [tables.FACT_TABLE], table.removesuffix(tables.FACT_TABLE), location
-    )[tables.FACT_TABLE]
+    tables.require_unique(tables.require_complete(rows))
+    created = tables.create_tables(spark, [tables.FACT_TABLE], prefix, location)
+    name = created[tables.FACT_TABLE]
     tables.load_fact(rows, name, expected_rows=rows.count())
     return spark.table(name)
 
@@ -32,14 +36,15 @@ def load_flat(spark, source, table=tables.FACT_TABLE, expected_shape=None, locat
 def load_star(spark, source, prefix="", location=None):
     """Raw delimited file into staging, clip, dimensions, normalised fact, checks.
 
-    Returns (tables by name, reconciliation report). Rows the parser refuses stay in
-    the staging frame and do not reach the fact.
+    Returns (tables by name, reconciliation report). Rows the parser refuses do not
+    reach the fact; missing values and repeated keys in the others stop the load.
     """
     staged = files.bulk_load(spark, source)
     rows = materialize(
         cleaning.clip_negative_forecast(staged.filter(f"{files.CORRUPT} IS NULL")).select(*S.FACT_COLUMNS),
         "clean",
     )
+    tables.require_unique(tables.require_complete(rows))
     stored = store_star(rows, prefix, location)
     return stored, star.load_reconciliation(rows, stored["inventory_sales_normalized"])
 

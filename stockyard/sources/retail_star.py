@@ -3,6 +3,7 @@
 import threading
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,9 +143,16 @@ def load(spark, folder) -> Inventory:
     with _lock:
         stamp = _fingerprint(spark, folder)
         key = (spark.sparkContext.applicationId, folder, stamp)
-        if key not in _stored:
-            _stored[key] = store(spark, folder, grain_for(stamp[1]))
-        lineage_path, schema, fact_path, grain = _stored[key]
+        if key in _stored:
+            try:
+                return _read(spark, *_stored[key])
+            except AnalysisException:  # the stored files are gone: load again
+                del _stored[key]
+        _stored[key] = store(spark, folder, grain_for(stamp[1]))
+        return _read(spark, *_stored[key])
+
+
+def _read(spark, lineage_path, schema, fact_path, grain):
     lineage = spark.read.schema(schema).parquet(lineage_path)
     return Inventory(
         lineage.select(*S.FACT_COLUMNS), lineage, read_partitioned(spark, fact_path, grain)

@@ -14,6 +14,27 @@ class ShapeError(ValueError):
     pass
 
 
+class ConstraintError(ValueError):
+    pass
+
+
+def require_unique(df: DataFrame, keys=S.KEYS):
+    """Raise if a business key occurs twice: what a primary key would refuse."""
+    repeated = df.groupBy(*keys).count().filter("count > 1").limit(1).collect()
+    if repeated:
+        raise ConstraintError(f"repeated key {repeated[0].asDict()}")
+    return df
+
+
+def require_complete(df: DataFrame, columns=S.FACT_COLUMNS):
+    """Raise if a column that must be filled has missing values."""
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    missing = {c: n for c, n in counts.asDict().items() if n}
+    if missing:
+        raise ConstraintError(f"missing values {missing}")
+    return df
+
+
 def shape_report(df: DataFrame, rows, columns):
     """One row: actual and expected shape. ``rows`` may be a scalar subquery."""
     rows = rows if hasattr(rows, "alias") else F.lit(rows)
@@ -100,6 +121,12 @@ def grain_for(size_in_bytes, monthly_from=16 * 2**30):
     return S.MONTH if size_in_bytes >= monthly_from else S.YEAR
 
 
+def register_views(**frames):
+    """Make frames available to SQL text under the given names."""
+    for name, frame in frames.items():
+        frame.createOrReplaceTempView(name)
+
+
 def table_query(spark, sql, **frames):
     """Run SQL text; ``frames`` become its tables (by name, without global views)."""
     return spark.sql(sql, **frames) if frames else spark.sql(sql)

@@ -1,3 +1,4 @@
+import pytest
 from test_sources import BAD_DATE, GOOD, HEADER, _file
 
 from stockyard.functions.present import digits_of, report_view
@@ -12,7 +13,7 @@ def test_clean_then_load_then_publish(spark, tmp_path):
     raw = _file(tmp_path, HEADER, GOOD, NEGATIVE)
     summary = {r.check: r.result for r in jobs.clean_csv(spark, raw, str(tmp_path / "clean")).collect()}
     assert summary["Number of rows"] == 2 and summary["Negative demand forecasts"] == 0
-    table = jobs.load_flat(spark, str(tmp_path / "clean"), "job_inventory_sales", (2, 15))
+    table = jobs.load_flat(spark, str(tmp_path / "clean"), "job_", (2, 15))
     assert sorted(str(r.demand_forecast) for r in table.collect()) == ["0.00", "50.25"]
     path = jobs.publish_reorder(table, str(tmp_path / "orders"))
     orders = spark.read.option("header", True).csv(path)
@@ -45,3 +46,25 @@ def test_sql_over_loaded_tables(spark, facts):
     found = tables.table_query(spark, "SELECT COUNT(DISTINCT region) AS n FROM {fact}", fact=fact)
     assert found.first().n == 2
     assert files.CORRUPT not in fact.columns
+
+
+def test_load_refuses_what_constraints_would(spark, tmp_path):
+    table = jobs.load_flat(spark, _file(tmp_path, HEADER, GOOD), "kept_")
+    with pytest.raises(tables.ConstraintError, match="repeated key"):
+        jobs.load_flat(spark, _file(tmp_path, HEADER, GOOD, GOOD), "kept_")
+    with pytest.raises(tables.ConstraintError, match="price"):
+        jobs.load_flat(spark, _file(tmp_path, HEADER, GOOD.replace("10.00", "")), "kept_")
+    with pytest.raises(tables.ShapeError):
+        jobs.load_flat(spark, _file(tmp_path, HEADER, GOOD), "kept_", (2, 15))
+    assert table.count() == 1
+
+
+def test_sql_text_on_registered_views(spark, facts):
+    fact = facts(*[{"product_id": f"P{i}", "units_sold": i} for i in range(6)])
+    tables.register_views(inventory_sales=fact)
+    text = """
+        WITH m AS (SELECT product_id, AVG(units_sold) / NULLIF(AVG(inventory_level), 0) AS turnover
+                   FROM inventory_sales GROUP BY product_id)
+        SELECT tile, COUNT(*) AS n FROM (SELECT NTILE(3) OVER (ORDER BY turnover) AS tile FROM m) GROUP BY tile
+    """
+    assert sorted(map(tuple, tables.table_query(spark, text).collect())) == [(1, 2), (2, 2), (3, 2)]
