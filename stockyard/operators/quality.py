@@ -4,7 +4,6 @@ Each report is one aggregation over all its columns, not one job per column.
 """
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -469,6 +468,9 @@ def orphans(fact: DataFrame, dimension: DataFrame, column, key=None):
 
 
 def share_of_total(counts: DataFrame, column="observations", into="percentage"):
-    """Percent of the total over an already grouped frame (a few rows)."""
-    total = F.sum(column).over(W.partitionBy())
+    """Percent of the total over a grouped frame of any size.
+
+    The total is a scalar subquery on the same exchange, not a window over all rows.
+    """
+    total = counts.agg(F.sum(column)).scalar()
     return counts.withColumn(into, F.try_divide(F.lit(100.0) * F.col(column), total))
