@@ -119,9 +119,15 @@ def raw_rows(spark, folder, spread=None):
 
 
 def _fingerprint(spark, folder):
-    """Name, size and time of every base file, as one number."""
+    """Count, total size and a hash of name, size and time of every base file.
+
+    Only the listing is read. A session of its own packs as many files as there are
+    into one task per core, instead of one task per large file.
+    """
+    listing = spark.newSession()
+    listing.conf.set("spark.sql.files.maxPartitionBytes", str(2**60))
     files = (
-        spark.read.format("binaryFile")
+        listing.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load([f"{folder}/{t}.parquet" for t in BASE_TABLES])
     )
