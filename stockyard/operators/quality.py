@@ -3,6 +3,9 @@
 Each report is one aggregation over all its columns, not one job per column.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,7 @@ from stockyard import schema as S
 from stockyard.functions import classify as C
 from stockyard.functions import measures as M
 from stockyard.operators.ordering import quantiles, value_histogram
+from stockyard.session import materialize
 
 
 def columns_of_type(df: DataFrame, kind):
@@ -147,23 +151,30 @@ def duplicate_keys(df: DataFrame, keys=S.KEYS):
     )
 
 
-def duplicate_summary(df: DataFrame, keys=S.KEYS):
-    """Rows in duplicated keys, surplus rows by key, surplus full-row copies.
+def _repeated_keys(df, keys):
+    """(key, _rows) of keys that occur more than once, stored, so that their size is
+    known when the rows are joined to them."""
+    counts = df.groupBy(*keys).agg(M.rows().alias("_rows")).filter("_rows > 1")
+    return materialize(counts, "repeated_keys")
 
-    Full rows are counted first, so copies of one key spread by their other
-    columns and the second count only sees one row per distinct full row.
-    """
-    full = df.groupBy(*df.columns).agg(M.rows().alias("_copies"))
-    per_key = full.groupBy(*keys).agg(
-        F.sum("_copies").alias("_rows"), F.sum(F.col("_copies") - 1).alias("_full_surplus")
-    )
-    return per_key.agg(
-        F.coalesce(F.sum(F.when(F.col("_rows") > 1, F.col("_rows"))), F.lit(0)).alias(
-            "rows_in_duplicated_keys"
-        ),
+
+def _surplus_copies(df, repeated, keys):
+    """Surplus full-row copies. Equal rows have equal keys, so only the rows of repeated
+    keys are compared in full; the others are never shuffled."""
+    marks = repeated.select(*[F.col(k).alias(f"_key_{k}") for k in keys])
+    same_key = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    copies = df.join(marks, same_key, "left_semi").groupBy(*df.columns).agg(M.rows().alias("_copies"))
+    return copies.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"))
+
+
+def duplicate_summary(df: DataFrame, keys=S.KEYS):
+    """Rows in duplicated keys, surplus rows by key, surplus full-row copies."""
+    repeated = _repeated_keys(df, keys)
+    copies = _surplus_copies(df, repeated, keys).scalar()
+    return repeated.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows_in_duplicated_keys"),
         F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).alias("surplus_key_rows"),
-        F.coalesce(F.sum("_full_surplus"), F.lit(0)).alias("duplicate_rows"),
-    )
+    ).withColumn("duplicate_rows", copies)
 
 
 def duplicate_key_rows(df: DataFrame, keys=S.KEYS):
@@ -176,12 +187,9 @@ def duplicate_key_rows(df: DataFrame, keys=S.KEYS):
     )
 
 
-def duplicate_rows(df: DataFrame):
-    return (
-        df.groupBy(*df.columns)
-        .agg(M.rows().alias("_copies"))
-        .agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"))
-    )
+def duplicate_rows(df: DataFrame, keys=S.KEYS):
+    """Surplus full-row copies; ``keys`` are any columns that tell most rows apart."""
+    return _surplus_copies(df, _repeated_keys(df, keys), keys)
 
 
 # --- distributions ----------------------------------------------------------

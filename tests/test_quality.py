@@ -28,8 +28,10 @@ def test_duplicates(facts):
 
 
 def test_duplicates_count_nulls_as_equal(facts):
-    rows = facts({"region": None}, {"region": None})
-    assert quality.duplicate_rows(rows).first()[0] == 1
+    rows = facts({"region": None}, {"region": None}, {"date": None}, {"date": None}, {"date": None})
+    assert quality.duplicate_rows(rows).first()[0] == 3
+    assert tuple(quality.duplicate_summary(rows).first()) == (5, 3, 3)
+    assert tuple(quality.duplicate_summary(facts({}, {"store_id": "S9"})).first()) == (0, 0, 0)
 
 
 def test_quality_summary(facts):
