@@ -1,12 +1,9 @@
 """Session settings and the shared work folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs = {}
-
 
 def build_session(master=None, app_name="stockyard", **conf):
     """A session with adaptive execution on. Cluster settings win over these."""
@@ -17,6 +14,7 @@ def build_session(master=None, app_name="stockyard", **conf):
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.ansi.enabled": "true",  # an overflow raises
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
     }
@@ -27,30 +25,15 @@ def build_session(master=None, app_name="stockyard", **conf):
 
 
 def shared_dir(spark):
-    """Folder every executor can reach, or None.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a local-mode session
-    (tests) without that setting gets a temporary folder of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if context.master != "local" and not context.master.startswith("local["):
-        return None
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="stockyard-")
-    return _local_dirs[context.applicationId]
+    """Folder that driver and executors share: the one the cluster names in
+    ``spark.checkpoint.dir``, else the warehouse folder, which every session has."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def work_path(spark, label):
     """A new path under the shared folder; never used twice."""
-    root = shared_dir(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return "/".join(
-        [root.rstrip("/"), "stockyard", spark.sparkContext.applicationId, label, uuid.uuid4().hex]
-    )
+    root = shared_dir(spark).rstrip("/")
+    return "/".join([root, "stockyard", spark.sparkContext.applicationId, label, uuid.uuid4().hex])
 
 
 def materialize(df: DataFrame, label):

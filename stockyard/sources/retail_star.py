@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stockyard import schema as S
 from stockyard.operators.cleaning import clean
-from stockyard.session import shared_dir, work_path
+from stockyard.session import work_path
 from stockyard.sources.tables import grain_for, read_partitioned, write_partitioned
 
 BASE_TABLES = ["lineitem", "orders", "customer", "nation", "region", "supplier", "part"]
@@ -141,11 +141,8 @@ def load(spark, folder) -> Inventory:
 
     Both are written once per application under the shared folder, as the load step
     that every later query reads with column pruning and pushed filters. A changed
-    input file means a new load. Without a shared folder the frames stay lazy.
+    input file means a new load.
     """
-    if shared_dir(spark) is None:
-        lineage = raw_rows(spark, folder)
-        return Inventory(lineage.select(*S.FACT_COLUMNS), lineage, clean(lineage, tie_break=LINEAGE))
     with _lock:
         stamp = _fingerprint(spark, folder)
         key = (spark.sparkContext.applicationId, folder, stamp)

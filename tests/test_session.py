@@ -1,45 +1,23 @@
 from types import SimpleNamespace
 
-import pytest
-
 from stockyard import session
 
 
-def _fake(master, configured=None):
+def _fake(**conf):
     return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default=None: configured),
-        sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"),
+        conf=SimpleNamespace(get=lambda key, default=None: conf.get(key.replace(".", "_"), default)),
+        sparkContext=SimpleNamespace(applicationId="app-1"),
     )
 
 
-def test_cluster_folder_comes_from_the_session():
-    assert session.shared_dir(_fake("spark://host:7077", "hdfs://x/work")) == "hdfs://x/work"
-    assert session.work_path(_fake("yarn", "/shared"), "fact").startswith("/shared/stockyard/app-yarn/fact/")
-
-
-def test_no_local_folder_on_a_cluster():
-    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
-        assert session.shared_dir(_fake(master)) is None
-        with pytest.raises(RuntimeError):
-            session.work_path(_fake(master), "fact")
-
-
-def test_local_session_gets_its_own_folder():
-    assert session.shared_dir(_fake("local[2]")) == session.shared_dir(_fake("local[2]"))
+def test_shared_folder_comes_from_the_session():
+    fake = _fake(spark_checkpoint_dir="hdfs://x/work", spark_sql_warehouse_dir="/house")
+    assert session.shared_dir(fake) == "hdfs://x/work"
+    assert session.work_path(fake, "fact").startswith("hdfs://x/work/stockyard/app-1/fact/")
 
 
-def test_frames_stay_lazy_without_a_shared_folder(spark, monkeypatch):
-    from conftest import SF_DIR
-
-    from stockyard.sources import retail_star
-
-    monkeypatch.setattr(retail_star, "shared_dir", lambda _: None)
-    lazy = retail_star.load(spark, SF_DIR)
-    monkeypatch.undo()
-    stored = retail_star.load(spark, SF_DIR)
-    for name in ("raw", "fact"):
-        a, b = getattr(lazy, name), getattr(stored, name).select(*getattr(lazy, name).columns)
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_without_it_the_warehouse_is_used():
+    assert session.work_path(_fake(spark_sql_warehouse_dir="/house"), "x").startswith("/house/stockyard/")
 
 
 def test_changed_input_is_loaded_again(spark, tmp_path):
