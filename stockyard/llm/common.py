@@ -137,3 +137,11 @@ def factor_at(k, base=0xD6E8FEB86659FD93):
 
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60.0, 60.0)))
+
+
+def free_name(taken, base):
+    """``base``, or ``base`` with underscores if a column has that name."""
+    taken = {c.lower() for c in taken}
+    while base.lower() in taken:
+        base += "_"
+    return base
