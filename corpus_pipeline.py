@@ -4,25 +4,48 @@ Each stage is one operator of ``stockyard.llm``; what it returns is written as P
 in the shared folder and read again, so a lost executor costs one stage at most.
 """
 
-from stockyard.llm import quality_classifier
-from stockyard.session import materialize
-
+import public_tokenizers
 
-def _labels(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+from stockyard.llm import packing, quality_classifier, quality_rules, simhash, substring_dedup
+from stockyard.session import materialize
 
 
 def quality(spark, docs, sf_dir):
     """Documents that the quality classifier accepts."""
-    return quality_classifier.keep(docs, _labels(spark, sf_dir))
+    return quality_classifier.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def rules(spark, docs, sf_dir):
+    """Documents that pass the base rules and the cutoffs of their language and source."""
+    return quality_rules.keep(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of SimHash near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """All documents, without passages that a document with a smaller id holds."""
+    return substring_dedup.without_repeats(docs)
+
+
+def pack(spark, docs, sf_dir):
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as definition:
+        return packing.pack_documents(docs, definition.read())
 
 
 STAGES = [
     ("quality_classifier", quality),
+    ("quality_rules", rules),
+    ("simhash", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("packing", pack),
 ]
 
-# A trained classifier, hashed sketches and heuristics have no SQL form; the tests
-# hold the stages against brute force instead.
+# A trained classifier, hashed bands and a packing heuristic have no SQL form; the
+# tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
