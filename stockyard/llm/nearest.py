@@ -45,8 +45,8 @@ def usable(vectors):
     )
 
 
-def _matrix(table):
-    column = table.column("embedding").combine_chunks()
+def _matrix(table, name="embedding"):
+    column = table.column(name).combine_chunks()
     column = column if not isinstance(column, pa.ChunkedArray) else column.chunk(0)
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
 
@@ -156,8 +156,9 @@ def search(vectors, k=K, every=EVERY, query_block=QUERY_BLOCK, block=BLOCK):
     number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     queries = rows.where(is_query).withColumn("_q", number(q_blocks)).withColumn("_c", upto(blocks))
-    candidates = rows.withColumn("_c", number(blocks)).withColumn("_q", upto(q_blocks))
-    keys = ["dim", "_q", "_c"]
+    candidates = rows.withColumn("_c", number(blocks)).withColumn("_q", upto(q_blocks)).select(
+        *[F.col(c).alias(f"{c}_") for c in ("dim", "_q", "_c", "vec_id", "embedding")]
+    )
 
     def run(left, right):
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()),
@@ -165,12 +166,12 @@ def search(vectors, k=K, every=EVERY, query_block=QUERY_BLOCK, block=BLOCK):
         if not len(left) or not len(right):
             return schema.empty_table()
         query_ids = left.column("vec_id").to_numpy()
-        row, other, score = tile(query_ids, _matrix(left), right.column("vec_id").to_numpy(), _matrix(right), k)
+        row, other, score = tile(query_ids, _matrix(left), right.column("vec_id_").to_numpy(), _matrix(right, "embedding_"), k)
         lists = np.full(len(row), left.column("_c")[0].as_py())
         return pa.table([query_ids[row], other, score, lists], schema=schema)
 
     shape = "query_id long, vec_id long, score double, _list long"
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(run, shape)
+    found = queries.groupBy("dim", "_q", "_c").cogroup(candidates.groupBy("dim_", "_q_", "_c_")).applyInArrow(run, shape)
     while blocks > FAN:
         blocks = -(-blocks // FAN)
         found = found.withColumn("_next", F.pmod("_list", F.lit(blocks)))

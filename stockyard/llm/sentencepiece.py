@@ -25,7 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from stockyard.llm.common import ship_package, text_slices
+from stockyard.llm.common import mix, ship_package, text_slices
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values: piece types of the format
 UNIGRAM, BPE = 1, 2                          # fixed values: model types of the format
@@ -100,8 +100,9 @@ class Model:
         self.length = np.array([len(p) for p, _, _ in pieces] + [1], np.int64)
         self.hash = np.array([_hash(p) for p, _, _ in pieces] + [0], np.uint64)
         ids = np.array(list(self.id_of.values()), np.int64)
-        order = np.argsort(self.hash[ids])
-        self.keys, self.key_ids = self.hash[ids][order], ids[order]
+        keys = mix(self.hash[ids])
+        order = np.argsort(keys)
+        self.keys, self.key_ids = keys[order], ids[order]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces share a hash")
         # first sorted key of each range of leading bits, and how many a range has at most
@@ -186,6 +187,7 @@ class Model:
 
     def _find(self, hashes):
         """Piece with each hash, else -1."""
+        hashes = mix(hashes)
         at = self.first[hashes >> np.uint64(64 - LEAD)]
         result = np.full(len(hashes), -1, np.int64)
         for step in range(self.crowd):
@@ -255,16 +257,16 @@ class Model:
         best[0] = 0.0
         piece, back = np.full((n + 1, count), unknown), np.zeros((n + 1, count), np.int64)
         for j in range(1, n + 1):
-            open_ = np.ones(count, bool)  # a merge model has one way: words that have it are done
+            todo = np.arange(count)
             for size in range(min(j, self.longest), 0, -1):
                 start = j - size
-                found = self._find(prefix[j] - prefix[start] * self.power[size])
+                found = self._find(prefix[j, todo] - prefix[start, todo] * self.power[size])
                 if size == 1:
                     found = np.where(found < 0, unknown, found)
-                at = np.flatnonzero((found >= 0) & (best[start] > -np.inf) & (open_ if merges else True))
+                real = (found >= 0) & (best[start, todo] > -np.inf)
+                at, found = todo[real], found[real]
                 if not len(at):
                     continue
-                found = found[at]
                 if merges:
                     fits = self.whole[found]
                     if start:
@@ -276,7 +278,10 @@ class Model:
                 better = value > best[j, at]
                 at, found, value = at[better], found[better], value[better]
                 best[j, at], piece[j, at], back[j, at] = value, found, size
-                open_[at] = False
+                if merges:  # there is one way only: words that have it are done
+                    todo = todo[best[j, todo] == -np.inf]
+                    if not len(todo):
+                        break
         return self._paths(words, piece, back)
 
     def _paths(self, words, piece, back):

@@ -43,7 +43,7 @@ def _first_rule(rules, host, path, value):
     for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r)):
         rule_host, slash, rest = rule.partition("/")
         fits = ((host == rule_host) | host.endswith(f".{rule_host}")) & path.startswith(slash + rest)
-        found = (found or F).when(fits, F.lit(value((verdict, rule))))
+        found = (F if found is None else found).when(fits, F.lit(value((verdict, rule))))
     return found if found is not None else F.lit(None).cast("string")
 
 
