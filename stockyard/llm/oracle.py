@@ -1,5 +1,177 @@
-"""DuckDB texts of the queries that SQL can express."""
+"""DuckDB texts of the queries that SQL can express.
+
+The rest have none: trained models (1, 6), a vocabulary's segmentation (2, 9), learned
+region weights (5), XXH64 fingerprints (10) and MinHash (8). Their tests compare with
+brute force, public libraries or held-out labels.
+"""
+
+from stockyard.llm import nearest, quality_rules, url_filter
+
+
+def _nearest():
+    return f"""
+WITH v AS (
+  SELECT vec_id, max(CAST(embedding AS DOUBLE[])) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % {nearest.EVERY} = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM pairs WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= {nearest.K}
+"""
+
+
+def _quality_rules():
+    rates = {
+        "letters": "1000 * word_chars // greatest(n_words, 1)",
+        "symbols": "1000 * n_symbols // greatest(n_words, 1)",
+        "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)",
+        "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
+    }
+    unpivot = " UNION ALL ".join(
+        f"SELECT lang, source, '{name}' AS rate, CAST({value} AS BIGINT) AS x FROM m WHERE NOT base_failed"
+        for name, value in rates.items()
+    )
+
+    def quantiles(keys):
+        by = ", ".join([*keys, "rate"])
+        at = ", ".join(
+            f"min(CASE WHEN upto * 100 >= total * {p} THEN bucket END) AS q{p}" for p in (25, 50, 75)
+        )
+        return f"""
+  SELECT {by}, max(total) AS total, {at} FROM (
+    SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
+    FROM (SELECT {by}, bucket, sum(n) AS n FROM sketch GROUP BY {by}, bucket)
+  ) GROUP BY {by}"""
+
+    pick = ", ".join(
+        f"CASE WHEN o.total >= {quality_rules.MIN_GROUP} THEN o.q{p} "
+        f"WHEN l.total >= {quality_rules.MIN_GROUP} THEN l.q{p} ELSE a.q{p} END AS q{p}" for p in (25, 50, 75)
+    )
+    tests = []
+    for name, (least, both) in quality_rules.RATES.items():
+        fence = quality_rules.FENCE
+        tests.append(f"WHEN rate = '{name}' THEN x > q75 + greatest({fence} * (q75 - q50), {least})"
+                     + (f" OR x < q25 - greatest({fence} * (q50 - q25), {least})" if both else ""))
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM d
+), grams AS (
+  SELECT rid, i, array_to_string(ws[i : i + {quality_rules.RUN - 1}], ' ') AS g
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - {quality_rules.RUN - 2})) AS i FROM w)
+), twice AS (
+  SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) > 1
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n
+  FROM (SELECT rid, unnest(range(i, i + {quality_rules.RUN})) AS p FROM twice) GROUP BY rid
+), counts AS (
+  SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN covered ON w.rid = covered.rid
+), m AS (
+  SELECT *, n_words < {quality_rules.MIN_WORDS}
+    OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED} * n_words AS base_failed FROM counts
+), sketch AS (
+  SELECT lang, source, rate, (x >> e) << e AS bucket, count(*) AS n FROM (
+    SELECT *, greatest(length(bin(x)) - {quality_rules.DIGITS}, 0) AS e FROM ({unpivot})
+  ) GROUP BY ALL
+), own AS ({quantiles(["lang", "source"])}
+), by_lang AS ({quantiles(["lang"])}
+), overall AS ({quantiles([])}
+), cuts AS (
+  SELECT o.lang, o.source, o.rate, {pick} FROM own o
+  JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate JOIN overall a ON o.rate = a.rate
+), broken AS (
+  SELECT DISTINCT m.rid FROM (
+    SELECT rid, lang, source, unnest([{", ".join(f"'{r}'" for r in rates)}]) AS rate,
+      unnest([{", ".join(rates.values())}]) AS x FROM m
+  ) m JOIN cuts c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source
+    AND m.rate = c.rate
+  WHERE CASE {" ".join(t.replace("rate =", "c.rate =") for t in tests)} END
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND broken.rid IS NULL AS kept
+FROM m LEFT JOIN broken ON m.rid = broken.rid
+"""
+
+
+def _url_filter():
+    order, strength = url_filter.ORDER, url_filter.STRENGTH
+
+    def first_rule(value):
+        cases = []
+        for verdict, rule in sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r)):
+            host, slash, rest = rule.partition("/")
+            cases.append(
+                f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + rest}') "
+                f"THEN '{value((verdict, rule))}'"
+            )
+        return f"CASE {' '.join(cases)} END"
+
+    sides = {"accepted": "allow", "rejected": "block"}
+    tables, joins, chance = [], [], {side: str(1.0 / url_filter.ALPHABET) for side in sides}
+    for k in range(order + 1):
+        for name, key in ((f"s{k}", f"right(gram, {k + 1})"), (f"b{k}", f"substr(gram, {order + 1 - k}, {k})")):
+            sums = ", ".join(
+                f"sum(CASE WHEN verdict = '{v}' THEN n ELSE 0 END) AS {side}" for side, v in sides.items()
+            )
+            tables.append(f"{name} AS (SELECT {key} AS key, {sums} FROM known GROUP BY 1)")
+            joins.append(f"LEFT JOIN {name} ON {key.replace('gram', 'g.gram')} = {name}.key")
+        for side in sides:
+            chance[side] = (
+                f"((coalesce(s{k}.{side}, 0) + CAST({strength} AS DOUBLE) * {chance[side]}) "
+                f"/ (coalesce(b{k}.{side}, 0) + CAST({strength} AS DOUBLE)))"
+            )
+    return f"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+      '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), r AS (
+  SELECT *, {first_rule(lambda r: r[1])} AS rule, {first_rule(lambda r: r[0])} AS decided,
+    repeat(chr(2), {order}) || host || path || chr(3) AS padded FROM p
+), grams AS (
+  SELECT rid, decided AS verdict, substr(padded, i, {order + 1}) AS gram
+  FROM (SELECT rid, decided, padded, unnest(range(1, length(padded) - {order - 1})) AS i FROM r)
+), counts AS (SELECT gram, verdict, count(*) AS n FROM grams GROUP BY ALL
+), known AS (SELECT * FROM counts WHERE verdict IS NOT NULL
+), {", ".join(tables)}
+, ratios AS (
+  SELECT g.gram, ln({chance["accepted"]}) - ln({chance["rejected"]}) AS ratio
+  FROM (SELECT DISTINCT gram FROM counts) g {" ".join(joins)}
+), scores AS (
+  SELECT rid, sum(ratio) / count(*) AS score FROM grams JOIN ratios USING (gram) GROUP BY rid
+), scored AS (SELECT * FROM r JOIN scores USING (rid)
+), sides AS (
+  SELECT avg(score) FILTER (decided = 'allow') AS ma, stddev_pop(score) FILTER (decided = 'allow') AS sa,
+    avg(score) FILTER (decided = 'block') AS mb, stddev_pop(score) FILTER (decided = 'block') AS sb FROM scored
+), cutoff AS (
+  SELECT CASE WHEN ma IS NULL OR mb IS NULL THEN CAST('-inf' AS DOUBLE)
+    WHEN sa + sb = 0 THEN (ma + mb) / 2 ELSE (ma * sb + mb * sa) / (sa + sb) END AS c FROM sides
+)
+SELECT page_id, host, path, rule,
+  coalesce(decided, CASE WHEN score >= c THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
+FROM scored, cutoff
+"""
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op3_nearest": _nearest(),
+        "op4_url_filter": _url_filter(),
+        "op7_quality_rules": _quality_rules(),
+    }

@@ -31,10 +31,10 @@ FENCE = 3          # distance of a cutoff from the upper quartile, in median-qua
 # Rates by name: least distance that a cutoff keeps from the quartile, and whether
 # values far below the lower quartile fail too.
 RATES = {
-    "letters": (2_000, True),      # characters in a thousand words
+    "letters": (3_000, True),      # characters in a thousand words
     "symbols": (100, False),       # in a thousand words
-    "dup_lines": (250, False),     # in a thousand lines
-    "repeats": (50, False),        # in a thousand words
+    "dup_lines": (300, False),     # in a thousand lines
+    "repeats": (150, False),       # in a thousand words
 }
 
 

@@ -106,7 +106,7 @@ def judge(pages, rules=RULES):
     return scored.select(
         "page_id", "host", "path", "rule",
         F.coalesce("decided", F.when(F.col("score") >= cutoff, "allow").otherwise("block")).alias("verdict"),
-        "score",
+        F.round("score", 6).alias("score"),
     )
 
 

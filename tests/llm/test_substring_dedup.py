@@ -1,0 +1,133 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+from helpers import docs, prose
+from pyspark.sql import functions as F
+
+from stockyard.llm import substring_dedup as D
+
+PASSAGE = prose(999, 70)
+
+
+def _found(table):
+    return {r["doc_id"]: r for r in D.dedup(table).collect()}
+
+
+def test_whole_line_and_embedded_passages(spark):
+    own = [prose(k, 150) for k in range(6)]
+    middle = own[2].split()
+    table = docs(
+        spark, (5, f"{own[0]}\n{PASSAGE}\n{own[1]}"),
+        (9, " ".join([*middle[:60], PASSAGE, *middle[60:]])),
+        (11, own[3]), (12, f"{PASSAGE} {own[4]}"), (13, own[5]),
+    )
+    rows = _found(table)
+    originals = {r["doc_id"]: r["text"] for r in table.collect()}
+    for clean in (5, 11, 13):
+        assert rows[clean]["text"] == originals[clean] and rows[clean]["n_removed"] == 0 and rows[clean]["spans"] == []
+    for copy in (9, 12):
+        assert rows[copy]["kept_by"] == [5] and rows[copy]["n_removed"] >= 55
+        gone = [originals[copy][s["start"] : s["end"]] for s in rows[copy]["spans"]]
+        assert sum(len(g.split()) for g in gone) == rows[copy]["n_removed"]
+        assert all(g in PASSAGE for g in gone)
+    assert rows[9]["text"].split()[:50] == middle[:50]
+
+
+def test_near_paragraphs_by_exact_similarity(spark):
+    words = prose(500, 120).replace(".", ",").split()
+    near, far = list(words), list(words)
+    near[40] = "changed"
+    for k in range(5, 120, 9):
+        far[k] = "other"
+    rows = _found(docs(spark, (1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))))
+    assert rows[2]["text"] == "" and rows[2]["kept_by"] == [1]
+    assert rows[1]["n_removed"] == rows[3]["n_removed"] == 0
+
+
+def _jaccard(a, b):
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+    a, b = shingles(a.split()), shingles(b.split())
+    return len(a & b) / len(a | b)
+
+
+def test_paragraphs_against_all_pairs(spark):
+    """One paragraph a document, no sentence in common: only similarity can mark it."""
+    random = np.random.default_rng(6)
+    texts = []
+    for group in range(12):
+        base = prose(2000 + group, 90).replace(".", "").split()
+        for _ in range(5):
+            copy = list(base)
+            for at in random.integers(0, 90, int(random.integers(0, 9))):
+                copy[at] = f"w{random.integers(0, 10_000)}"
+            texts.append(" ".join(copy))
+    rows = _found(docs(spark, *texts))
+    near = lambda i, j: _jaccard(texts[i], texts[j]) >= 0.8
+    links = [(i, j) for i in range(60) for j in range(i) if near(i, j)]
+    from helpers import union_find
+
+    component = union_find(links, range(60))
+    wrong = [i for i in range(60) if (rows[i]["n_removed"] > 0) != (component[i] != i)]
+    assert links and len(wrong) <= 1  # bands find 99.5 of 100 pairs at the threshold
+
+
+def test_bands_reach_the_recall():
+    b = D.tune(0.8, 0.995, 3)
+    assert 1 - (1 - 0.8**3) ** b >= 0.995 > 1 - (1 - 0.8**3) ** (b - 1)
+
+
+def test_signatures_estimate_similarity():
+    a = prose(1, 300).split()
+    b = list(a)
+    for k in range(0, 300, 30):
+        b[k] = "z"
+    _, _, keys = D.signatures(pa.array([" ".join(a), " ".join(b)]), 400, rows=1)
+    assert (keys[0] == keys[1]).mean() == pytest.approx(_jaccard(" ".join(a), " ".join(b)), abs=0.08)
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_blocks_of_a_large_bucket_lose_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK", block)
+    base = prose(77, 100).replace(".", "").split()
+    texts = [" ".join([*base[:50], f"x{k}", *base[51:]]) for k in range(60)]
+    rows = _found(docs(spark, *texts))
+    assert [rows[k]["n_removed"] > 0 for k in range(60)] == [False] + [True] * 59
+
+
+def test_sentence_units_cover_the_text():
+    text = "Hi. A b c d e f g. One two\nthree four five six seven eight! ... Version 2.0 of a.b c is here now ok. " + "w " * 300
+    spans = D.sentences(text)
+    assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    covered = "".join(text[a:b] for a, b in spans)
+    assert "".join(covered.split()) == "".join(text.split())
+
+
+def test_runs_merge_and_need_words():
+    text = "one two three. four five six. seven eight nine."
+    assert D.runs(text, [(0, 14), (15, 29)], min_run=6) == [(0, 29)]
+    assert D.runs(text, [(0, 14), (30, 47)], min_run=4) == []
+    assert D.runs(text, [(0, 29), (5, 14)], min_run=1) == [(0, 29)]
+
+
+def test_short_common_lines_stay(spark):
+    rows = _found(docs(spark, *[f"{prose(k, 60)}\nLicensed under the usual terms.\n{prose(50 + k, 60)}" for k in range(8)]))
+    assert all(r["n_removed"] == 0 for r in rows.values())
+
+
+def test_odd_rows(spark):
+    own = prose(1, 90)
+    table = docs(spark, (1, f"{own}\n{PASSAGE}"), (1, f"{own}\n{PASSAGE}"), (None, PASSAGE), (None, PASSAGE),
+                 (3, None), (4, ""), (5, f"{PASSAGE}\n{PASSAGE}"), (6, "word " * 60_000), (7, " \n . ! "))
+    table = table.withColumn("h", F.lit("mine")).withColumn("_key", F.lit(1)).withColumn("start", F.lit(2))
+    out = D.without_repeats(table)
+    assert out.columns == table.columns
+    rows = out.collect()
+    assert len(rows) == 9
+    texts = {}
+    for r in rows:
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+    assert texts[1] == [f"{own}\n{PASSAGE}"] * 2  # the smallest id keeps, however often it comes
+    assert [t.strip() for t in texts[None]] == ["", ""] and texts[5][0].strip() == ""
+    assert texts[3] == [None] and texts[4] == [""] and texts[6] == ["word " * 60_000] and texts[7] == [" \n . ! "]
+    assert all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] is not None)
+    assert D.dedup(table.limit(0)).count() == 0
