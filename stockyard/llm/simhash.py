@@ -1,13 +1,18 @@
 """SimHash near-duplicates: fingerprints joined through a vantage-point tree.
 
 A tree over 64-bit fingerprints splits by Hamming distance from a vantage point: the
-inner branch takes distances up to a radius r, the outer branch those above
-r - max_bits. By the triangle inequality two fingerprints within ``max_bits`` of each
-other can't be parted by such a split, so every linked pair meets in some leaf; what
-lies near the boundary goes to both. The upper levels are built by the driver from a
-bounded sample of fingerprints and deal the distinct fingerprints out to shards; each
-shard builds its own lower levels and compares exactly. A shard returns a spanning
-forest of its links, never its pairs, and the components join the forests.
+inner branch takes distances up to a radius r, the outer branch those above r - reach.
+By the triangle inequality two fingerprints within ``reach`` of each other can't be
+parted by such a split, so every such pair meets in some leaf; what lies near the
+boundary goes to both. Of two fingerprints that differ in at most ``max_bits`` bits, one
+half differs in at most half as many: so there are two trees, one for the distances of
+each half, with a reach of ``max_bits // 2``, and far fewer fingerprints lie near a
+boundary than if whole fingerprints were split.
+
+The upper levels are built by the driver from a bounded sample of fingerprints and deal
+the distinct fingerprints out to shards; each shard builds its own lower levels and
+compares whole fingerprints. A shard returns a spanning forest of its links, never its
+pairs, and the components join the forests.
 """
 
 import numpy as np
@@ -25,6 +30,7 @@ SEED = 42
 SAMPLE = 50_000  # fingerprints that the driver builds the upper tree from, at most
 SHARD = 4096     # fingerprints that one comparison takes, about
 CANDIDATES = 6   # vantage points tried for each split
+HALVES = (0x00000000FFFFFFFF, 0xFFFFFFFF00000000)
 
 
 def fingerprint(raw, shingle=SHINGLE):
@@ -66,10 +72,11 @@ def with_fingerprint(docs, shingle=SHINGLE, text_col="text"):
 
 class Tree:
     """Inner nodes are (vantage point, radius, inner child, outer child); a negative
-    child -k-1 is leaf k."""
+    child -k-1 is leaf k. Distances count the bits of ``mask`` alone; pairs within
+    ``reach`` share a leaf."""
 
-    def __init__(self, sample, total, leaf, max_bits, seed=11):
-        self.max_bits, self.nodes, self.leaves = max_bits, [], 0
+    def __init__(self, sample, total, leaf, mask, reach, seed=11):
+        self.mask, self.reach, self.nodes, self.leaves = np.uint64(mask), reach, [], 0
         self._random = np.random.default_rng(seed)
         self._scale = total / max(len(sample), 1)
         self.root = self._grow(sample, leaf)
@@ -82,11 +89,11 @@ class Tree:
             self.leaves += 1
             return -self.leaves
         point, radius = split
-        far = np.bitwise_count(sample ^ point)
+        far = self._far(sample, point)
         at = len(self.nodes)
         self.nodes.append(None)
         inner = self._grow(sample[far <= radius], leaf)
-        outer = self._grow(sample[far > radius - self.max_bits], leaf)
+        outer = self._grow(sample[far > radius - self.reach], leaf)
         self.nodes[at] = (point, radius, inner, outer)
         return at
 
@@ -94,14 +101,17 @@ class Tree:
         """The candidate whose larger branch is smallest; none if that hardly shrinks."""
         best = (0.9 * len(sample), None)
         for point in self._random.choice(sample, CANDIDATES):
-            upto = np.cumsum(np.bincount(np.bitwise_count(sample ^ point), minlength=65))
-            low = np.concatenate([np.zeros(self.max_bits, np.int64), upto[: 65 - self.max_bits]])
+            upto = np.cumsum(np.bincount(self._far(sample, point), minlength=65))
+            low = np.concatenate([np.zeros(self.reach, np.int64), upto[: 65 - self.reach]])
             larger = np.maximum(upto, len(sample) - low)
             radius = int(np.argmin(larger))
             if larger[radius] < best[0]:
                 best = (larger[radius], (point, radius))
         return best[1]
 
+    def _far(self, prints, point):
+        return np.bitwise_count((prints ^ point) & self.mask).astype(np.int64)
+
     def leaves_of(self, prints):
         """(position, leaf) for every leaf that each fingerprint belongs to."""
         positions, leaves, todo = [], [], [(self.root, np.arange(len(prints)))]
@@ -114,21 +124,36 @@ class Tree:
                 leaves.append(np.full(len(rows), -node - 1, np.int64))
                 continue
             point, radius, inner, outer = self.nodes[node]
-            far = np.bitwise_count(prints[rows] ^ point)
+            far = self._far(prints[rows], point)
             todo.append((inner, rows[far <= radius]))
-            todo.append((outer, rows[far > radius - self.max_bits]))
+            todo.append((outer, rows[far > radius - self.reach]))
         if not positions:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(positions), np.concatenate(leaves)
 
 
+def trees(sample, total, shard=SHARD, max_bits=MAX_BITS):
+    """One tree for each half of the fingerprints."""
+    return [Tree(sample, total, shard, mask, max_bits // 2) for mask in HALVES]
+
+
+def homes(forest_of, prints):
+    """(position, leaf) for every leaf of any of the trees; leaves are numbered through."""
+    found, before = [], 0
+    for tree in forest_of:
+        positions, leaves = tree.leaves_of(prints)
+        found.append((positions, leaves + before))
+        before += tree.leaves
+    return np.concatenate([p for p, _ in found]), np.concatenate([k for _, k in found])
+
+
 def forest(prints, max_bits=MAX_BITS, shard=SHARD):
     """Spanning forest (child, parent) of the links between distinct fingerprints."""
     prints = np.sort(prints)
     if len(prints) > 2 * shard:
-        tree = Tree(prints, len(prints), shard, max_bits)
-        if tree.nodes:
-            positions, leaves = tree.leaves_of(prints)
+        upper = trees(prints, len(prints), shard, max_bits)
+        if all(tree.nodes for tree in upper):
+            positions, leaves = homes(upper, prints)
             order = np.argsort(leaves, kind="stable")
             parts = np.split(positions[order], np.flatnonzero(np.diff(leaves[order])) + 1)
             found = [_reached(prints[np.sort(part)], max_bits) for part in parts]
@@ -166,12 +191,12 @@ def links(prints, max_bits=MAX_BITS, sample=SAMPLE, shard=SHARD):
     ship_package(spark)
     total = prints.count()
     drawn = prints.orderBy(F.xxhash64("_fp"), "_fp").limit(sample).toArrow()["_fp"].to_numpy()
-    tree = Tree(np.sort(drawn.astype(np.int64).view(np.uint64)), total, shard, max_bits)
+    upper = trees(np.sort(drawn.astype(np.int64).view(np.uint64)), total, shard, max_bits)
 
     def deal(batches):
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            positions, leaves = tree.leaves_of(values.view(np.uint64))
+            positions, leaves = homes(upper, values.view(np.uint64))
             for start in range(0, len(leaves), 1 << 20):
                 part = slice(start, start + (1 << 20))
                 yield pa.RecordBatch.from_arrays(

@@ -40,9 +40,9 @@ def test_forest_joins_exactly_what_links_join(shard):
 
 def test_tree_brings_every_linked_pair_together():
     prints = _clustered(5, 100, 6, 3)
-    tree = S.Tree(prints, len(prints), 32, 3)
-    assert tree.leaves > 4
-    positions, leaves = tree.leaves_of(prints)
+    upper = S.trees(prints, len(prints), 32)
+    assert all(tree.leaves > 4 for tree in upper)
+    positions, leaves = S.homes(upper, prints)
     homes = {}
     for p, leaf in zip(positions, leaves):
         homes.setdefault(int(prints[p]), set()).add(int(leaf))
