@@ -20,7 +20,3 @@ def lenient_date(text, fmt=ISO) -> Column:
 
 def iso_text(date="date") -> Column:
     return F.date_format(F.col(date), ISO)
-
-
-def month_start(date="date") -> Column:
-    return F.trunc(F.col(date), "MM")

@@ -73,21 +73,18 @@ def root_mean_square_error() -> Column:
 
 
 def mean_absolute_percentage_error() -> Column:
-    """Rows without sales are left out. A mean of ratios: rounded to 6 places."""
+    """Rows without sales are left out."""
     share = F.try_divide(F.abs(_error()).cast("double"), F.col(C.SOLD).cast("double"))
-    return F.round(F.avg(share), 6)
+    return F.avg(share)
 
 
 def mean_coverage() -> Column:
     """Mean of stock / forecast over rows with a positive forecast."""
-    return F.round(
-        F.avg(
-            F.when(
-                F.col(C.FORECAST) > 0,
-                F.try_divide(F.col(C.LEVEL).cast("double"), F.col(C.FORECAST).cast("double")),
-            )
-        ),
-        6,
+    return F.avg(
+        F.when(
+            F.col(C.FORECAST) > 0,
+            F.try_divide(F.col(C.LEVEL).cast("double"), F.col(C.FORECAST).cast("double")),
+        )
     )
 
 

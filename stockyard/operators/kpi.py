@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from stockyard import params as P
 from stockyard.functions import classify as C
 from stockyard.functions import measures as M
-from stockyard.operators.quality import distinct_count, share_of_total, to_long
+from stockyard.operators.quality import share_of_total, to_long
+from stockyard.operators.reshape import reindex
 
 
 def report(df: DataFrame, by=(), measures=(), where=None, order=()):
@@ -86,6 +87,7 @@ def store_region_summary(df, by):
 
 def kpi_summary(df):
     """Ten (metric, value) rows with their order, from one aggregation."""
+    # The metric names.
     wide = df.agg(
         M.rows().cast("double").alias("Total Observations"),
         F.sum(C.SOLD).cast("double").alias("Total Units Sold"),
@@ -113,20 +115,21 @@ def with_risk(df: DataFrame, cuts=P.CANONICAL_CUTS, into=C.RISK):
     return df.withColumn(into, C.risk_tier(cuts))
 
 
-def risk_distribution(df: DataFrame, valid_only=True, cuts=P.CANONICAL_CUTS):
+def risk_distribution(df: DataFrame, valid_only=True, cuts=P.CANONICAL_CUTS, all_tiers=False):
     """Rows and percent per tier, in tier order.
 
-    ``valid_only`` leaves rows without a positive forecast out of both numbers.
+    ``valid_only`` leaves rows without a positive forecast out of both numbers;
+    ``all_tiers`` shows tiers without rows too, with 0.
     """
     if valid_only:
         df = df.filter(F.col(C.FORECAST) > 0)
-    counts = (
-        with_risk(df, cuts)
-        .groupBy("inventory_risk")
-        .agg(M.rows().alias("observations"))
-        .withColumn("risk_rank", C.rank_in("inventory_risk", P.RISK_TIERS))
-    )
-    return share_of_total(counts).orderBy("risk_rank")
+    counts = with_risk(df, cuts).groupBy("inventory_risk").agg(M.rows().alias("observations"))
+    if all_tiers:
+        counts = reindex(counts, "inventory_risk", P.RISK_TIERS, fill=0)
+    counts = counts.withColumn("risk_rank", C.rank_in("inventory_risk", P.RISK_TIERS))
+    return share_of_total(counts).select(
+        "inventory_risk", "observations", "risk_rank", "percentage"
+    ).orderBy("risk_rank")
 
 
 def risk_by(df: DataFrame, by, extra=()):
@@ -226,7 +229,7 @@ def store_efficiency(df: DataFrame):
 
 def store_efficiency_daily(df: DataFrame):
     """Units sold over mean stock times the number of distinct dates."""
-    days = distinct_count(df, "date", "days").scalar()
+    days = df.agg(F.count_distinct("date")).scalar()
     stock_days = F.col("avg_inventory") * days
     return (
         M.summarize(df, ["store_id"], ["total_units_sold", "avg_inventory", "avg_demand_forecast"])
@@ -270,13 +273,14 @@ DRIVER_MEASURES = {
 }
 
 
-def drivers(df: DataFrame, driver, measures=None, best_first=None):
-    """Average outcomes per value of a demand driver, on rows with a valid forecast."""
+def drivers(df: DataFrame, driver, measures=None, best_first=None, valid_only=True):
+    """Average outcomes per value of a demand driver, on rows with a valid forecast or
+    (``valid_only`` off) on all."""
     if best_first is None:
         best_first = driver in ("seasonality", "weather_condition")
     return report(
         df, [driver], ["observations", *(measures or DRIVER_MEASURES[driver])],
-        where=F.col(C.FORECAST) >= 0,
+        where=F.col(C.FORECAST) >= 0 if valid_only else None,
         order=[("avg_units_sold", "desc")] if best_first else [],
     )
 

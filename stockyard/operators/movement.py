@@ -7,6 +7,7 @@ from stockyard import params as P
 from stockyard.functions import measures as M
 from stockyard.functions import classify as C
 from stockyard.operators.ordering import column_quantiles, ntile, top_k
+from stockyard.operators.reshape import reindex
 from stockyard.session import materialize
 
 
@@ -91,7 +92,7 @@ def segment_table(df: DataFrame, by=("product_id",), method="ntile"):
 
 
 def segment_summary(segmented: DataFrame, digits=None):
-    """Means per segment, fastest first.
+    """Means per segment, fastest first; a segment without products shows with 0 of them.
 
     ``digits`` rounds the per-product stock and risk rate before they are averaged,
     which is what a report built on rounded product rows shows.
@@ -100,17 +101,15 @@ def segment_summary(segmented: DataFrame, digits=None):
         segmented = segmented.withColumns(
             {c: F.round(c, digits) for c in ("avg_inventory", "low_inventory_risk_rate")}
         )
-    return (
-        segmented.groupBy("movement_segment")
-        .agg(
-            M.rows().alias("num_products"),
-            M.mean("total_units_sold").alias("avg_total_units_sold"),
-            F.round(F.avg("avg_inventory"), 6).alias("avg_inventory"),
-            F.round(F.avg("inventory_turnover_proxy"), 9).alias("avg_turnover_proxy"),
-            F.round(F.avg("low_inventory_risk_rate"), 6).alias("avg_low_inventory_risk_rate"),
-        )
-        .orderBy(F.desc(C.rank_in("movement_segment", P.SEGMENTS)))
+    means = segmented.groupBy("movement_segment").agg(
+        M.rows().alias("num_products"),
+        M.mean("total_units_sold").alias("avg_total_units_sold"),
+        F.avg("avg_inventory").alias("avg_inventory"),
+        F.avg("inventory_turnover_proxy").alias("avg_turnover_proxy"),
+        F.avg("low_inventory_risk_rate").alias("avg_low_inventory_risk_rate"),
     )
+    fastest_first = list(reversed(P.SEGMENTS))
+    return reindex(means, "movement_segment", fastest_first).fillna(0, ["num_products"])
 
 
 def watchlist(segmented: DataFrame, kind, n=P.WATCHLIST_ROWS, key="product_id"):

@@ -6,6 +6,9 @@ one total per task gives the offsets. The sort key must be unique, so a value
 shared by a third of the rows is still spread over tasks by the rest of the key.
 """
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,65 +83,59 @@ def ntile(df: DataFrame, tiles, order, into="tile"):
     return ranked.withColumn(into, (tile + 1).cast("int")).drop("_rank", "grand_total")
 
 
-def value_histogram(df: DataFrame, columns):
-    """(name, value, n) over several numeric columns in one pass.
+def column_quantiles(df: DataFrame, columns, probabilities, accuracy=1000):
+    """Exact linear-interpolated quantiles of numeric columns, in two scans.
 
-    The counts combine before the shuffle, so its size follows the number of
-    distinct values, not of rows, and a hot value is one row per task. Values are
-    doubles; ints and decimal(10,2) convert without loss of order or identity. The
-    counts are stored in order, so whatever is derived from them shares the one scan.
+    One row per column that holds values: ``name`` and ``q0, q1, ..`` in the order of
+    ``probabilities``. The first scan brackets each quantile by a
+    mergeable sketch, whose error in rank is ``n / accuracy`` at most. The second
+    counts the values inside brackets one by one, and between brackets only how many
+    there are, the least and the largest. So what is grouped follows the brackets, a
+    hot value is one row per task, and nothing is sorted as a whole or stored.
     """
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("value"))
-            for i, c in enumerate(columns)
-        ]
-    )
-    names = F.array(*[F.lit(c) for c in columns])
+    probabilities, margin = [float(p) for p in probabilities], 2.0 / accuracy
+    ends = [min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-margin, margin)]
+    number = {c: F.col(c).cast("double") for c in columns}
+    bounds = df.agg(
+        F.struct(*[F.percentile_approx(v, ends, accuracy).alias(f"b{i}") for i, v in enumerate(number.values())])
+    ).scalar()
+    cells = []
+    for i, value in enumerate(number.values()):
+        bracket = [(bounds[f"b{i}"][2 * p], bounds[f"b{i}"][2 * p + 1]) for p in range(len(probabilities))]
+        inside = reduce(or_, [value.between(low, high) for low, high in bracket])
+        gap = reduce(add, [(value > high).cast("int") for _, high in bracket])
+        cells.append(F.struct(
+            F.lit(i).alias("i"), F.when(inside, -1).otherwise(gap).alias("gap"),
+            F.when(inside, value).alias("value"), value.alias("x"),
+        ))
     counts = (
-        df.select(F.inline(pairs))
-        .filter(F.col("value").isNotNull())
-        .groupBy("i", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(names[F.col("i")].alias("name"), "value", "n")
+        df.select(F.inline(F.array(*cells))).filter(F.col("x").isNotNull())
+        .groupBy("i", "gap", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     )
-    return place(counts, ["name", "value"])
-
-
-def quantiles(histogram: DataFrame, probabilities):
-    """Exact linear-interpolated quantiles of a value histogram.
-
-    One row per name, columns ``q0, q1, ..`` in the order of ``probabilities``.
-    """
-    ranked = accumulate(histogram, weight="n", into="_upto")
-    # One row per profiled column; a join by shuffle would put a column in one task.
-    sizes = group_offsets(histogram, "name", "n")
-    ranked = ranked.join(F.broadcast(sizes), "name").select(
-        "name",
-        "value",
-        "_size",
-        (F.col("_upto") - F.col("n") - F.col("_base")).alias("_first"),
-        (F.col("_upto") - F.col("_base")).alias("_end"),
+    within = W.partitionBy("i")  # the values near a few quantiles
+    ranked = counts.select(
+        "i", "n", "low", "high",
+        F.sum("n").over(within.orderBy("low").rowsBetween(W.unboundedPreceding, 0)).alias("_end"),
+        F.sum("n").over(within).alias("_size"),
     )
     picks = []
-    for i, p in enumerate(probabilities):
-        position = (F.col("_size") - 1).cast("double") * F.lit(float(p))
+    for k, p in enumerate(probabilities):
+        position = (F.col("_size") - 1).cast("double") * F.lit(p)
         for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
-            covers = (F.col("_first") <= rank) & (rank < F.col("_end"))
-            picks.append(F.max(F.when(covers, F.col("value"))).alias(f"_{side}{i}"))
-    picked = ranked.groupBy("name", "_size").agg(*picks)
-    result = [F.col("name")]
-    for i, p in enumerate(probabilities):
-        position = (F.col("_size") - 1).cast("double") * F.lit(float(p))
-        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-        result.append((low + (high - low) * (position - F.floor(position))).alias(f"q{i}"))
+            covers = (F.col("_end") - F.col("n") <= rank) & (rank < F.col("_end"))
+            # a rank in a gap is its first or its last: the bracket misses by less than one
+            value = F.when(rank == F.col("_end") - F.col("n"), F.col("low")).otherwise(F.col("high"))
+            picks.append(F.max(F.when(covers, value)).alias(f"_{side}{k}"))
+    picked = ranked.groupBy("i", "_size").agg(*picks)
+    result = [F.array(*[F.lit(c) for c in columns])[F.col("i")].alias("name")]
+    for k, p in enumerate(probabilities):
+        position = (F.col("_size") - 1).cast("double") * F.lit(p)
+        low, high = F.col(f"_low{k}"), F.col(f"_high{k}")
+        result.append((low + (high - low) * (position - F.floor(position))).alias(f"q{k}"))
     return picked.select(*result)
 
 
-def column_quantiles(df: DataFrame, columns, probabilities):
-    return quantiles(value_histogram(df, columns), probabilities)
-
-
 def approximate_quantiles(df: DataFrame, columns, probabilities, accuracy=10_000):
     """Quantiles from one mergeable sketch per column: one pass, small states.
 

@@ -14,7 +14,7 @@ from stockyard import params as P
 from stockyard import schema as S
 from stockyard.functions import classify as C
 from stockyard.functions import measures as M
-from stockyard.operators.ordering import quantiles, value_histogram
+from stockyard.operators.ordering import approximate_quantiles, column_quantiles
 from stockyard.session import materialize
 
 
@@ -44,18 +44,11 @@ def row_count(df: DataFrame):
     return df.agg(M.rows().alias("total_rows"))
 
 
-def distinct_count(df: DataFrame, column, into):
-    """Exact distinct count. The values are spread by hash before they are counted;
-    a plain global ``count(distinct)`` sends every task's values to one task."""
-    return df.select(column).distinct().agg(F.count(column).alias(into))
-
-
 def date_span(df: DataFrame):
-    per_date = df.groupBy("date").agg(F.lit(1).alias("_one"))
-    return per_date.agg(
+    return df.agg(
         F.min("date").alias("earliest_date"),
         F.max("date").alias("latest_date"),
-        F.count("date").alias("unique_dates"),
+        F.count_distinct("date").alias("unique_dates"),
     )
 
 
@@ -218,106 +211,115 @@ def _kind(data_type):
     return "string" if isinstance(data_type, T.StringType) else "other"
 
 
-def describe_numeric(df: DataFrame, columns=S.NUMERIC_COLUMNS):
+def _moments(df, columns):
+    """One row per column: count, mean, sample deviation, extremes; from one scan.
+
+    Whole numbers and decimals are added up exactly, in their own scale; where even 38
+    digits don't hold the squares, and for floating point, doubles are used.
+    """
+    fields, sums, rows = {f.name: f.dataType for f in df.schema}, [], []
+    for i, c in enumerate(columns):
+        kind, value = fields[c], F.col(c)
+        if isinstance(kind, T.IntegralType):
+            value = value.cast("decimal(20,0)" if isinstance(kind, T.LongType) else "decimal(10,0)")
+        number = F.col(c).cast("double")
+        exact = not isinstance(kind, T.FractionalType) or isinstance(kind, T.DecimalType)
+        sums += [
+            F.count(c).alias(f"_n{i}"), F.min(number).alias(f"_min{i}"), F.max(number).alias(f"_max{i}"),
+            F.try_sum(value if exact else number).alias(f"_sum{i}"),
+            F.try_sum(F.try_multiply(value, value) if exact else number * number).alias(f"_sq{i}"),
+            F.sum(number).alias(f"_dsum{i}"), F.sum(number * number).alias(f"_dsq{i}"),
+        ]
+        n, total, squares = (F.col(f"_{x}{i}") for x in ("n", "sum", "sq"))
+        count = n.cast("double")
+        plain = count * F.col(f"_dsq{i}") - F.col(f"_dsum{i}") * F.col(f"_dsum{i}")
+        whole = F.try_subtract(F.try_multiply(n.cast("decimal(20,0)"), squares), F.try_multiply(total, total))
+        spread = F.coalesce(whole.cast("double"), plain) if exact else plain
+        rows.append(F.struct(
+            F.lit(c).alias("column_name"), n.alias("count"),
+            F.try_divide(F.coalesce(total.cast("double"), F.col(f"_dsum{i}")), count).alias("mean"),
+            F.sqrt(F.try_divide(F.greatest(spread, F.lit(0.0)), count * (count - 1))).alias("std"),
+            F.col(f"_min{i}").alias("min"), F.col(f"_max{i}").alias("max"),
+        ))
+    return df.agg(M.rows().alias("_rows"), *sums).select(F.inline(F.array(*rows)))
+
+
+def describe_numeric(df: DataFrame, columns=S.NUMERIC_COLUMNS, approximate=False):
     """Count, mean, sample deviation, extremes and quartiles per numeric column.
 
-    All of it comes from one value histogram, hence from one scan.
+    A column without values has count 0 and otherwise NULL. Three scans of the
+    profiled columns: moments, brackets, quartiles; ``approximate`` takes the quartiles
+    from a sketch instead.
     """
-    histogram = value_histogram(df, columns)
-    # Moments in whole hundredths, exact in 38 digits; an overflow would raise, not wrap.
-    exact = F.rint(F.col("value") * 100).cast("decimal(12,0)")
-    weight = F.col("n").cast("decimal(14,0)")
-    moments = histogram.groupBy("name").agg(
-        F.sum("n").alias("count"),
-        F.sum(weight * exact).cast("decimal(19,0)").alias("_total"),
-        F.sum(weight * (exact * exact)).cast("decimal(24,0)").alias("_squares"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    take = approximate_quantiles if approximate else column_quantiles
+    quarters = take(df, columns, [0.25, 0.5, 0.75]).select(
+        F.col("name").alias("column_name"), F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
     )
-    count = F.col("count").cast("double")
-    numerator = (
-        F.col("count").cast("decimal(14,0)") * F.col("_squares")
-        - F.col("_total") * F.col("_total")
-    ).cast("double")
-    quarters = quantiles(histogram, [0.25, 0.5, 0.75])
     return (
-        moments.join(quarters, "name")
-        .select(
-            F.col("name").alias("column_name"),
-            "count",
-            (F.col("_total").cast("double") / 100 / count).alias("mean"),
-            F.sqrt(F.try_divide(numerator, count * (count - 1)) / 10000).alias("std"),
-            "min",
-            F.col("q0").alias("p25"),
-            F.col("q1").alias("p50"),
-            F.col("q2").alias("p75"),
-            "max",
-        )
+        _moments(df, columns).join(quarters, "column_name", "left")
+        .select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
         .orderBy("column_name")
     )
 
 
 def numeric_summary(df: DataFrame, columns=S.NUMERIC_COLUMNS):
     """Min, max, mean and median per numeric column."""
-    return describe_numeric(df, columns).select(
-        "column_name", "min", "max", "mean", F.col("p50").alias("median")
+    middle = column_quantiles(df, columns, [0.5]).select(F.col("name").alias("column_name"), F.col("q0").alias("median"))
+    return (
+        _moments(df, columns).join(middle, "column_name", "left")
+        .select("column_name", "min", "max", "mean", "median").orderBy("column_name")
     )
 
 
 def describe_strings(df: DataFrame, columns=S.STRING_COLUMNS):
     """Count, distinct, most frequent value and its frequency per text column.
 
-    Equal frequencies: the smallest value.
+    Equal frequencies: the smallest value. A column without values has counts of 0.
     """
-    counts = value_counts_all(df, columns).filter(F.col("column_value").isNotNull())
-    best = F.min(F.struct((-F.col("observations")).alias("o"), F.col("column_value").alias("v")))
+    counts = value_counts_all(df, columns)
+    seen = F.col("column_value").isNotNull()
+    best = F.min(F.when(seen, F.struct((-F.col("observations")).alias("o"), F.col("column_value").alias("v"))))
     return (
         counts.groupBy("column_name")
         .agg(
-            F.sum("observations").alias("count"),
-            F.count(F.lit(1)).alias("unique"),
+            F.coalesce(F.sum(F.when(seen, F.col("observations"))), F.lit(0)).alias("count"),
+            F.count_if(seen).alias("unique"),
             best.alias("_best"),
         )
-        .select(
-            "column_name",
-            "count",
-            "unique",
-            F.col("_best.v").alias("top"),
-            (-F.col("_best.o")).alias("freq"),
-        )
+        .select("column_name", "count", "unique", F.col("_best.v").alias("top"), (-F.col("_best.o")).alias("freq"))
         .orderBy("column_name")
     )
 
 
 def iqr_outliers(df: DataFrame, columns=S.NUMERIC_COLUMNS, fence=P.IQR_FENCE):
-    """Quartiles, fences and the rows outside them, per numeric column."""
-    histogram = value_histogram(df, columns)
-    quarters = quantiles(histogram, [0.25, 0.75]).select(
-        "name",
-        F.col("q0").alias("q1"),
-        F.col("q1").alias("q3"),
-        (F.col("q0") - F.lit(fence) * (F.col("q1") - F.col("q0"))).alias("lower_bound"),
-        (F.col("q1") + F.lit(fence) * (F.col("q1") - F.col("q0"))).alias("upper_bound"),
-    )
-    outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    return (
-        histogram.join(F.broadcast(quarters), "name")  # one row per profiled column
-        .groupBy(F.col("name").alias("column_name"), "q1", "q3", "lower_bound", "upper_bound")
-        .agg(
-            F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outlier_count"),
-            F.sum("n").alias("_rows"),
-        )
-        .withColumn(
-            "outlier_pct", F.try_divide(F.lit(100.0) * F.col("outlier_count"), F.col("_rows"))
-        )
-        .drop("_rows")
-        .orderBy("column_name")
-    )
+    """Quartiles, fences and the rows outside them, per numeric column.
+
+    The percentage is of all rows, also those without a value.
+    """
+    quarters = column_quantiles(df, columns, [0.25, 0.75])
+    width = F.lit(fence) * (F.col("q1") - F.col("q0"))
+    fences = quarters.agg(F.struct(*[
+        F.max(F.when(F.col("name") == c, F.struct(
+            F.col("q0").alias("q1"), F.col("q1").alias("q3"), (F.col("q0") - width).alias("lower_bound"),
+            (F.col("q1") + width).alias("upper_bound"),
+        ))).alias(f"f{i}")
+        for i, c in enumerate(columns)
+    ])).scalar()
+    outside, rows = [], []
+    for i, c in enumerate(columns):
+        value, f = F.col(c).cast("double"), fences[f"f{i}"]
+        outside.append(F.count_if((value < f["lower_bound"]) | (value > f["upper_bound"])).alias(f"_n{i}"))
+        rows.append(F.struct(
+            F.lit(c).alias("column_name"), *[f[x].alias(x) for x in ("q1", "q3", "lower_bound", "upper_bound")],
+            F.col(f"_n{i}").alias("outlier_count"),
+            F.try_divide(F.lit(100.0) * F.col(f"_n{i}"), F.col("_rows")).alias("outlier_pct"),
+        ))
+    return df.agg(M.rows().alias("_rows"), *outside).select(F.inline(F.array(*rows))).orderBy("column_name")
 
 
 def median(df: DataFrame, column, into="median"):
     """Exact median without a global window over the rows."""
-    return quantiles(value_histogram(df, [column]), [0.5]).select(F.col("q0").alias(into))
+    return column_quantiles(df, [column], [0.5]).select(F.col("q0").alias(into))
 
 
 def descriptive_stats(df: DataFrame):
@@ -371,41 +373,61 @@ def negative_forecast_described(df: DataFrame, columns=("demand_forecast", "unit
 # --- summaries --------------------------------------------------------------
 
 
-UNIQUE_LABELS = {
-    "store_id": "Unique stores", "product_id": "Unique products", "category": "Unique categories",
-    "region": "Unique regions", "date": "Unique dates",
+# The checks of the summary, in order.
+SUMMARY_CHECKS = [
+    "Number of rows", "Number of columns", "Missing values", "Duplicate rows",
+    "Duplicate business keys", "Invalid dates", "Negative inventory", "Negative units sold",
+    "Negative units ordered", "Negative demand forecasts", "Unique stores",
+    "Unique products", "Unique categories", "Unique regions", "Unique dates",
+]
+NEGATIVE_CHECKS = {
+    "Negative inventory": "inventory_level", "Negative units sold": "units_sold",
+    "Negative units ordered": "units_ordered", "Negative demand forecasts": "demand_forecast",
+}
+UNIQUE_CHECKS = {
+    "Unique stores": "store_id", "Unique products": "product_id", "Unique categories": "category",
+    "Unique regions": "region", "Unique dates": "date",
 }
 
 
 def quality_summary(df: DataFrame, keys=S.KEYS):
-    """Fifteen (check, result) rows with their order."""
+    """Fifteen (check, result) rows with their order, from two scans.
+
+    Rows are first grouped by business key and content (two 64-bit hashes of all
+    columns): counters add up from these groups, and what is distinct is counted over
+    groups, not rows; the second scan groups the few columns outside the key.
+    """
     columns = [c for c in S.FACT_COLUMNS if c in df.columns]
-    df = df.select(*columns)
-    missing = sum((F.count_if(F.col(c).isNull()) for c in columns[1:]), F.count_if(F.col(columns[0]).isNull()))
-    one = df.agg(
-        M.rows().alias("Number of rows"),
-        F.lit(len(columns)).cast("bigint").alias("Number of columns"),
-        missing.alias("Missing values"),
-        F.count_if(F.col("date").isNull()).alias("Invalid dates"),
-        F.count_if(F.col("inventory_level") < 0).alias("Negative inventory"),
-        F.count_if(F.col("units_sold") < 0).alias("Negative units sold"),
-        F.count_if(F.col("units_ordered") < 0).alias("Negative units ordered"),
-        F.count_if(F.col("demand_forecast") < 0).alias("Negative demand forecasts"),
-        *[F.count_distinct(c).alias(label) for c, label in UNIQUE_LABELS.items()],
+    missing = sum((F.col(c).isNull().cast("bigint") for c in columns[1:]), F.col(columns[0]).isNull().cast("bigint"))
+    content = [F.xxhash64(*columns).alias("_h1"), F.xxhash64(F.lit(1), *reversed(columns)).alias("_h2")]
+    negative = {f"_{c}": (F.col(c) < 0).cast("bigint") for c in NEGATIVE_CHECKS.values()}
+    unkeyed = [c for c in UNIQUE_CHECKS.values() if c not in keys]
+    groups = (
+        df.select(*columns, *content, missing.alias("_missing"), *[v.alias(k) for k, v in negative.items()])
+        .groupBy(*keys, "_h1", "_h2")
+        .agg(M.rows().alias("_n"), F.sum("_missing").alias("_missing"), *[F.sum(k).alias(k) for k in negative])
     )
-    copies = duplicate_summary(df, keys).select(
-        F.col("duplicate_rows").alias("Duplicate rows"),
-        F.col("surplus_key_rows").alias("Duplicate business keys"),
+    per_key = groups.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("_n", "_missing", *negative)], M.rows().alias("_variants")
+    )
+    others = df.select(*unkeyed).distinct().agg(
+        F.struct(*[F.count_distinct(c).alias(c) for c in unkeyed])
+    ).scalar()
+    totals = per_key.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("Number of rows"),
+        F.lit(len(columns)).cast("bigint").alias("Number of columns"),
+        F.coalesce(F.sum("_missing"), F.lit(0)).alias("Missing values"),
+        F.coalesce(F.sum(F.col("_n") - F.col("_variants")), F.lit(0)).alias("Duplicate rows"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("Duplicate business keys"),
+        F.coalesce(F.sum(F.when(F.col("date").isNull(), F.col("_n"))), F.lit(0)).alias("Invalid dates"),
+        *[F.coalesce(F.sum(f"_{c}"), F.lit(0)).alias(name) for name, c in NEGATIVE_CHECKS.items()],
+        *[F.count_distinct(c).alias(name) for name, c in UNIQUE_CHECKS.items() if c in keys],
+    ).withColumn("_others", others)
+    totals = totals.withColumns({name: F.col(f"_others.{c}") for name, c in UNIQUE_CHECKS.items() if c in unkeyed})
+    return (
+        to_long(totals.select(*SUMMARY_CHECKS), None, "check", "result", "bigint")
+        .withColumn("position", C.rank_in("check", SUMMARY_CHECKS)).orderBy("position")
     )
-    parts = [to_long(part, None, "check", "result", "bigint") for part in (one, copies)]
-    order = [
-        "Number of rows", "Number of columns", "Missing values", "Duplicate rows",
-        "Duplicate business keys", "Invalid dates", "Negative inventory", "Negative units sold",
-        "Negative units ordered", "Negative demand forecasts", "Unique stores",
-        "Unique products", "Unique categories", "Unique regions", "Unique dates",
-    ]
-    rows = parts[0].unionAll(parts[1])
-    return rows.withColumn("position", C.rank_in("check", order)).orderBy("position")
 
 
 # Determinant -> dependent pairs worth testing before moving a column to a dimension.

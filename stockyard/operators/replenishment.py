@@ -107,8 +107,9 @@ def lead_time_demand(rate="avg_daily_sales", lead_time=P.LEAD_TIME_DAYS):
 def with_latest_stock(df: DataFrame, days=P.TRAILING_DAYS, as_of=None):
     """As ``latest_with_stats`` in one scan and one shuffle.
 
-    The latest row lies inside the trailing window and the business key is unique,
-    so the same aggregation that takes the statistics can pick it up.
+    The latest row lies inside the trailing window, so the same aggregation that takes
+    the statistics can pick it up, as one struct: values of one row stay together even
+    if a business key were repeated.
     """
     day = reference_date(df, as_of)
     newest = F.col("date") == day
@@ -116,15 +117,16 @@ def with_latest_stock(df: DataFrame, days=P.TRAILING_DAYS, as_of=None):
         trailing_window(df, days, as_of)
         .groupBy("store_id", "product_id")
         .agg(
-            F.max(F.when(newest, F.col(C.LEVEL))).alias(C.LEVEL),
-            F.max(F.when(newest, F.col(C.FORECAST))).alias(C.FORECAST),
-            F.count_if(newest).alias("_newest"),
+            F.max(F.when(newest, F.struct(C.LEVEL, C.FORECAST))).alias("_newest"),
             M.mean(C.SOLD).alias("avg_daily_sales"),
             M.spread(C.SOLD).alias("stddev_daily_sales"),
             M.rows().alias("days_observed"),
         )
-        .filter(F.col("_newest") > 0)
-        .drop("_newest")
+        .filter(F.col("_newest").isNotNull())
+        .select(
+            "store_id", "product_id", f"_newest.{C.LEVEL}", f"_newest.{C.FORECAST}", "avg_daily_sales",
+            "stddev_daily_sales", "days_observed",
+        )
     )
 
 

@@ -12,9 +12,12 @@ from stockyard.functions import measures as M
 def pivot_mean(df: DataFrame, row, column, value=C.SOLD, columns=None):
     """Mean of ``value`` with ``row`` down and the values of ``column`` across.
 
-    Given ``columns`` it is one conditional aggregation. Without them Spark first
-    runs a distinct over ``column`` to learn the output schema.
+    Given ``columns`` (a list, or a frame of one column such as a stored dimension) it
+    is one conditional aggregation. Without them Spark first runs a distinct over
+    ``column`` to learn the output schema.
     """
+    if isinstance(columns, DataFrame):
+        columns = [r[0] for r in columns.orderBy(columns.columns[0]).collect()]
     pivot = df.groupBy(row).pivot(column, columns) if columns else df.groupBy(row).pivot(column)
     return pivot.agg(M.mean(value)).orderBy(row)
 
@@ -66,6 +69,7 @@ def sample_rows(df: DataFrame, n=P.SAMPLE_ROWS, seed=P.SAMPLE_SEED, keys=S.KEYS)
 
 
 def max_of_columns(df: DataFrame, columns=(C.FORECAST, C.LEVEL), into="max_value"):
+    """Largest value of several columns of the rows shown, such as ``sample_rows``."""
     tops = [F.max(c).cast("double") for c in columns]
     return df.agg(F.greatest(*tops).alias(into))
 

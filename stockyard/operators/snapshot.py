@@ -1,8 +1,9 @@
 """Point-in-time and trailing-window views of the fact.
 
 The latest date is a scalar subquery, which Spark evaluates first and pushes into
-the scan as a literal. A stored fact carries a month or year partition column; the
-same bound on it prunes whole partitions.
+the scan as a literal. A stored fact carries a month or year partition column: the
+newest period is found from the partitions, the latest date inside it, and the same
+bound on the period prunes all others.
 """
 
 import datetime
@@ -22,6 +23,9 @@ def reference_date(df: DataFrame, as_of=None, shape=lambda day: day):
     plain comparison that Parquet filters and partition pruning understand.
     """
     if as_of is None:
+        for column in S.GRAINS:
+            if column in df.columns:
+                df = df.filter(F.col(column) == df.agg(F.max(column)).scalar())
         return df.agg(shape(F.max("date"))).scalar()
     if isinstance(as_of, str):
         as_of = datetime.date.fromisoformat(as_of)

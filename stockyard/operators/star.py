@@ -8,38 +8,33 @@ from pyspark.sql import functions as F
 from stockyard import schema as S
 from stockyard.functions import measures as M
 from stockyard.operators.ordering import accumulate, group_offsets, place
-from stockyard.operators.quality import foreign_key_check
-from stockyard.session import materialize
+from stockyard.operators.quality import foreign_key_check, to_long
 
 
 def build_dimensions(df: DataFrame):
     """Name -> frame for the two entity tables, four lookups and the promotions.
 
-    One scan: the values of all six columns are collected together. Surrogate ids
-    follow the name order within a lookup, so a rerun gives the same ids; they come
-    from a distributed rank, so a lookup may be of any size. Missing values get no id.
-    The result is stored, which gives Catalyst the size of each dimension.
+    The values of all six columns are counted by one grouping per column over the same
+    rows, so every task sends each value once. Surrogate ids follow the name order
+    within a lookup, so a rerun gives the same ids; they come from a distributed rank,
+    so a lookup may be of any size. Missing values get no id.
     """
-    source = {table: column for table, (column, _, _) in S.LOOKUPS.items()} | S.ENTITIES
-    pairs = F.array(
-        *[
-            F.struct(F.lit(table).alias("table"), F.col(column).alias("value"))
-            for table, column in source.items()
-        ]
-    )
-    seen = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
-    placed = place(seen, ["table", "value"])
-    # Six rows; a join by shuffle would put a whole dimension in one task.
+    dimensions = {
+        table: df.select(key).filter(F.col(key).isNotNull()).distinct() for table, key in S.ENTITIES.items()
+    }
+    parts = [
+        df.select(F.lit(table).alias("table"), F.col(column).alias("value"))
+        .filter(F.col("value").isNotNull()).distinct()
+        for table, (column, _, _) in S.LOOKUPS.items()
+    ]
+    placed = place(reduce(DataFrame.unionAll, parts), ["table", "value"])
+    # Four rows; a join by shuffle would put a whole lookup in one task.
     starts = F.broadcast(group_offsets(placed, "table"))
     numbered = accumulate(placed, into="_rank").join(starts, "table").select(
         "table", "value", (F.col("_rank") - F.col("_base")).cast("int").alias("id")
     )
-    stored = materialize(numbered, "dimension_values")
-    dimensions = {}
-    for table, key in S.ENTITIES.items():
-        dimensions[table] = stored.filter(F.col("table") == table).select(F.col("value").alias(key))
     for table, (_, key, name) in S.LOOKUPS.items():
-        dimensions[table] = stored.filter(F.col("table") == table).select(
+        dimensions[table] = numbered.filter(F.col("table") == table).select(
             F.col("id").alias(key), F.col("value").alias(name)
         )
     dimensions["promotions"] = df.sparkSession.createDataFrame(S.PROMOTIONS, S.PROMOTIONS_SCHEMA)
@@ -81,31 +76,46 @@ def star_schema_check(fact: DataFrame, dimensions):
     return foreign_key_check(fact, keys)
 
 
-def load_reconciliation(staging: DataFrame, fact: DataFrame):
-    """(check, expected, actual, ok): an inner lookup must not lose rows or values."""
+def staging_check(staging: DataFrame, dimensions):
+    """As ``star_schema_check``, for flat rows that were not looked up yet: rows whose
+    name a lookup lacks, which normalising would lose, show as orphans of its key."""
+    rows = staging.withColumn("promotion_id", F.col("holiday_promotion"))
+    keys = {
+        "store_id": (dimensions["stores"], "store_id"),
+        "product_id": (dimensions["products"], "product_id"),
+        "promotion_id": (dimensions["promotions"], "promotion_id"),
+    }
+    for table, (column, key, name) in S.LOOKUPS.items():
+        rows = rows.withColumn(key, F.col(column))
+        keys[key] = (dimensions[table], name)
+    return foreign_key_check(rows, keys)
+
+
+def load_reconciliation(staging: DataFrame, fact: DataFrame, refused="_corrupt_record"):
+    """(check, expected, actual, ok): a load must not lose rows or values.
+
+    If the staging has the parser's column of refused lines, they are counted too.
+    """
     before = staging.agg(
-        M.rows().alias("staging_rows"), F.count_distinct("category").alias("categories")
-    )
-    after = fact.agg(
-        M.rows().alias("fact_rows"), F.count_distinct("category_id").alias("categories_used")
+        M.rows().alias("rows"), F.count_distinct("category").alias("categories"),
+        (F.count(refused) if refused in staging.columns else F.lit(0)).cast("bigint").alias("refused"),
     )
-    expected = before.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("rows").alias("check"), F.col("staging_rows").alias("expected")),
-                F.struct(F.lit("categories").alias("check"), F.col("categories").alias("expected")),
-            )
-        )
+    after = fact.agg(M.rows().alias("rows"), F.count_distinct("category_id").alias("categories")).withColumn(
+        "refused", F.lit(0).cast("bigint")
     )
-    actual = after.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("rows").alias("check"), F.col("fact_rows").alias("actual")),
-                F.struct(F.lit("categories").alias("check"), F.col("categories_used").alias("actual")),
-            )
+    checks = ["rows", "categories"] + ["refused"] * (refused in staging.columns)
+    # the staging is expected to hold no refused line, the fact all of its rows
+    expected = to_long(before.select(*checks), checks, "check", "expected")
+    actual = to_long(after.select(*checks), checks, "check", "actual")
+    if "refused" in checks:
+        swap = F.col("check") == "refused"
+        joined = expected.join(actual, "check").select(
+            "check", F.when(swap, F.col("actual")).otherwise(F.col("expected")).alias("expected"),
+            F.when(swap, F.col("expected")).otherwise(F.col("actual")).alias("actual"),
         )
-    )
-    return expected.join(actual, "check").withColumn("ok", F.col("expected") == F.col("actual"))
+    else:
+        joined = expected.join(actual, "check")
+    return joined.withColumn("ok", F.col("expected") == F.col("actual"))
 
 
 def row_counts(tables):

@@ -8,7 +8,6 @@ SHELF_STATUSES = ["Out of Stock", "Below Reorder", "Near Reorder", "Adequate Sto
 TREND_STATUSES = ["Out of Stock", "Below Reorder Point", "Adequate Stock"]
 SEGMENTS = ["Slow-moving", "Medium-moving", "Fast-moving"]
 SEASONS = ["Spring", "Summer", "Autumn", "Winter"]
-CATEGORIES = ["Clothing", "Electronics", "Furniture", "Groceries", "Toys"]
 
 # Tier cuts as multiples of the forecast.
 CANONICAL_CUTS = (Decimal("1.0"), Decimal("1.5"), Decimal("2.0"))

@@ -1,5 +1,7 @@
 """The four end-to-end jobs: clean a file, load it flat or normalised, publish orders."""
 
+from pyspark.sql import functions as F
+
 from stockyard import schema as S
 from stockyard.operators import cleaning, quality, replenishment, star
 from stockyard.session import materialize
@@ -18,39 +20,48 @@ def clean_csv(spark, source, target):
 
 
 def load_flat(spark, source, prefix="", expected_shape=None, location=None):
-    """Clean CSV into the typed flat table ``<prefix>inventory_sales``.
+    """Clean CSV into the typed flat table ``<prefix>inventory_sales``, by month.
 
     Refuses another shape, missing values and repeated keys before it touches the
     table, and checks the stored row count after.
     """
     rows = materialize(files.read_csv(spark, source), "load")
-    if expected_shape is not None:
-        tables.check_input_shape(rows, *expected_shape)
-    tables.require_unique(tables.require_complete(rows))
+    count = tables.require_complete(rows)
+    if expected_shape is not None and (count, len(rows.columns)) != tuple(expected_shape):
+        raise tables.ShapeError(f"unexpected shape {(count, len(rows.columns))}, expected {expected_shape}")
+    tables.require_unique(rows)
     created = tables.create_tables(spark, [tables.FACT_TABLE], prefix, location)
     name = created[tables.FACT_TABLE]
-    tables.load_fact(rows, name, expected_rows=rows.count())
+    tables.load_fact(rows, name, expected_rows=count)
     return spark.table(name)
 
 
-def load_star(spark, source, prefix="", location=None):
+def load_star(spark, source, prefix="", location=None, allow_refused=False):
     """Raw delimited file into staging, clip, dimensions, normalised fact, checks.
 
-    Returns (tables by name, reconciliation report). Rows the parser refuses do not
-    reach the fact; missing values and repeated keys in the others stop the load.
+    Returns (tables by name, reconciliation report). The report compares the staging
+    with the fact, refused lines included. Lines the parser refuses stop the load,
+    unless ``allow_refused``: then they are left out, and the report says how many.
+    Missing values and repeated keys in the others stop it in any case.
     """
     staged = files.bulk_load(spark, source)
-    rows = materialize(
-        cleaning.clip_negative_forecast(staged.filter(f"{files.CORRUPT} IS NULL")).select(*S.FACT_COLUMNS),
-        "clean",
+    refused = staged.filter(F.col(files.CORRUPT).isNotNull()).count()
+    if refused and not allow_refused:
+        raise tables.ConstraintError(f"{refused} refused lines")
+    rows = cleaning.clip_negative_forecast(
+        staged.filter(F.col(files.CORRUPT).isNull()).select(*S.FACT_COLUMNS)
     )
-    tables.require_unique(tables.require_complete(rows))
+    tables.require_complete(rows)
+    tables.require_unique(rows)
     stored = store_star(rows, prefix, location)
-    return stored, star.load_reconciliation(rows, stored["inventory_sales_normalized"])
+    return stored, star.load_reconciliation(staged, stored["inventory_sales_normalized"])
 
 
 def store_star(rows, prefix="", location=None):
-    """Create and fill every table of the normalised model; returns name -> frame."""
+    """Create and fill every table of the normalised model; returns name -> frame.
+
+    Loading again replaces what is there.
+    """
     spark = rows.sparkSession
     fact = "inventory_sales_normalized"
     names = [*S.ENTITIES, *S.LOOKUPS, "promotions"]

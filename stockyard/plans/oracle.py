@@ -8,8 +8,8 @@ rounded to 6 places, as in the DataFrame form.
 INPUT = """
 WITH b AS (
   SELECT CAST(l_shipdate AS DATE) AS date,
-    CONCAT('S', LPAD(CAST(s_nationkey + 1 AS VARCHAR(10)), 3, '0')) AS store_id,
-    CONCAT('P', LPAD(REPLACE(p_brand, 'Brand#', ''), 4, '0')) AS product_id,
+    'S' || REPEAT('0', 3 - LENGTH(CAST(s_nationkey + 1 AS VARCHAR))) || CAST(s_nationkey + 1 AS VARCHAR) AS store_id,
+    'P' || REPEAT('0', 4 - LENGTH(REPLACE(p_brand, 'Brand#', ''))) || REPLACE(p_brand, 'Brand#', '') AS product_id,
     p_type AS category, r_name AS region,
     CAST((l_orderkey * 37 + l_partkey * 17 + l_linenumber * 5) % 451 + 50 AS INT) AS inventory_level,
     CAST(l_quantity AS INT) AS qty,
@@ -56,6 +56,13 @@ TEXTS = ["store_id", "product_id", "category", "region", "weather_condition", "s
 KEY = "date, store_id, product_id"
 
 
+# Staging rows with some values missing.
+HOLES = (
+    "(SELECT * REPLACE (NULLIF(discount, 5) AS discount, NULLIF(category, 'PROMO') AS category, "
+    "CASE WHEN units_sold <> 0 THEN competitor_pricing END AS competitor_pricing) FROM raw)"
+)
+
+
 # --- building blocks --------------------------------------------------------
 
 
@@ -375,10 +382,10 @@ OUTLIERS = f"""
     ROUND(upper_bound, 9) AS upper_bound,
     COUNT(*) FILTER (WHERE v < lower_bound OR v > upper_bound) AS outlier_count,
     CAST(100 AS DOUBLE) * COUNT(*) FILTER (WHERE v < lower_bound OR v > upper_bound) / COUNT(*) AS outlier_pct
-  FROM ({unpivoted(NUMBERS, 'DOUBLE', 'raw')}) JOIN (
+  FROM ({unpivoted(NUMBERS, 'DOUBLE', HOLES)}) JOIN (
     SELECT column_name, q1, q3, q1 - 1.5::DOUBLE * (q3 - q1) AS lower_bound, q3 + 1.5::DOUBLE * (q3 - q1) AS upper_bound
     FROM (SELECT column_name, QUANTILE_CONT(v, 0.25) AS q1, QUANTILE_CONT(v, 0.75) AS q3
-          FROM ({unpivoted(NUMBERS, 'DOUBLE', 'raw')}) GROUP BY column_name)) USING (column_name)
+          FROM ({unpivoted(NUMBERS, 'DOUBLE', HOLES)}) GROUP BY column_name)) USING (column_name)
   GROUP BY ALL"""
 
 KPI_ROWS = [
@@ -393,11 +400,11 @@ BODIES = {
     # sources and sinks
     "read_csv": RAW_ROWS,
     "read_csv_dates": FACT_ROWS,
-    "bulk_load_staging": RAW_ROWS,
+    "bulk_load_staging": f"SELECT {COLUMNS}, units_sold = 0 AS refused FROM (SELECT * REPLACE (CASE WHEN units_sold <> 0 THEN date END AS date) FROM raw)",
     "table_query": grouped(
         "region, seasonality", f"COUNT(*) AS observations, {total('units_sold')} AS units_sold", "units_sold > 0"
     ),
-    "write_csv": DAILY,
+    "write_csv": FACT_ROWS,
     "load_fact": FACT_ROWS,
     "insert_select": STAR,
     "insert_values": "SELECT holiday_promotion AS promotion_id, holiday_promotion AS is_holiday_promotion, "
@@ -405,9 +412,6 @@ BODIES = {
     "COUNT(*) AS observations FROM fact GROUP BY holiday_promotion",
     "create_tables": TABLE_ROWS,
     "check_input_shape": f"SELECT COUNT(*) AS rows, 15 AS columns, COUNT(*) = (SELECT COUNT(*) FROM (SELECT DISTINCT {KEY} FROM raw)) AS ok FROM fact",
-    "cache_shared": "SELECT 'risk' AS table_name, COUNT(*) AS row_count FROM fact UNION ALL "
-    "SELECT 'movement', COUNT(DISTINCT product_id) FROM fact UNION ALL "
-    f"SELECT 'reorder', COUNT(*) FROM ({snapshot()})",
     # scalar derivations
     "parse_date_strict": f"SELECT {KEY}, inventory_level FROM fact",
     "parse_date_coerce": "SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE units_sold = 0) AS invalid_dates FROM fact",
@@ -446,7 +450,8 @@ BODIES = {
         (SELECT MIN(n) AS lo, MAX(n) AS hi FROM (SELECT {total('units_sold')} AS n FROM fact GROUP BY product_id))""",
     "sample_n": f"SELECT {KEY}, demand_forecast, inventory_level, {tier()} AS inventory_risk FROM fact "
     f"ORDER BY MD5(CONCAT_WS('|', STRFTIME(date, '%Y-%m-%d'), store_id, product_id, '42')), {KEY} LIMIT 4000",
-    "max_of_columns": "SELECT GREATEST(CAST(MAX(demand_forecast) AS DOUBLE), CAST(MAX(inventory_level) AS DOUBLE)) AS max_value FROM fact",
+    "max_of_columns": "SELECT GREATEST(CAST(MAX(demand_forecast) AS DOUBLE), CAST(MAX(inventory_level) AS DOUBLE)) AS max_value FROM (SELECT * FROM fact "
+    f"ORDER BY MD5(CONCAT_WS('|', STRFTIME(date, '%Y-%m-%d'), store_id, product_id, '42')), {KEY} LIMIT 4000)",
     "select_columns": f"SELECT {KEY}, category, inventory_level, units_sold, demand_forecast FROM fact",
     # joins and subqueries
     "equi_join_2key": latest_stats(),
@@ -464,10 +469,14 @@ BODIES = {
     "denormalize_fact": FACT_ROWS,
     "aligned_assign": grouped("product_id", f"{total('units_sold')} AS total_units_sold, {avg('inventory_level')} AS avg_inventory, {LOW_RATE} AS low_inventory_risk_rate"),
     "fk_check": " UNION ALL ".join(
-        f"SELECT '{k}' AS foreign_key, COUNT(*) AS checked_rows, CAST(0 AS BIGINT) AS orphan_rows, CAST(0 AS BIGINT) AS orphan_values "
-        "FROM raw WHERE category IN (SELECT category FROM raw WHERE demand_forecast >= 0) AND region IN (SELECT region FROM raw WHERE demand_forecast >= 0) "
-        "AND weather_condition IN (SELECT weather_condition FROM raw WHERE demand_forecast >= 0) AND seasonality IN (SELECT seasonality FROM raw WHERE demand_forecast >= 0)"
-        for k in ("store_id", "product_id", "category_id", "region_id", "weather_id", "season_id", "promotion_id")
+        f"SELECT '{key}' AS foreign_key, COUNT(*) AS checked_rows, COUNT(*) FILTER (WHERE {column} NOT IN (SELECT v FROM known_{i})) AS orphan_rows, "
+        f"COUNT(DISTINCT {column}) FILTER (WHERE {column} NOT IN (SELECT v FROM known_{i})) AS orphan_values "
+        f"FROM raw".replace(f"known_{i}", known)
+        for i, (key, column, known) in enumerate(
+            [(k, c, f"(SELECT DISTINCT {c} AS v FROM raw WHERE category <> 'PROMO' AND product_id < 'P0050')")
+             for k, c in [("store_id", "store_id"), ("product_id", "product_id"), *((i, c) for c, i in LOOKUP.values())]]
+            + [("promotion_id", "holiday_promotion", "(SELECT UNNEST([0, 1]) AS v)")]
+        )
     ),
     "reindex_to_domain": f"""SELECT d.inventory_status, COALESCE(n, 0) AS observations
       FROM (VALUES ('Out of Stock'), ('Below Reorder'), ('Near Reorder'), ('Adequate Stock')) d(inventory_status)
@@ -478,9 +487,9 @@ BODIES = {
     "row_count": "SELECT COUNT(*) AS total_rows FROM raw",
     "date_span": "SELECT MIN(date) AS earliest_date, MAX(date) AS latest_date, COUNT(DISTINCT date) AS unique_dates FROM raw",
     "cardinality": "SELECT COUNT(DISTINCT store_id) AS stores, COUNT(DISTINCT product_id) AS products, COUNT(DISTINCT category) AS categories, COUNT(DISTINCT region) AS regions FROM raw",
-    "null_counts": "SELECT " + ", ".join(f"COUNT(*) - COUNT({c}) AS {n}" for c, n in zip(COLUMNS.split(", "), NULL_NAMES)) + " FROM raw",
+    "null_counts": "SELECT " + ", ".join(f"COUNT(*) - COUNT({c}) AS {n}" for c, n in zip(COLUMNS.split(", "), NULL_NAMES)) + f" FROM {HOLES}",
     "missing_report": " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS missing_count, CAST(100 AS DOUBLE) * (COUNT(*) - COUNT({c})) / COUNT(*) AS missing_percentage FROM raw"
+        f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS missing_count, CAST(100 AS DOUBLE) * (COUNT(*) - COUNT({c})) / COUNT(*) AS missing_percentage FROM {HOLES}"
         for c in COLUMNS.split(", ")
     ),
     "duplicate_keys": f"SELECT {KEY}, COUNT(*) AS duplicate_count FROM raw GROUP BY {KEY} HAVING COUNT(*) > 1",
@@ -490,23 +499,25 @@ BODIES = {
     "zero_counts": " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} = 0) AS zero_count FROM raw" for c in NUMBERS),
     "value_counts": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, {c} AS column_value, COUNT(*) AS observations FROM raw GROUP BY {c}"
-        for c in ("category", "region", "weather_condition", "seasonality")
+        for c in TEXTS
     ),
     "value_counts_category": counted("category"),
     "value_counts_region": counted("region"),
     "value_counts_weather_condition": counted("weather_condition"),
     "value_counts_seasonality": counted("seasonality"),
+    "value_counts_store_id": counted("store_id"),
+    "value_counts_product_id": counted("product_id"),
     "select_dtypes": " UNION ALL ".join(
         f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS data_type, '{k}' AS kind, COUNT({c}) AS non_null_count FROM raw"
         for i, (c, t, k) in enumerate(TYPE_ROWS, 1)
     ),
-    "describe_numeric": describe(NUMBERS, "raw"),
+    "describe_numeric": describe(NUMBERS, HOLES),
     "describe_strings": f"""SELECT column_name, CAST(SUM(n) AS BIGINT) AS count, COUNT(*) AS "unique",
         ARG_MIN(v, rk) AS top, MAX(n) AS freq
       FROM (SELECT column_name, v, n, ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY n DESC, v) AS rk
-            FROM (SELECT column_name, v, COUNT(*) AS n FROM ({unpivoted(TEXTS, 'VARCHAR', 'raw')}) GROUP BY column_name, v))
+            FROM (SELECT column_name, v, COUNT(*) AS n FROM ({unpivoted(TEXTS, 'VARCHAR', HOLES)}) WHERE v IS NOT NULL GROUP BY column_name, v))
       GROUP BY column_name""",
-    "numeric_summary": f"SELECT column_name, min, max, mean, p50 AS median FROM ({describe(NUMBERS, 'raw')})",
+    "numeric_summary": f"SELECT column_name, min, max, mean, p50 AS median FROM ({describe(NUMBERS, HOLES)})",
     "iqr_outliers": OUTLIERS,
     "descriptive_stats": f"SELECT {EXTREMES}, QUANTILE_CONT(CAST(inventory_level AS DOUBLE), 0.5) AS median_inventory FROM fact",
     "negative_forecast_diag": f"SELECT COUNT(*) AS negative_forecast_rows, {avg('demand_forecast')} AS avg_negative_forecast, MIN(demand_forecast) AS min_negative_forecast, MAX(demand_forecast) AS max_negative_forecast FROM raw WHERE demand_forecast < 0",
@@ -535,7 +546,10 @@ BODIES = {
     "product_performance": grouped("product_id", PERF),
     "inventory_coverage": "SELECT ROUND(AVG(CAST(inventory_level AS DOUBLE) / CAST(demand_forecast AS DOUBLE)), 6) AS avg_inventory_coverage FROM fact WHERE demand_forecast > 0",
     "risk_distribution": f"SELECT inventory_risk, {RANK} AS risk_rank, observations, CAST(100 AS DOUBLE) * observations / SUM(observations) OVER () AS percentage FROM (SELECT {tier()} AS inventory_risk, COUNT(*) AS observations FROM fact WHERE demand_forecast > 0 GROUP BY 1)",
-    "risk_distribution_all": f"SELECT inventory_risk, {RANK} AS risk_rank, observations, CAST(100 AS DOUBLE) * observations / SUM(observations) OVER () AS percentage FROM (SELECT {tier()} AS inventory_risk, COUNT(*) AS observations FROM fact GROUP BY 1)",
+    "risk_distribution_all": f"""SELECT d.inventory_risk, d.risk_rank, COALESCE(n, 0) AS observations,
+        CAST(100 AS DOUBLE) * COALESCE(n, 0) / SUM(COALESCE(n, 0)) OVER () AS percentage
+      FROM (VALUES ('Understocked', 1), ('Balanced', 2), ('High Inventory', 3), ('Excess Inventory', 4)) d(inventory_risk, risk_rank)
+        LEFT JOIN (SELECT {tier()} AS inventory_risk, COUNT(*) AS n FROM fact WHERE inventory_level <= 2 * demand_forecast GROUP BY 1) USING (inventory_risk)""",
     "risk_by_store": grouped("store_id", RISK, "demand_forecast > 0"),
     "risk_by_category": grouped("category", RISK, "demand_forecast > 0"),
     "risk_by_product": grouped("product_id", f"{RISK}, {avg('inventory_level')} AS avg_inventory, {avg('demand_forecast')} AS avg_demand_forecast", "demand_forecast > 0"),
@@ -561,6 +575,11 @@ BODIES = {
     "drivers_promotion": driver("holiday_promotion", SOLD, FORECAST, STOCK, ORDERED),
     "drivers_season": driver("seasonality", SOLD, FORECAST, STOCK, ORDERED),
     "drivers_weather": driver("weather_condition", SOLD, FORECAST, STOCK, ORDERED),
+    "drivers_weather_all_rows": grouped(
+        "weather_condition", f"COUNT(*) AS observations, {avg('units_sold')} AS avg_units_sold, "
+        f"{avg('demand_forecast')} AS avg_demand_forecast, {avg('inventory_level')} AS avg_inventory, {avg('units_ordered')} AS avg_units_ordered",
+        table="(SELECT * REPLACE (CASE WHEN discount > 0 THEN demand_forecast END AS demand_forecast) FROM fact)",
+    ),
     "overstock_by_product": overstocked("product_id"),
     "overstock_by_category": overstocked("category"),
     "excess_by_product": grouped("product_id", f"COUNT(*) AS observations, COUNT(*) FILTER (WHERE {IS_TIER[3]}) AS overstock_observations, {pct(IS_TIER[3])} AS overstock_pct"),
@@ -650,5 +669,51 @@ BODIES |= {
 }
 
 
+# Sort keys of the reports whose order is part of the answer; they are unique.
+ORDERS = {
+    "missing_report": "missing_count DESC, column_name",
+    "duplicate_keys": f"duplicate_count DESC, {KEY}",
+    **{f"value_counts_{c}": f"observations DESC, {c}" for c in TEXTS},
+    "distinct_values": "discount",
+    "describe_numeric": "column_name", "numeric_summary": "column_name", "iqr_outliers": "column_name",
+    "describe_strings": "column_name", "negative_forecast_described": "column_name",
+    "negative_forecast_by": "negative_forecast_rows DESC, category",
+    "negative_forecast_by_season": "negative_forecast_rows DESC, seasonality",
+    "negative_forecast_by_promotion": "negative_forecast_rows DESC, holiday_promotion",
+    "quality_summary": "position", "quality_summary_clean": "position", "kpi_summary": "position",
+    "negative_forecast_preview": f"{KEY}, demand_forecast, inventory_level, units_ordered",
+    "peek_dates": "date", "preview": KEY,
+    "store_performance": "total_units_sold DESC, store_id", "product_performance": "total_units_sold DESC, product_id",
+    "category_performance": "total_units_sold DESC, category", "store_efficiency_daily": "store_id",
+    "store_order_efficiency": "order_to_sales_ratio DESC, store_id",
+    "excess_by_product": "overstock_pct DESC, product_id", "overstock_by_category": "overstock_pct DESC, category",
+    "understocked_segments": "understocked_observations DESC, store_id, category",
+    "excess_segments": "excess_inventory_observations DESC, store_id, category",
+    "risk_distribution": "risk_rank", "risk_distribution_all": "risk_rank",
+    **{f"risk_by_{c}": f"understocked_pct DESC, {k}" for c, k in
+       [("store", "store_id"), ("category", "category"), ("product", "product_id"), ("region", "region")]},
+    "drivers_season": "avg_units_sold DESC, seasonality", "drivers_weather": "avg_units_sold DESC, weather_condition",
+    "drivers_weather_all_rows": "avg_units_sold DESC, weather_condition",
+    "drivers_discount": "discount", "drivers_promotion": "holiday_promotion",
+    "monthly_units": "month", "monthly_sell_through": "month, region", "monthly_region_inventory": "month, region",
+    "movement_metrics": "total_units_sold DESC, product_id", "movement_metrics_rows": "total_units_sold DESC, product_id",
+    "movement_segments": "inventory_turnover_proxy DESC, product_id",
+    "movement_segments_qcut": "inventory_turnover_proxy DESC, product_id",
+    "segment_summary": "movement_segment = 'Slow-moving', movement_segment = 'Medium-moving'",
+    "replenishment_watchlist": "low_inventory_risk_rate DESC, product_id",
+    "tied_up_watchlist": "avg_inventory DESC, product_id",
+    "pivot_conditional": "store_id", "pivot_dynamic": "store_id", "crosstab_status": "store_id",
+    "reorder_recommendation": "recommended_order_qty DESC, store_id, product_id",
+    "reorder_recommendation_buffered": "recommended_order_qty DESC, store_id, product_id",
+    "reorder_actions": "recommended_order_qty DESC, store_id, product_id",
+    "order_by_metric": "total_units_sold DESC, region", "order_by_categorical": "season_rank",
+    "top_k": "overstock_pct DESC, product_id", "overstock_by_product": "overstock_pct DESC, product_id",
+}
+
+
 def oracle_sql():
-    return {name: f"{INPUT}{body}" for name, body in BODIES.items()}
+    bodies = {
+        name: f"SELECT * FROM ({body}) ORDER BY {ORDERS[name]}" if name in ORDERS else body
+        for name, body in BODIES.items()
+    }
+    return {name: f"{INPUT}{body}" for name, body in bodies.items()}

@@ -10,7 +10,7 @@ from stockyard.functions.present import report_view
 from stockyard.operators import cleaning, kpi, movement, quality, replenishment, reshape, star
 from stockyard.operators import ordering, snapshot
 from stockyard.plans import jobs
-from stockyard.session import materialize, work_path
+from stockyard.session import work_path
 from stockyard.sources import files, tables
 from stockyard.streaming import reorder_stream
 
@@ -39,6 +39,27 @@ def _round9(df, *columns):
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
+# Means of ratios depend on the order of addition in the last bits.
+MEANS = {"mape": 6, "avg_inventory_coverage": 6}
+
+
+def _settled(df, digits=MEANS):
+    return df.withColumns({c: F.round(c, d) for c, d in digits.items() if c in df.columns})
+
+
+def _holes(df):
+    """Staging rows with some values missing."""
+    return df.withColumns({
+        "discount": F.nullif(F.col("discount"), F.lit(5)),
+        "competitor_pricing": F.when(F.col("units_sold") != 0, F.col("competitor_pricing")),
+        "category": F.nullif(F.col("category"), F.lit("PROMO")),
+    })
+
+
+def _segment_means(df):
+    return _settled(df, {"avg_inventory": 6, "avg_turnover_proxy": 9, "avg_low_inventory_risk_rate": 6})
+
+
 def _keyed(df, *columns):
     return df.select(*KEYS, *columns)
 
@@ -62,10 +83,12 @@ def read_csv_dates(inv):
 
 @query()
 def bulk_load_staging(inv):
+    # Lines of rows without sales get a date that the parser refuses.
     spark = inv.raw.sparkSession
-    path = files.write_csv(inv.raw, work_path(spark, "csv"), titled=False)
+    date = F.when(F.col("units_sold") == 0, "no date").otherwise(F.col("date").cast("string"))
+    path = files.write_csv(inv.raw.withColumn("date", date), work_path(spark, "csv"), titled=False)
     staged = files.bulk_load(spark, path)
-    return staged.filter(F.col(files.CORRUPT).isNull()).drop(files.CORRUPT)
+    return staged.withColumn("refused", F.col(files.CORRUPT).isNotNull()).drop(files.CORRUPT)
 
 
 @query()
@@ -80,9 +103,8 @@ def table_query(inv):
 @query()
 def write_csv(inv):
     spark = inv.raw.sparkSession
-    table = replenishment.daily_reorder(inv.fact)
-    path = files.write_csv(table, work_path(spark, "csv"), titled=False)
-    return spark.read.schema(table.schema).option("header", True).csv(path)
+    path = files.write_csv(_flat(inv), work_path(spark, "csv"))
+    return files.read_csv(spark, path)
 
 
 @query()
@@ -90,12 +112,12 @@ def load_fact(inv):
     spark = inv.raw.sparkSession
     table = tables.create_tables(spark, [tables.FACT_TABLE], prefix="loaded_")[tables.FACT_TABLE]
     tables.load_fact(inv.fact, table, expected_rows=inv.fact.count())
-    return spark.table(table)
+    return spark.table(table).select(*S.FACT_COLUMNS)
 
 
 @query()
 def insert_select(inv):
-    return jobs.store_star(_flat(inv), "star_")["inventory_sales_normalized"]
+    return jobs.store_star(_flat(inv), "star_")["inventory_sales_normalized"].select(*S.NORMALIZED_COLUMNS)
 
 
 @query()
@@ -115,7 +137,9 @@ def insert_values(inv):
 def create_tables(inv):
     stored = jobs.store_star(_flat(inv), "typed_")
     counts = star.row_counts(stored)
-    widths = F.create_map(*[x for n, f in stored.items() for x in (F.lit(n), F.lit(len(f.columns)))])
+    widths = F.create_map(*[
+        x for n, f in stored.items() for x in (F.lit(n), F.lit(len([c for c in f.columns if c not in S.GRAINS])))
+    ])
     return counts.withColumn("column_count", widths[F.col("table_name")])
 
 
@@ -125,16 +149,6 @@ def check_input_shape(inv):
     return tables.shape_report(_flat(inv), keys, 15)
 
 
-@query()
-def cache_shared(inv):
-    shared = {
-        "risk": materialize(kpi.with_risk(_flat(inv)), "shared_risk"),
-        "movement": materialize(movement.segments(inv.fact, method="quantile"), "shared_movement"),
-        "reorder": materialize(replenishment.reorder(inv.fact), "shared_reorder"),
-    }
-    return star.row_counts(shared)
-
-
 # --- scalar derivations -----------------------------------------------------
 
 
@@ -302,7 +316,7 @@ def sample_n(inv):
 
 @query()
 def max_of_columns(inv):
-    return reshape.max_of_columns(inv.fact)
+    return reshape.max_of_columns(reshape.sample_rows(inv.fact))
 
 
 @query()
@@ -378,9 +392,9 @@ def aligned_assign(inv):
 
 @query()
 def fk_check(inv):
-    # Staging rows against dimensions that only know values with a valid forecast.
-    dimensions = star.build_dimensions(cleaning.valid_forecasts(inv.raw))
-    return star.star_schema_check(star.normalize(inv.raw, dimensions), dimensions)
+    # All staging rows against dimensions that lack one category and the newest products.
+    known = inv.raw.filter("category <> 'PROMO' AND product_id < 'P0050'")
+    return star.staging_check(inv.raw, star.build_dimensions(known))
 
 
 @query()
@@ -416,12 +430,12 @@ def cardinality(inv):
 
 @query()
 def null_counts(inv):
-    return quality.null_counts(inv.raw)
+    return quality.null_counts(_holes(inv.raw))
 
 
 @query()
 def missing_report(inv):
-    return quality.missing_report(inv.raw)
+    return quality.missing_report(_holes(inv.raw))
 
 
 @query()
@@ -451,12 +465,10 @@ def zero_counts(inv):
 
 @query()
 def value_counts(inv):
-    return quality.value_counts_all(
-        inv.raw, ["category", "region", "weather_condition", "seasonality"]
-    )
+    return quality.value_counts_all(inv.raw, S.STRING_COLUMNS)
 
 
-for _column in ("category", "region", "weather_condition", "seasonality"):
+for _column in S.STRING_COLUMNS:
     query(f"value_counts_{_column}")(lambda inv, c=_column: quality.value_counts(inv.fact, c))
 
 
@@ -467,22 +479,22 @@ def select_dtypes(inv):
 
 @query()
 def describe_numeric(inv):
-    return _round9(quality.describe_numeric(inv.raw), "std", "p25", "p50", "p75")
+    return _round9(quality.describe_numeric(_holes(inv.raw)), "std", "p25", "p50", "p75")
 
 
 @query()
 def describe_strings(inv):
-    return quality.describe_strings(inv.raw)
+    return quality.describe_strings(_holes(inv.raw))
 
 
 @query()
 def numeric_summary(inv):
-    return _round9(quality.numeric_summary(inv.raw), "median")
+    return _round9(quality.numeric_summary(_holes(inv.raw)), "median")
 
 
 @query()
 def iqr_outliers(inv):
-    return _round9(quality.iqr_outliers(inv.raw), "q1", "q3", "lower_bound", "upper_bound")
+    return _round9(quality.iqr_outliers(_holes(inv.raw)), "q1", "q3", "lower_bound", "upper_bound")
 
 
 @query()
@@ -557,7 +569,9 @@ _REPORTS = {
     "product_performance": lambda f: kpi.performance(f, ["product_id"]),
     "inventory_coverage": lambda f: kpi.inventory_coverage(f),
     "risk_distribution": lambda f: kpi.risk_distribution(f),
-    "risk_distribution_all": lambda f: kpi.risk_distribution(f, valid_only=False),
+    "risk_distribution_all": lambda f: kpi.risk_distribution(  # one tier has no rows
+        f.filter("inventory_level <= 2 * demand_forecast"), valid_only=False, all_tiers=True
+    ),
     "risk_by_store": lambda f: kpi.risk_by(f, ["store_id"]),
     "risk_by_category": lambda f: kpi.risk_by(f, ["category"]),
     "risk_by_product": lambda f: kpi.risk_by(
@@ -591,6 +605,10 @@ _REPORTS = {
     "drivers_promotion": lambda f: kpi.drivers(f, "holiday_promotion"),
     "drivers_season": lambda f: kpi.drivers(f, "seasonality"),
     "drivers_weather": lambda f: kpi.drivers(f, "weather_condition"),
+    "drivers_weather_all_rows": lambda f: kpi.drivers(
+        f.withColumn("demand_forecast", F.when(F.col("discount") > 0, F.col("demand_forecast"))),
+        "weather_condition", valid_only=False,
+    ),
     "overstock_by_product": lambda f: kpi.overstock(f, ["product_id"]),
     "overstock_by_category": lambda f: kpi.overstock(f, ["category"]),
     "excess_by_product": lambda f: kpi.excess_by(f, ["product_id"]),
@@ -599,7 +617,9 @@ _REPORTS = {
     "monthly_units": lambda f: kpi.monthly(f),
     "monthly_sell_through": lambda f: kpi.monthly_sell_through(f),
     "monthly_region_inventory": lambda f: kpi.monthly_region_inventory(f),
-    "kpi_summary": lambda f: kpi.kpi_summary(f),
+    "kpi_summary": lambda f: kpi.kpi_summary(f).withColumn(
+        "value", F.when(F.col("metric") == "Forecast MAPE", F.round("value", 6)).otherwise(F.col("value"))
+    ),
     "movement_metrics": lambda f: movement.movement_metrics(f),
     "movement_metrics_rows": lambda f: movement.movement_metrics(f, daily="rows"),
     "turnover_by_store_product": lambda f: kpi.turnover_proxy(f, ["store_id", "product_id"]),
@@ -611,9 +631,9 @@ _REPORTS = {
         f, ["store_id", "product_id"], "quantile"
     ),
     "movement_segments_pairs": lambda f: movement.segment_table(f, ["store_id", "product_id"]),
-    "segment_summary": lambda f: movement.segment_summary(movement.segments(f)),
-    "segment_summary_qcut": lambda f: movement.segment_summary(
-        movement.segments(f, method="quantile")
+    "segment_summary": lambda f: _segment_means(movement.segment_summary(movement.segments(f))),
+    "segment_summary_qcut": lambda f: _segment_means(
+        movement.segment_summary(movement.segments(f, method="quantile"))
     ),
     "replenishment_watchlist": lambda f: movement.watchlist(
         movement.segments(f, method="quantile"), "replenish"
@@ -625,8 +645,10 @@ _REPORTS = {
     "pivot_conditional": lambda f: reshape.pivot_mean(
         f, "store_id", "category", columns=["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     ),
-    "pivot_dynamic": lambda f: reshape.pivot_mean(f, "store_id", "category"),
-    "pivot_season_category": lambda f: reshape.pivot_season_category(f),
+    "pivot_dynamic": lambda f: reshape.pivot_mean(
+        f, "store_id", "category", columns=f.select("category").distinct()
+    ),
+    "pivot_season_category": lambda f: reshape.pivot_season_category(f, f.select("category").distinct()),
     "crosstab_status": lambda f: reshape.crosstab_status(f),
     # replenishment
     "reorder_recommendation": lambda f: replenishment.reorder(f),
@@ -644,7 +666,7 @@ _REPORTS = {
     "daily_reorder_check": lambda f: replenishment.daily_reorder(f),
 }
 for _name, _report in _REPORTS.items():
-    query(_name)(lambda inv, r=_report: r(inv.fact))
+    query(_name)(lambda inv, r=_report: _settled(r(inv.fact)))
 
 
 @query()
@@ -679,7 +701,7 @@ def risk_by_store_report(inv):
 
 @query()
 def segment_summary_report(inv):
-    return report_view(movement.segment_summary(movement.segments(inv.fact), digits=2))
+    return report_view(_segment_means(movement.segment_summary(movement.segments(inv.fact), digits=2)))
 
 
 @query()

@@ -3,14 +3,13 @@
 import threading
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockyard import schema as S
 from stockyard.operators.cleaning import clean
 from stockyard.session import work_path
-from stockyard.sources.tables import grain_for, read_partitioned, write_partitioned
+from stockyard.sources.tables import read_partitioned, write_partitioned
 
 BASE_TABLES = ["lineitem", "orders", "customer", "nation", "region", "supplier", "part"]
 # Columns that order the copies of a business key; kept in the staging table.
@@ -31,11 +30,13 @@ def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def raw_rows(spark, folder, spread=None):
-    """Order lines as store x product observations.
+def _code(letter, text, width):
+    """Letter and text with zeros before it; longer text stays whole."""
+    return F.concat(F.lit(letter), F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0")))
+
 
-    ``spread`` deals the lines out to that many tasks first: a small input may come
-    in one row group and leave cores idle. A large one needs no such shuffle.
+def raw_rows(spark, folder):
+    """Order lines as store x product observations.
 
     The order side is reduced to (order, priority, region) before it meets the
     lines, so the wide line rows are shuffled once per large join and the tiny
@@ -64,11 +65,8 @@ def raw_rows(spark, folder, spread=None):
     )
     supplier = _table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     part = _table(spark, folder, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
-    lines = _table(spark, folder, "lineitem")
-    if spread:
-        lines = lines.repartition(spread)
     lines = (
-        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        _table(spark, folder, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     )
@@ -95,8 +93,8 @@ def raw_rows(spark, folder, spread=None):
     )
     return lines.select(
         date.alias("date"),
-        F.concat(F.lit("S"), F.lpad((F.col("s_nationkey") + 1).cast("string"), 3, "0")).alias("store_id"),
-        F.concat(F.lit("P"), F.lpad(F.replace("p_brand", F.lit("Brand#"), F.lit("")), 4, "0")).alias("product_id"),
+        _code("S", (F.col("s_nationkey") + 1).cast("string"), 3).alias("store_id"),
+        _code("P", F.replace("p_brand", F.lit("Brand#"), F.lit("")), 4).alias("product_id"),
         F.col("p_type").alias("category"),
         "region",
         level.alias("inventory_level"),
@@ -118,57 +116,27 @@ def raw_rows(spark, folder, spread=None):
     )
 
 
-def _fingerprint(spark, folder):
-    """Count, total size and a hash of name, size and time of every base file.
-
-    Only the listing is read. A session of its own packs as many files as there are
-    into one task per core, instead of one task per large file.
-    """
-    listing = spark.newSession()
-    listing.conf.set("spark.sql.files.maxPartitionBytes", str(2**60))
-    files = (
-        listing.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load([f"{folder}/{t}.parquet" for t in BASE_TABLES])
-    )
-    stamp = F.xxhash64("path", "length", "modificationTime")
-    row = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(stamp)).first()
-    return tuple(row)
-
-
 def load(spark, folder) -> Inventory:
     """Staging and fact of a folder of base tables.
 
-    Both are written once per application under the shared folder, as the load step
-    that every later query reads with column pruning and pushed filters. A changed
-    input file means a new load.
+    Both are stored once per application and folder under the shared folder, the fact
+    by month as any fact table, and read again with pruned columns and pushed filters.
+    The base tables are taken as fixed while the application runs; ``store`` loads anew.
     """
     with _lock:
-        stamp = _fingerprint(spark, folder)
-        key = (spark.sparkContext.applicationId, folder, stamp)
-        if key in _stored:
-            try:
-                return _read(spark, *_stored[key])
-            except AnalysisException:  # the stored files are gone: load again
-                del _stored[key]
-        _stored[key] = store(spark, folder, grain_for(stamp[1]))
-        return _read(spark, *_stored[key])
-
-
-def _read(spark, lineage_path, schema, fact_path, grain):
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in _stored:
+            _stored[key] = store(spark, folder)
+        lineage_path, schema, fact_path = _stored[key]
     lineage = spark.read.schema(schema).parquet(lineage_path)
-    return Inventory(
-        lineage.select(*S.FACT_COLUMNS), lineage, read_partitioned(spark, fact_path, grain)
-    )
+    return Inventory(lineage.select(*S.FACT_COLUMNS), lineage, read_partitioned(spark, fact_path))
 
 
-def store(spark, folder, grain=S.YEAR):
-    """Write staging and fact; returns what ``load`` needs to read them back."""
-    spread = spark.sparkContext.defaultParallelism if grain == S.YEAR else None
-    lineage = raw_rows(spark, folder, spread)
+def store(spark, folder):
+    """Write staging and fact; returns the paths and the schema of the staging rows."""
+    lineage = raw_rows(spark, folder)
     lineage_path = work_path(spark, "staging")
-    lineage.write.parquet(lineage_path)
+    lineage.hint("rebalance").write.parquet(lineage_path)
     lineage = spark.read.schema(lineage.schema).parquet(lineage_path)
-    fact = clean(lineage, tie_break=LINEAGE)
-    fact_path = write_partitioned(fact, work_path(spark, "fact"), grain)
-    return lineage_path, lineage.schema, fact_path, grain
+    fact_path = write_partitioned(clean(lineage, tie_break=LINEAGE), work_path(spark, "fact"))
+    return lineage_path, lineage.schema, fact_path

@@ -27,12 +27,15 @@ def require_unique(df: DataFrame, keys=S.KEYS):
 
 
 def require_complete(df: DataFrame, columns=S.FACT_COLUMNS):
-    """Raise if a column that must be filled has missing values."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    missing = {c: n for c, n in counts.asDict().items() if n}
+    """Number of rows; raises if a column that must be filled has missing values."""
+    counts = df.agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+    ).first().asDict()
+    rows = counts.pop("_rows")
+    missing = {c: n for c, n in counts.items() if n}
     if missing:
         raise ConstraintError(f"missing values {missing}")
-    return df
+    return rows
 
 
 def shape_report(df: DataFrame, rows, columns):
@@ -53,11 +56,16 @@ def check_input_shape(df: DataFrame, rows, columns):
     return df
 
 
-def create_tables(spark, names=None, prefix="", location=None):
+# Tables that are stored by month of ``date``.
+FACTS = {FACT_TABLE, "inventory_sales_normalized"}
+
+
+def create_tables(spark, names=None, prefix="", location=None, grain=S.MONTH):
     """Drop and create typed Parquet tables. Returns name -> catalog name.
 
-    The files lie under ``location`` (by default the shared work folder), never
-    under a driver-local warehouse.
+    Each table has a folder of its full name under ``location`` (by default the shared
+    work folder). Fact tables are partitioned by ``grain``, the first day of the month
+    (or year) of the date, which is one more column at their end.
     """
     location = location or work_path(spark, "tables")
     created = {}
@@ -65,49 +73,55 @@ def create_tables(spark, names=None, prefix="", location=None):
         if names is not None and name not in names:
             continue
         table = f"{prefix}{name}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        stored = f"{columns}, `{grain}` date) USING parquet PARTITIONED BY (`{grain}`" if name in FACTS else f"{columns}) USING parquet"
+        closing = ")" if name in FACTS else ""
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-        spark.catalog.createTable(table, source="parquet", schema=schema, path=f"{location}/{name}")
+        spark.sql(f"CREATE TABLE {table} ({stored}{closing} LOCATION '{location}/{table}'")
         created[name] = table
     return created
 
 
+def arranged(df: DataFrame, grain=S.MONTH):
+    """Fact rows as they are stored: with their period, files of even size, by date.
+
+    REBALANCE lets adaptive execution split a period that holds much of the data and
+    merge small ones, so neither tiny files nor one huge task results.
+    """
+    return (
+        df.withColumn(grain, F.trunc("date", S.GRAINS[grain]))
+        .hint("rebalance", grain)
+        .sortWithinPartitions(grain, "date")
+    )
+
+
 def insert_select(df: DataFrame, table):
-    """INSERT INTO table SELECT ... by column position."""
+    """Replace the rows of a table by those of the frame; loading twice changes nothing."""
     target = df.sparkSession.table(table).columns
-    df.select(*target).write.insertInto(table)
+    for grain in S.GRAINS:
+        if grain in target and grain not in df.columns:
+            df = arranged(df, grain)
+    df.select(*target).write.insertInto(table, overwrite=True)
+    df.sparkSession.catalog.refreshTable(table)
 
 
 def insert_values(spark, rows, table):
-    """Literal rows into a lookup table."""
-    schema = spark.table(table).schema
-    spark.createDataFrame(rows, schema).write.insertInto(table)
+    """Literal rows as the content of a lookup table."""
+    insert_select(spark.createDataFrame(rows, spark.table(table).schema), table)
 
 
 def load_fact(df: DataFrame, table=FACT_TABLE, expected_rows=None):
-    """Overwrite the fact table in one commit, then check the stored row count."""
-    spark = df.sparkSession
-    df.select(*S.FACT_COLUMNS).write.insertInto(table, overwrite=True)
-    spark.catalog.refreshTable(table)
-    loaded = spark.table(table).count()
+    """Replace the fact table's rows in one commit, then check the stored row count."""
+    insert_select(df.select(*S.FACT_COLUMNS), table)
+    loaded = df.sparkSession.table(table).count()
     if expected_rows is not None and loaded != expected_rows:
         raise ShapeError(f"{table} holds {loaded} rows, expected {expected_rows}")
     return loaded
 
 
 def write_partitioned(df: DataFrame, path, grain=S.MONTH):
-    """Store the fact by month (or year) of date, files of even size, sorted by date.
-
-    REBALANCE lets adaptive execution split a period that holds much of the data and
-    merge small ones, so neither tiny files nor one huge task results.
-    """
-    (
-        df.withColumn(grain, F.trunc("date", S.GRAINS[grain]))
-        .hint("rebalance", grain)
-        .sortWithinPartitions(grain, "date")
-        .write.partitionBy(grain)
-        .mode("overwrite")
-        .parquet(path)
-    )
+    """Store fact rows under a path, arranged as in a fact table."""
+    arranged(df, grain).write.partitionBy(grain).mode("overwrite").parquet(path)
     return path
 
 
@@ -116,11 +130,6 @@ def read_partitioned(spark, path, grain=S.MONTH):
     return spark.read.schema(stored).parquet(path)
 
 
-def grain_for(size_in_bytes, monthly_from=16 * 2**30):
-    """Months for a large fact; below that they would only be small files."""
-    return S.MONTH if size_in_bytes >= monthly_from else S.YEAR
-
-
 def register_views(**frames):
     """Make frames available to SQL text under the given names."""
     for name, frame in frames.items():

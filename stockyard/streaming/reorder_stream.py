@@ -1,9 +1,10 @@
 """The daily reorder check as a stream over newly arriving fact files.
 
 The rule is row-local, so the stream keeps no aggregate state. Each micro-batch
-writes its triggered rows under its own batch number and replaces that folder when
-it is replayed; a day that arrives in several batches loses nothing. The reader
-keeps the newest version of a key.
+writes its rows, triggered or not, under its own batch number and replaces that
+folder when it is replayed; a day that arrives in several batches loses nothing. The
+reader keeps the newest version of a key and shows it if it triggers: a later delivery
+with enough stock withdraws an order.
 """
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 
 from stockyard import params as P
 from stockyard import schema as S
-from stockyard.functions import classify as C
 from stockyard.operators.cleaning import clip_negative_forecast
 from stockyard.operators.replenishment import REORDER_COLUMNS, with_reorder
 
@@ -27,8 +27,8 @@ def read_fact_stream(spark, path, files_per_batch=None):
     return reader.parquet(path)
 
 
-def triggered_rows(stream: DataFrame, buffer=P.BUFFER, watermark=None):
-    """Clean, optionally drop repeated keys, keep the rows to reorder.
+def checked_rows(stream: DataFrame, buffer=P.BUFFER, watermark=None):
+    """Clean, optionally drop repeated keys, add what to reorder.
 
     ``watermark`` (such as "7 days") turns on stateful de-duplication. Rows that
     come later than that are dropped by the state store, so it is off by default
@@ -42,7 +42,7 @@ def triggered_rows(stream: DataFrame, buffer=P.BUFFER, watermark=None):
             .dropDuplicatesWithinWatermark(S.KEYS)
             .drop("_event_time")
         )
-    return with_reorder(rows.filter(C.reorder_trigger()), buffer).select(*OUTPUT)
+    return with_reorder(rows, buffer).select(*OUTPUT, "reorder_trigger")
 
 
 def start(stream: DataFrame, output, checkpoint, buffer=P.BUFFER, watermark=None, available_now=True):
@@ -52,7 +52,7 @@ def start(stream: DataFrame, output, checkpoint, buffer=P.BUFFER, watermark=None
         batch.write.mode("overwrite").parquet(f"{output}/{BATCH}={batch_id}")
 
     writer = (
-        triggered_rows(stream, buffer, watermark)
+        checked_rows(stream, buffer, watermark)
         .writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
     )
@@ -62,12 +62,13 @@ def start(stream: DataFrame, output, checkpoint, buffer=P.BUFFER, watermark=None
 
 
 def read_orders(spark, output):
-    """Triggered rows; where a key triggered in several batches, its newest row.
+    """Rows to reorder, by the newest version of each key.
 
-    A fact row is final once delivered: a key is not withdrawn by a later row that
-    no longer triggers. The newest batch number per key is found by a map-side
-    aggregation and joined back, so copies of a key are not collected in one place.
+    The newest batch number per key is found by a map-side aggregation and joined
+    back, so copies of a key are not collected in one place. Where one batch holds
+    several versions of a key, those that trigger are shown.
     """
     stored = spark.read.parquet(output)
     newest = stored.groupBy(*S.KEYS).agg(F.max(BATCH).alias(BATCH))
-    return stored.join(newest, [*S.KEYS, BATCH], "left_semi").select(*OUTPUT).distinct()
+    current = stored.join(newest, [*S.KEYS, BATCH], "left_semi")
+    return current.filter("reorder_trigger").select(*OUTPUT).distinct()

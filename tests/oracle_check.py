@@ -27,9 +27,10 @@ def _cell(value):
     return repr(value)
 
 
-def _rows(names, rows):
+def _rows(names, rows, ordered):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(tuple(_cell(row[i]) for i in order) for row in rows)
+    cells = [tuple(_cell(row[i]) for i in order) for row in rows]
+    return cells if ordered else sorted(cells)
 
 
 KINDS = {
@@ -43,8 +44,8 @@ def _kind(spark_type):
     return KINDS.get(name, name.upper())
 
 
-def compare(df, con, sql):
-    """None if equal, else a short text about the first difference."""
+def compare(df, con, sql, ordered=False):
+    """None if equal (with ``ordered``, row by row), else the first difference as text."""
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     expected = result.fetchall()
@@ -61,7 +62,7 @@ def compare(df, con, sql):
     actual = df.collect()
     if len(actual) != len(expected):
         return f"{len(actual)} rows vs {len(expected)}"
-    left, right = _rows(df.columns, actual), _rows(names, expected)
+    left, right = _rows(df.columns, actual, ordered), _rows(names, expected, ordered)
     for a, b in zip(left, right):
         if a != b:
             return f"first difference {a} vs {b}"

@@ -95,3 +95,54 @@ def test_foreign_keys(spark, facts):
 def test_columns_by_type(facts):
     assert quality.columns_of_type(facts({}), "numeric") == S.NUMERIC_COLUMNS
     assert quality.columns_of_type(facts({}), "string") == S.STRING_COLUMNS
+
+
+def test_profiles_against_pandas_with_missing_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({
+        "three": [None if x % 7 == 0 else x / 1000 for x in range(2500)], "whole": rng.integers(-50, 50, 2500),
+        "real": rng.normal(size=2500) * 1e6, "none": [None] * 2500,
+    })
+    rows = spark.createDataFrame(
+        [(None if pd.isna(a) else f"{a:.3f}", int(b), float(c)) for a, b, c in frame[["three", "whole", "real"]].values.tolist()],
+        "three string, whole bigint, real double",
+    ).selectExpr("cast(three as decimal(12,3)) three", "whole", "real", "cast(null as decimal(9,1)) none")
+    found = {r.column_name: r for r in quality.describe_numeric(rows, ["three", "whole", "real", "none"]).collect()}
+    for column in ("three", "whole", "real"):
+        expected = frame[column].astype(float).describe()
+        row = found[column]
+        got = [row["count"], row["mean"], row["std"], row["min"], row["p25"], row["p50"], row["p75"], row["max"]]
+        assert np.allclose(got, expected, rtol=1e-9, atol=1e-9)
+    assert tuple(found["none"])[1:] == (0, None, None, None, None, None, None, None)
+    near = {r.column_name: r for r in quality.describe_numeric(rows, ["whole"], approximate=True).collect()}
+    assert abs(near["whole"].p50 - found["whole"].p50) <= 1
+    summary = {r.column_name: r for r in quality.numeric_summary(rows, ["three", "none"]).collect()}
+    assert summary["none"].median is None and summary["three"].median == found["three"].p50
+
+
+def test_small_values_keep_their_scale(spark):
+    rows = spark.sql("SELECT cast(x AS decimal(10,3)) AS x FROM VALUES (0.001), (0.004) AS t(x)")
+    row = quality.describe_numeric(rows, ["x"]).first()
+    assert abs(row["mean"] - 0.0025) < 1e-12 and abs(row["std"] - pd.Series([0.001, 0.004]).std()) < 1e-12
+
+
+def test_outlier_share_is_of_all_rows(facts):
+    rows = facts(*[{"units_sold": v} for v in [1, 2, 2, 3, 2, 2, 1, 3, 500]], *[{"units_sold": None}] * 11)
+    row = quality.iqr_outliers(rows, ["units_sold"]).first()
+    assert (row.outlier_count, row.outlier_pct) == (1, 5.0)
+
+
+def test_columns_without_values_stay_in_the_reports(facts):
+    rows = facts({"region": None, "price": None}, {"region": None, "price": None})
+    text = {r.column_name: tuple(r)[1:] for r in quality.describe_strings(rows, ["region", "category"]).collect()}
+    assert text == {"region": (0, 0, None, None), "category": (2, 1, "Toys", 2)}
+    row = quality.iqr_outliers(rows, ["price"]).first()
+    assert (row.q1, row.outlier_count, row.outlier_pct) == (None, 0, 0.0)
+    assert [r["count"] for r in quality.negative_forecast_described(rows).collect()] == [0, 0]
+
+
+def test_summary_reads_twice_and_expands_no_rows(inventory):
+    plan = quality.quality_summary(inventory.raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 2

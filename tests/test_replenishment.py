@@ -93,3 +93,40 @@ def test_stream_over_several_arrivals(spark, facts, tmp_path, watermark):
     _run(spark, source, output, state, watermark=watermark)
     found = sorted((r.store_id, r.recommended_order_qty) for r in reorder_stream.read_orders(spark, output).collect())
     assert found == [("a", 45), ("c", 45)]
+
+
+def test_later_delivery_withdraws_an_order(spark, facts, tmp_path):
+    source, output, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    short = {"inventory_level": 10, "demand_forecast": 50}
+    facts({**short, "store_id": "a"}, {**short, "store_id": "b"}).write.parquet(source)
+    _run(spark, source, output, state)
+    facts({"store_id": "a", "inventory_level": 900, "demand_forecast": 50}).write.mode("append").parquet(source)
+    _run(spark, source, output, state)
+    _run(spark, source, output, state)
+    assert [r.store_id for r in reorder_stream.read_orders(spark, output).collect()] == ["b"]
+
+
+def test_values_of_one_row_stay_together(facts):
+    rows = facts({"inventory_level": 5, "demand_forecast": 90}, {"inventory_level": 8, "demand_forecast": 20})
+    row = R.with_latest_stock(rows).first()
+    assert (row.inventory_level, float(row.demand_forecast)) in [(5, 90.0), (8, 20.0)]
+
+
+def test_absent_tiers_and_segments_show(facts):
+    from stockyard.operators import kpi, movement
+
+    rows = facts({"inventory_level": 10, "demand_forecast": 50})
+    tiers = [(r.inventory_risk, r.observations) for r in kpi.risk_distribution(rows, all_tiers=True).collect()]
+    assert [n for _, n in tiers] == [1, 0, 0, 0]
+    segments = movement.segment_summary(movement.segments(rows)).collect()
+    assert [(r.movement_segment, r.num_products) for r in segments] == [
+        ("Fast-moving", 0), ("Medium-moving", 0), ("Slow-moving", 1),
+    ]
+
+
+def test_drivers_of_all_rows(facts):
+    from stockyard.operators import kpi
+
+    rows = facts({"demand_forecast": None, "discount": 5}, {"discount": 5})
+    assert kpi.drivers(rows, "discount").first().observations == 1
+    assert kpi.drivers(rows, "discount", valid_only=False).first().observations == 2

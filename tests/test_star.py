@@ -28,3 +28,11 @@ def test_orphans_are_found(facts):
     report = {r.foreign_key: r.orphan_rows for r in star.star_schema_check(fact, dimensions).collect()}
     assert report.pop("store_id") == 1 and report.pop("promotion_id") == 2
     assert set(report.values()) == {0}
+
+
+def test_names_that_a_lookup_lacks_are_orphans(facts):
+    rows = facts({"category": "a"}, {"category": "b"}, {"category": "b", "holiday_promotion": 7})
+    dimensions = star.build_dimensions(rows.filter("category = 'a'"))
+    found = {r.foreign_key: (r.checked_rows, r.orphan_rows, r.orphan_values) for r in star.staging_check(rows, dimensions).collect()}
+    assert found["category_id"] == (3, 2, 1) and found["promotion_id"] == (3, 1, 1)
+    assert found["region_id"] == (3, 0, 0)
