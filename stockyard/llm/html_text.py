@@ -24,7 +24,7 @@ from stockyard.llm.common import ship_package, text_slices
 FIT_PAGES = 1000
 FIT_CHARS = 20_000_000
 LEAST, MOST = 0.05, 5.0
-UNSEEN_WORD, UNSEEN_LINK_WORD, UNSEEN_TAG = 1.0, 0.1, -1.0
+UNSEEN_WORD, UNSEEN_LINK_WORD, UNSEEN_TAG, UNSEEN_INLINE_TAG = 1.0, 0.1, -1.0, -0.1
 
 # Names of HTML elements by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,7 +174,7 @@ def extract(page, weights):
         elif key in ("article", "main"):
             continue
         else:
-            total += weights.get((kind, key), UNSEEN_TAG)
+            total += weights.get((kind, key), UNSEEN_INLINE_TAG if key in INLINE or key == "br" else UNSEEN_TAG)
         if total <= 0:
             total, begin = 0.0, i + 1
         elif total > best:

@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 RECALL = 0.995
 ROWS = 3               # hashes in a band
 MIN_PARAGRAPH = 20     # words of a paragraph that gets a signature
-MIN_RUN = 20           # words of a run that is cut
+MIN_RUN = 25           # words of a run that is cut
 SHORT, LONG = 6, 48    # words of a sentence that is joined to the next, or parted
 BLOCK = 4096           # paragraphs that one verification takes
 MAP_WORDS = 1 << 18    # 64-bit words of a bitmap, at most 16 MB when broadcast

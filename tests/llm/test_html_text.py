@@ -59,7 +59,7 @@ def test_odd_pages(page, text):
 
 def test_best_region_is_the_maximum():
     """The scan against all contiguous regions."""
-    weights = {("word", ("p", False)): 1.0, ("tag", "p"): -0.5, ("tag", "i"): -2.0, ("tag", "hr"): -3.0}
+    weights = {("word", ("p", False)): 1.0, ("tag", "p"): -0.5, ("tag", "i"): -0.5, ("tag", "hr"): -3.0}
     page = "<p>a b</p><hr><p>c d e f</p><i></i><p>g h i</p><hr><hr><p>j</p>"
     pieces = [e for e in H.events(page)]
     value = [len(t.split()) * weights[k, key] if k == "word" else weights[k, key] for k, key, t, _, _ in pieces]
