@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stockyard.llm.common import sigmoid
+
 
 def held_out(id_column):
     """True where crc32 of the id as text, modulo 4, is 2; false for a null id."""
@@ -57,3 +59,17 @@ def draw(docs, labels, label, rows=4000, chars=48_000_000, id_col="doc_id", text
     whole = np.log((totals.get(1, 0) + smooth) / (totals.get(0, 0) + smooth))
     drawn = np.log((y.sum() + smooth) / ((1 - y).sum() + smooth))
     return Sample(texts, y, float(whole - drawn))
+
+
+def calibrate(values, labels, steps=200):
+    """Logistic regression of the labels on one value, by Newton's method."""
+    slope, intercept, ridge = 1.0, 0.0, 1.0
+    for _ in range(steps):
+        chance = sigmoid(slope * values + intercept)
+        error, spread = chance - labels, np.maximum(chance * (1 - chance), 1e-6)
+        grad = np.array([(error * values).sum() + ridge * slope, error.sum()])
+        curve = np.array([[(spread * values**2).sum() + ridge, (spread * values).sum()],
+                          [(spread * values).sum(), spread.sum() + ridge]])
+        move = np.linalg.solve(curve, grad)
+        slope, intercept = slope - 0.5 * move[0], intercept - 0.5 * move[1]
+    return float(max(slope, 0.0)), float(intercept)

@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from stockyard.llm.common import (
     mix, segment_sums, ship_package, sigmoid, split_words, subword_features, text_slices, word_hashes,
 )
-from stockyard.llm.labelled import draw, held_out
+from stockyard.llm.labelled import calibrate, draw, held_out
 
 BITS = 18
 DIM = 8
-EPOCHS = 4
+STEPS = 1000  # batches that training sees, at least one pass
 RATE = 0.3
 BATCH = 16
+MIN_TEXTS = 3  # texts of the sample that hold a feature which gets a vector
+FOLDS = 2      # of the sample, for the calibration
 THRESHOLD = 0.7
 
 
@@ -71,28 +73,61 @@ def _bags(texts, bits):
     return rows, features, (weight / total[rows]).astype(np.float32)
 
 
-def fit(texts, labels, prior_shift=0.0, bits=BITS, dim=DIM, epochs=EPOCHS, rate=RATE, batch=BATCH, seed=7):
+def fit(texts, labels, prior_shift=0.0, bits=BITS, dim=DIM, steps=STEPS, rate=RATE, batch=BATCH, folds=FOLDS):
     """Train on an Arrow array of texts and 0/1 labels.
 
-    Without both labels in the sample the model is the smoothed share of label 1.
+    The log odds are calibrated on texts that the vectors they come from have not seen:
+    each fold is scored by a model of the others. Without both labels in the sample the
+    model is the smoothed share of label 1.
     """
     n = len(labels)
     share = np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5))
     if n == 0 or labels.min() == labels.max():
         return Model(np.zeros(1 << bits), float(share + prior_shift), bits)
+    bags = [_bags(texts.slice(start, 64), bits) for start in range(0, n, 64)]
+    bags = [
+        (features[rows == i], weight[rows == i])
+        for start, (rows, features, weight) in zip(range(0, n, 64), bags) for i in range(min(64, n - start))
+    ]
+    fold = np.arange(n) % folds
+    seen, values = [], []
+    for k in range(folds):
+        rest, part = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(part) and labels[rest].min() != labels[rest].max():
+            weights, bias = _descend(bags, labels, rest, bits, dim, steps // folds, rate, batch)
+            values += [float((weights[f] * w).sum() + bias) for f, w in (bags[i] for i in part)]
+            seen += part.tolist()
+    slope, intercept = calibrate(np.array(values), labels[seen]) if seen else (1.0, 0.0)
+    weights, bias = _descend(bags, labels, np.arange(n), bits, dim, steps, rate, batch)
+    return Model(weights * slope, float(bias * slope + intercept + prior_shift), bits)
+
+
+def _descend(bags, labels, chosen, bits, dim, steps, rate, batch, seed=7):
+    """(log odds of each feature, bias) after stochastic gradient descent on the chosen
+    texts. Features of fewer than ``MIN_TEXTS`` of them stay zero: they would only learn
+    by heart."""
     random = np.random.default_rng(seed)
+    held = np.zeros(1 << bits, np.int64)
+    for i in chosen:
+        held[bags[i][0]] += 1
     vectors = random.uniform(-1.0 / dim, 1.0 / dim, (1 << bits, dim)).astype(np.float32)
+    vectors[held < MIN_TEXTS] = 0
     squares = np.full(1 << bits, 1e-8, np.float64)
     output = np.zeros((2, dim))
     output[1] = random.uniform(-1.0, 1.0, dim)
     output[0] = -output[1]
     bias, out_squares, bias_squares = np.zeros(2), np.full((2, dim), 1e-8), np.full(2, 1e-8)
+    epochs = max(1, round(steps * batch / len(chosen)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        order = random.permutation(n)
-        for start in range(0, n, batch):
+        order = random.permutation(chosen)
+        for start in range(0, len(order), batch):
             rows_of = order[start : start + batch]
-            rows, features, weight = _bags(texts.take(pa.array(rows_of)), bits)
+            rows = np.repeat(np.arange(len(rows_of)), [len(bags[i][0]) for i in rows_of])
+            features = np.concatenate([bags[i][0] for i in rows_of])
+            weight = np.concatenate([bags[i][1] for i in rows_of])
+            common = held[features] >= MIN_TEXTS
+            rows, features, weight = rows[common], features[common], weight[common]
             hidden = np.zeros((len(rows_of), dim))
             for d in range(dim):
                 hidden[:, d] = np.bincount(rows, weights=weight * vectors[features, d], minlength=len(rows_of))
@@ -102,7 +137,7 @@ def fit(texts, labels, prior_shift=0.0, bits=BITS, dim=DIM, epochs=EPOCHS, rate=
             chance[np.arange(len(rows_of)), labels[rows_of]] -= 1.0  # the error
             back = chance @ output
             used, where = np.unique(features, return_inverse=True)
-            grad = np.stack([np.bincount(where, weights=weight * back[rows, d]) for d in range(dim)], 1)
+            grad = np.stack([np.bincount(where, weights=weight * back[rows, d], minlength=len(used)) for d in range(dim)], 1)
             squares[used] += (grad * grad).mean(1)
             vectors[used] -= (step * grad / np.sqrt(squares[used])[:, None]).astype(np.float32)
             grad = chance.T @ hidden / len(rows_of)
@@ -112,7 +147,7 @@ def fit(texts, labels, prior_shift=0.0, bits=BITS, dim=DIM, epochs=EPOCHS, rate=
             bias_squares += grad * grad
             bias -= step * grad / np.sqrt(bias_squares)
     way = output[1] - output[0]
-    return Model(vectors @ way, float(bias[1] - bias[0] + prior_shift), bits)
+    return vectors @ way, float(bias[1] - bias[0])
 
 
 def score_texts(model, texts):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from stockyard.llm.common import (
     segment_max, segment_sums, ship_package, sigmoid, split_words, subword_features, text_slices,
 )
-from stockyard.llm.labelled import draw, held_out
+from stockyard.llm.labelled import calibrate, draw, held_out
 
 BITS = 18
 WINDOW = 16
@@ -38,6 +38,8 @@ PENALTY = 1.0
 MIN_SWAPS = 20
 RIDGE = 4e-4
 THRESHOLD = 0.3
+MIN_TEXTS = 3  # texts of the sample that hold a feature which gets a weight
+FOLDS = 2      # of the sample, for the calibration
 LINE_END = "\x1e"
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¡¿—–"
 
@@ -95,19 +97,40 @@ def _word_weights(weights, owner, feature, n):
 
 
 def fit(texts, labels, prior_shift=0.0, groups=IDENTITY_GROUPS, penalty=PENALTY, bits=BITS,
-        rounds=ROUNDS, steps=STEPS):
+        rounds=ROUNDS, steps=STEPS, folds=FOLDS):
     """Train on an Arrow array of texts and 0/1 labels.
 
-    Without both labels in the sample, the model is the smoothed share of label 1.
+    The log odds of texts are calibrated on texts that the weights they come from have
+    not seen: each fold is scored by a model of the others. Without both labels in the
+    sample, the model is the smoothed share of label 1.
     """
     n = len(labels)
     share = float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5)) + prior_shift)
     if n == 0 or labels.min() == labels.max():
         return Model(np.zeros(1 << bits), 0.0, 0.0, share, bits)
+    fold = np.arange(n) % folds
+    worst, seen = [], []
+    for k in range(folds):
+        rest, part = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(part) and labels[rest].min() != labels[rest].max():
+            model = _train(texts.take(pa.array(rest)), labels[rest], groups, penalty, bits, rounds, steps)
+            worst.append(_worst(model, texts.take(pa.array(part))))
+            seen += part.tolist()
+    model = _train(texts, labels, groups, penalty, bits, rounds, steps)
+    if seen:
+        model.slope, model.intercept = calibrate(np.concatenate(worst), labels[seen])
+    model.intercept += prior_shift
+    return model
+
+
+def _train(texts, labels, groups, penalty, bits, rounds, steps):
+    """Weights and bias of sentences, in rounds; not calibrated."""
+    n = len(labels)
     codes, ends, of_text, words = _sentences(texts)
     owner, feature = subword_features(words, bits)
     kept = np.array([bool(w) for w in words])
     owner, feature = owner[kept[owner]], feature[kept[owner]]
+    owner, feature = _shared(codes, ends[of_text], owner, feature, len(words), bits)
     sentence_text = np.repeat(np.arange(n), np.diff(of_text))
     target = labels[sentence_text].astype(np.float64)
     swaps = _Swaps(groups, words, codes, bits)
@@ -126,10 +149,23 @@ def fit(texts, labels, prior_shift=0.0, groups=IDENTITY_GROUPS, penalty=PENALTY,
         weights, bias = _descend(
             weights, bias, owner, feature, codes, ends, target, 0.5 * share_of, swaps, penalty, steps, len(words)
         )
-    value = segment_sums(_word_weights(weights, owner, feature, len(words))[codes], ends) + bias
-    worst = segment_max(value, of_text, bias)
-    slope, intercept = _calibrate(worst, labels)
-    return Model(weights, float(bias), slope, intercept + prior_shift, bits)
+    return Model(weights, float(bias), 1.0, 0.0, bits)
+
+
+def _shared(codes, bounds, owner, feature, n_words, bits):
+    """The (word, feature) pairs whose feature ``MIN_TEXTS`` texts hold; others would
+    only learn by heart. ``bounds`` are the first word of every text and the end."""
+    text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    pair = np.unique(codes.astype(np.int64) * max(len(bounds), 1) + text_of)
+    word, text = pair // max(len(bounds), 1), pair % max(len(bounds), 1)
+    order = np.argsort(owner, kind="stable")
+    per_word = np.bincount(owner, minlength=n_words)
+    begin = np.cumsum(per_word) - per_word
+    spread = per_word[word]
+    at = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread) + np.repeat(begin[word], spread)
+    held = np.unique((np.repeat(text, spread) << bits) + feature[order][at]) & ((1 << bits) - 1)
+    common = np.bincount(held, minlength=1 << bits) >= MIN_TEXTS
+    return owner[common[feature]], feature[common[feature]]
 
 
 class _Swaps:
@@ -177,28 +213,19 @@ def _descend(weights, bias, owner, feature, codes, ends, target, share, swaps, p
     return weights, bias
 
 
-def _calibrate(values, labels, steps=200):
-    """Logistic regression of the labels on one value, by Newton's method."""
-    slope, intercept, ridge = 1.0, 0.0, 1.0
-    for _ in range(steps):
-        chance = sigmoid(slope * values + intercept)
-        error, spread = chance - labels, np.maximum(chance * (1 - chance), 1e-6)
-        grad = np.array([(error * values).sum() + ridge * slope, error.sum()])
-        curve = np.array([[(spread * values**2).sum() + ridge, (spread * values).sum()],
-                          [(spread * values).sum(), spread.sum() + ridge]])
-        move = np.linalg.solve(curve, grad)
-        slope, intercept = slope - 0.5 * move[0], intercept - 0.5 * move[1]
-    return float(max(slope, 0.0)), float(intercept)
-
-
 def score_texts(model, texts):
     """Probability of toxicity of each text of an Arrow array."""
+    return sigmoid(model.slope * _worst(model, texts) + model.intercept)
+
+
+def _worst(model, texts):
+    """Log odds of the worst sentence of each text."""
     codes, ends, of_text, words = _sentences(texts)
     owner, feature = subword_features(words, model.bits)
     by_word = _word_weights(model.weights, owner, feature, len(words))
     by_word[[i for i, w in enumerate(words) if not w]] = 0.0
     value = segment_sums(by_word[codes], ends) + model.bias
-    return sigmoid(model.slope * segment_max(value, of_text, model.bias) + model.intercept)
+    return segment_max(value, of_text, model.bias)
 
 
 def train(docs, labels, rows=4000, chars=48_000_000):
