@@ -23,7 +23,7 @@ from stockyard.session import materialize
 
 K = 20
 QUERY_BLOCK = 2048
-BLOCK = 16_384
+BLOCK = 8192
 EVERY = 20   # queries: ids divisible by this
 FAN = 64     # lists that one heap merge takes
 
@@ -153,8 +153,9 @@ def search(vectors, k=K, every=EVERY, query_block=QUERY_BLOCK, block=BLOCK):
     is_query = F.col("vec_id") % every == 0
     counts = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     q_blocks, blocks = max(1, -(-counts["q"] // query_block)), max(1, -(-counts["n"] // block))
-    number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # both sides of a key must have one type, or their hashes part what belongs together
+    number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(1)))
     queries = rows.where(is_query).withColumn("_q", number(q_blocks)).withColumn("_c", upto(blocks))
     candidates = rows.withColumn("_c", number(blocks)).withColumn("_q", upto(q_blocks)).select(
         *[F.col(c).alias(f"{c}_") for c in ("dim", "_q", "_c", "vec_id", "embedding")]

@@ -54,6 +54,18 @@ def test_same_as_brute_force(spark, sizes):
     assert _found(_table(spark, rows), **sizes) == _brute(rows)
 
 
+def test_tiles_meet_in_any_partition(spark):
+    rows = _rows(300, seed=9)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        assert _found(_table(spark, rows), block=40, query_block=4) == _brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_many_lists_are_merged_in_levels(spark, monkeypatch):
     monkeypatch.setattr(nearest, "FAN", 3)
     rows = _rows(300, seed=4)
