@@ -11,7 +11,9 @@ shards grow in number, not in size, and each leaves one sequence at most that is
 nearly full.
 """
 
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,43 +28,62 @@ SEGMENTS = 64     # pieces in a sequence
 LOSS = 2048       # tokens in a sequence that bear loss
 END_ID = 1        # id after each document
 SHARD = 20_000
-KNOWN_WORDS = 200_000  # encoded words that a task remembers
+KNOWN_WORDS = 1_000_000  # encoded words that a worker remembers, about 200 MB
+SLICE = 4 << 20          # bytes of text that are encoded together
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins what white space parts.
 
     Such a tokenizer gives a text the ids of its words in turn, so each distinct word
-    is encoded once while it is remembered.
+    is encoded once while it is remembered: the word's number leads to its ids in one
+    flat array.
     """
 
     def __init__(self, definition):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.known = {}
+        self._forget()
 
-    def _ids(self, words):
+    def _forget(self):
+        self.known, self.flat, self.ends = {}, np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _numbers(self, words):
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known, new = {}, words
+        if new and len(self.known) + len(new) > KNOWN_WORDS:
+            self._forget()
+            new = words
+        lists = []
         for start in range(0, len(new), 10_000):
             part = new[start : start + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4")
-        return [self.known[w] for w in words]
+            lists += [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(lists), "<u4", int(lengths.sum())))
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(lengths))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts):
         """(ids of all texts of an Arrow array, one after another; first id of every
         text and the end). A null text is empty."""
         codes, offsets, words = split_words(texts)
-        by_word = self._ids(words.to_pylist())
-        lengths = np.fromiter(map(len, by_word), np.int64, len(by_word))
-        begin = np.concatenate([[0], np.cumsum(lengths)])
-        flat = np.concatenate(by_word) if by_word else np.zeros(0, "<u4")
-        spread = lengths[codes]
+        number = self._numbers(words.to_pylist())[codes]
+        begin = self.ends[number]
+        spread = self.ends[number + 1] - begin
         ends = np.concatenate([[0], np.cumsum(spread)])
-        at = np.arange(ends[-1]) + np.repeat(begin[codes] - ends[:-1], spread)
-        return flat[at], ends[offsets]
+        at = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], spread)
+        return self.flat[at], ends[offsets]
+
+
+_encoders = {}  # of this process, by definition
+
+
+def encoder_of(definition):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already share the cores
+    if definition not in _encoders:
+        _encoders[definition] = WordEncoder(definition)
+    return _encoders[definition]
 
 
 def pieces(docs, definition, limit=LIMIT, end_id=END_ID):
@@ -77,8 +98,8 @@ def pieces(docs, definition, limit=LIMIT, end_id=END_ID):
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder = WordEncoder(definition)
-        for part in text_slices(batches, "text"):
+        encoder = encoder_of(definition)
+        for part in text_slices(batches, "text", SLICE):
             ids, offsets = encoder.encode(part.column("text"))
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
             offsets = offsets + np.arange(len(offsets))
