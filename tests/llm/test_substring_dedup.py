@@ -63,8 +63,8 @@ def test_paragraphs_against_all_pairs(spark):
             texts.append(" ".join(copy))
     table = docs(spark, *texts)
     lines = D.units(table, D.tune()).where("bands IS NOT NULL")
-    marked = lines.join(D._near_paragraphs(table, lines, "text"), "h").where("_doc > first")
-    marked = {r["_doc"] for r in marked.collect()}
+    firsts = D._near_paragraphs(table, lines, "text").unionByName(D._firsts(lines))  # near and equal
+    marked = {r["_doc"] for r in lines.join(firsts, "h").where("_doc > first").collect()}
     near = lambda i, j: _jaccard(texts[i], texts[j]) >= 0.8
     links = [(i, j) for i in range(60) for j in range(i) if near(i, j)]
     from helpers import union_find
