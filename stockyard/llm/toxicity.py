@@ -155,16 +155,17 @@ def _train(texts, labels, groups, penalty, bits, rounds, steps):
 def _shared(codes, bounds, owner, feature, n_words, bits):
     """The (word, feature) pairs whose feature ``MIN_TEXTS`` texts hold; others would
     only learn by heart. ``bounds`` are the first word of every text and the end."""
-    text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    pair = np.unique(codes.astype(np.int64) * max(len(bounds), 1) + text_of)
-    word, text = pair // max(len(bounds), 1), pair % max(len(bounds), 1)
     order = np.argsort(owner, kind="stable")
+    feature_of = feature[order].astype(np.int32)
     per_word = np.bincount(owner, minlength=n_words)
     begin = np.cumsum(per_word) - per_word
-    spread = per_word[word]
-    at = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread) + np.repeat(begin[word], spread)
-    held = np.unique((np.repeat(text, spread) << bits) + feature[order][at]) & ((1 << bits) - 1)
-    common = np.bincount(held, minlength=1 << bits) >= MIN_TEXTS
+    held = np.zeros(1 << bits, np.int64)
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        word = np.unique(codes[start:end])
+        spread = per_word[word]
+        at = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread) + np.repeat(begin[word], spread)
+        held[np.unique(feature_of[at])] += 1
+    common = held >= MIN_TEXTS
     return owner[common[feature]], feature[common[feature]]
 
 
@@ -228,7 +229,7 @@ def _worst(model, texts):
     return segment_max(value, of_text, model.bias)
 
 
-def train(docs, labels, rows=4000, chars=48_000_000):
+def train(docs, labels, rows=2500, chars=32_000_000):
     """Fit on the bounded sample of ``labelled.draw``; ``rows`` and ``chars`` bound it."""
     sample = draw(docs, labels, "toxic", rows, chars)
     return fit(sample.texts, sample.labels, sample.prior_shift)
