@@ -33,7 +33,8 @@ SPACE = "▁"
 LONG = 64
 LEAD = 18   # leading bits of a hash that find its place among the sorted keys
 PAIRS = 20  # binary logarithm of how many pairs are remembered
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 700_000  # about 140 MB
+SLICE = 4 << 20        # bytes of text that are encoded together
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 WORDS = re.compile(r"\n| *[^ \n]+| +")
@@ -229,7 +230,7 @@ class Model:
         return result
 
     def ids_of(self, word):
-        """Ids by carrying out the merges, or by a Viterbi pass over this word alone."""
+        """Packed ids by carrying out the merges, or by a Viterbi pass over this word alone."""
         if self.kind != BPE:
             return self.batch([word])[0]
         return self._to_ids(self.merge(word)[0])
@@ -243,10 +244,10 @@ class Model:
                 ids.extend(self.bytes_[b] for b in part.encode())
             else:
                 ids.append(self.unknown)
-        return np.array(ids, "<u4")
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def batch(self, words):
-        """Ids of words of equal length, which advance together."""
+        """Packed ids of words of equal length, which advance together."""
         n, count = len(words[0]), len(words)
         chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(count, n).astype(np.uint64) + np.uint64(1)
         prefix = np.zeros((n + 1, count), np.uint64)
@@ -285,7 +286,7 @@ class Model:
         return self._paths(words, piece, back)
 
     def _paths(self, words, piece, back):
-        """Ids of every word, following the pointers back."""
+        """Packed ids of every word, following the pointers back."""
         n, count = len(words[0]), len(words)
         path = np.full((count, n), -1, np.int64)  # from the end of the word
         place, all_words, taken = np.full(count, n), np.arange(count), 0
@@ -294,9 +295,9 @@ class Model:
             place = place - np.where(place > 0, back[place, all_words], 0)
             taken += 1
         path = path[:, :taken][:, ::-1]
-        lengths = (path >= 0).sum(1)
-        flat = path[path >= 0].astype("<u4")
-        result = np.split(flat, np.cumsum(lengths)[:-1])
+        ends = 4 * np.cumsum((path >= 0).sum(1))
+        flat = path[path >= 0].astype("<u4").tobytes()
+        result = [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
         for w in np.flatnonzero((path == self.size).any(1)):  # characters without a piece
             at, parts = 0, []
             for found in path[w][path[w] >= 0]:
@@ -307,7 +308,7 @@ class Model:
         return result
 
     def encode_words(self, words):
-        """{word: ids}; the words hold ``SPACE`` for spaces."""
+        """{word: its ids, packed}; the words hold ``SPACE`` for spaces."""
         groups, result = {}, {}
         for word in words:
             spaces = len(word) - len(word.lstrip(SPACE))
@@ -345,10 +346,13 @@ def encode(raw, texts):
     new = {w for words in found for w in words}
     fresh = [w for w in new if w not in known]
     if len(known) + len(fresh) > KNOWN_WORDS:
+        # forget all words but those of these texts
+        kept = {w: known[w] for w in new if w in known}
         known.clear()
-        fresh = list(new)
-    coded = model.encode_words([w.replace(" ", SPACE) for w in fresh])
-    known.update((w, coded[w.replace(" ", SPACE)].tobytes()) for w in fresh)
+        known.update(kept)
+    marked = [w.replace(" ", SPACE) for w in fresh]
+    coded = model.encode_words(marked)
+    known.update(zip(fresh, map(coded.__getitem__, marked)))
     joined = [b"".join([known[w] for w in words]) for words in found]
     offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in joined])]).astype(np.int64)
     return np.frombuffer(b"".join(joined), "<u4"), offsets
@@ -401,7 +405,7 @@ def _mapped(docs, raw, shape, columns):
     names = ["doc_id", *[x.split()[0] for x in shape.split(", ")]]
 
     def run(batches):
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE):
             made = columns(raw, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], names)
 
