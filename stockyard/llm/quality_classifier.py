@@ -84,24 +84,35 @@ def fit(texts, labels, prior_shift=0.0, bits=BITS, dim=DIM, steps=STEPS, rate=RA
     share = np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5))
     if n == 0 or labels.min() == labels.max():
         return Model(np.zeros(1 << bits), float(share + prior_shift), bits)
-    bags = [_bags(texts.slice(start, 64), bits) for start in range(0, n, 64)]
-    bags = [
-        (features[rows == i], weight[rows == i])
-        for start, (rows, features, weight) in zip(range(0, n, 64), bags) for i in range(min(64, n - start))
-    ]
+    bags = _collected(texts, bits)
     fold = np.arange(n) % folds
     seen, values = [], []
     for k in range(folds):
         rest, part = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(part) and labels[rest].min() != labels[rest].max():
             weights, bias = _descend(bags, labels, rest, bits, dim, steps // folds, rate, batch)
-            values += [float((weights[f] * w).sum() + bias) for f, w in (bags[i] for i in part)]
+            values += [float((weights[f] * w).sum() + bias) for f, w in map(bags, part)]
             seen += part.tolist()
     slope, intercept = calibrate(np.array(values), labels[seen]) if seen else (1.0, 0.0)
     weights, bias = _descend(bags, labels, np.arange(n), bits, dim, steps, rate, batch)
     return Model(weights * slope, float(bias * slope + intercept + prior_shift), bits)
 
 
+def _collected(texts, bits):
+    """A function from the number of a text to its features and their shares, which lie
+    in two arrays: freed, they go back to the system."""
+    features, shares, counts = [], [], []
+    for start in range(0, len(texts), 64):
+        part = texts.slice(start, 64)
+        rows, feature, share = _bags(part, bits)
+        features.append(feature.astype(np.int32))
+        shares.append(share)
+        counts.append(np.bincount(rows, minlength=len(part)))
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    features, shares = np.concatenate(features), np.concatenate(shares)
+    return lambda i: (features[ends[i] : ends[i + 1]], shares[ends[i] : ends[i + 1]])
+
+
 def _descend(bags, labels, chosen, bits, dim, steps, rate, batch, seed=7):
     """(log odds of each feature, bias) after stochastic gradient descent on the chosen
     texts. Features of fewer than ``MIN_TEXTS`` of them stay zero: they would only learn
@@ -109,7 +120,7 @@ def _descend(bags, labels, chosen, bits, dim, steps, rate, batch, seed=7):
     random = np.random.default_rng(seed)
     held = np.zeros(1 << bits, np.int64)
     for i in chosen:
-        held[bags[i][0]] += 1
+        held[bags(i)[0]] += 1
     vectors = random.uniform(-1.0 / dim, 1.0 / dim, (1 << bits, dim)).astype(np.float32)
     vectors[held < MIN_TEXTS] = 0
     squares = np.full(1 << bits, 1e-8, np.float64)
@@ -123,9 +134,10 @@ def _descend(bags, labels, chosen, bits, dim, steps, rate, batch, seed=7):
         order = random.permutation(chosen)
         for start in range(0, len(order), batch):
             rows_of = order[start : start + batch]
-            rows = np.repeat(np.arange(len(rows_of)), [len(bags[i][0]) for i in rows_of])
-            features = np.concatenate([bags[i][0] for i in rows_of])
-            weight = np.concatenate([bags[i][1] for i in rows_of])
+            parts = [bags(i) for i in rows_of]
+            rows = np.repeat(np.arange(len(rows_of)), [len(f) for f, _ in parts])
+            features = np.concatenate([f for f, _ in parts])
+            weight = np.concatenate([w for _, w in parts])
             common = held[features] >= MIN_TEXTS
             rows, features, weight = rows[common], features[common], weight[common]
             hidden = np.zeros((len(rows_of), dim))
@@ -181,7 +193,7 @@ def score(docs, model, id_col="doc_id", text_col="text"):
     )
 
 
-def train(docs, labels, label="quality", rows=4000, chars=48_000_000):
+def train(docs, labels, label="quality", rows=2500, chars=32_000_000):
     """Fit on the bounded sample of ``labelled.draw``; ``rows`` and ``chars`` bound it."""
     sample = draw(docs, labels, label, rows, chars)
     return fit(sample.texts, sample.labels, sample.prior_shift)
