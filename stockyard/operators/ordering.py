@@ -96,18 +96,26 @@ def column_quantiles(df: DataFrame, columns, probabilities, accuracy=1000):
     probabilities, margin = [float(p) for p in probabilities], 2.0 / accuracy
     ends = [min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-margin, margin)]
     number = {c: F.col(c).cast("double") for c in columns}
+    # one row of a few numbers; as literals they keep the second scan in compiled code
     bounds = df.agg(
-        F.struct(*[F.percentile_approx(v, ends, accuracy).alias(f"b{i}") for i, v in enumerate(number.values())])
-    ).scalar()
+        *[F.percentile_approx(v, ends, accuracy).alias(f"b{i}") for i, v in enumerate(number.values())]
+    ).first()
     cells = []
     for i, value in enumerate(number.values()):
-        bracket = [(bounds[f"b{i}"][2 * p], bounds[f"b{i}"][2 * p + 1]) for p in range(len(probabilities))]
+        if bounds[f"b{i}"] is None:  # no values
+            continue
+        bracket = [
+            (F.lit(bounds[f"b{i}"][2 * p]), F.lit(bounds[f"b{i}"][2 * p + 1])) for p in range(len(probabilities))
+        ]
         inside = reduce(or_, [value.between(low, high) for low, high in bracket])
         gap = reduce(add, [(value > high).cast("int") for _, high in bracket])
         cells.append(F.struct(
             F.lit(i).alias("i"), F.when(inside, -1).otherwise(gap).alias("gap"),
             F.when(inside, value).alias("value"), value.alias("x"),
         ))
+    if not cells:
+        kinds = ", ".join(["name string", *[f"q{k} double" for k in range(len(probabilities))]])
+        return df.sparkSession.createDataFrame([], kinds)
     counts = (
         df.select(F.inline(F.array(*cells))).filter(F.col("x").isNotNull())
         .groupBy("i", "gap", "value")

@@ -296,21 +296,18 @@ def iqr_outliers(df: DataFrame, columns=S.NUMERIC_COLUMNS, fence=P.IQR_FENCE):
 
     The percentage is of all rows, also those without a value.
     """
-    quarters = column_quantiles(df, columns, [0.25, 0.75])
-    width = F.lit(fence) * (F.col("q1") - F.col("q0"))
-    fences = quarters.agg(F.struct(*[
-        F.max(F.when(F.col("name") == c, F.struct(
-            F.col("q0").alias("q1"), F.col("q1").alias("q3"), (F.col("q0") - width).alias("lower_bound"),
-            (F.col("q1") + width).alias("upper_bound"),
-        ))).alias(f"f{i}")
-        for i, c in enumerate(columns)
-    ])).scalar()
+    quarters = {r["name"]: (r["q0"], r["q1"]) for r in column_quantiles(df, columns, [0.25, 0.75]).collect()}
     outside, rows = [], []
     for i, c in enumerate(columns):
-        value, f = F.col(c).cast("double"), fences[f"f{i}"]
-        outside.append(F.count_if((value < f["lower_bound"]) | (value > f["upper_bound"])).alias(f"_n{i}"))
+        value = F.col(c).cast("double")
+        low, high = (F.lit(q).cast("double") for q in quarters.get(c, (None, None)))
+        width = F.lit(fence) * (high - low)
+        bounds = {"q1": low, "q3": high, "lower_bound": low - width, "upper_bound": high + width}
+        outside.append(
+            F.count_if((value < bounds["lower_bound"]) | (value > bounds["upper_bound"])).alias(f"_n{i}")
+        )
         rows.append(F.struct(
-            F.lit(c).alias("column_name"), *[f[x].alias(x) for x in ("q1", "q3", "lower_bound", "upper_bound")],
+            F.lit(c).alias("column_name"), *[v.alias(x) for x, v in bounds.items()],
             F.col(f"_n{i}").alias("outlier_count"),
             F.try_divide(F.lit(100.0) * F.col(f"_n{i}"), F.col("_rows")).alias("outlier_pct"),
         ))
