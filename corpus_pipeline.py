@@ -33,7 +33,7 @@ def repeated_passages(spark, docs, sf_dir):
 def pack(spark, docs, sf_dir):
     """Pieces of the documents in sequences of at most 2048 tokens."""
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as definition:
-        return packing.pack_documents(docs, definition.read())
+        return packing.pack_documents(docs, definition.read(), special_as_text=False)
 
 
 STAGES = [

@@ -37,12 +37,13 @@ class WordEncoder:
 
     Such a tokenizer gives a text the ids of its words in turn, so each distinct word
     is encoded once while it is remembered: the word's number leads to its ids in one
-    flat array.
+    flat array. With ``special_as_text`` a special token that a text spells out is
+    encoded like other text; without, it gets its one id, as in the library's plain call.
     """
 
-    def __init__(self, definition):
+    def __init__(self, definition, special_as_text=True):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self._forget()
 
     def _forget(self):
@@ -76,17 +77,18 @@ class WordEncoder:
         return self.flat[at], ends[offsets]
 
 
-_encoders = {}  # of this process, by definition
+_encoders = {}  # of this process, by definition and option
 
 
-def encoder_of(definition):
+def encoder_of(definition, special_as_text=True):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already share the cores
-    if definition not in _encoders:
-        _encoders[definition] = WordEncoder(definition)
-    return _encoders[definition]
+    key = definition, special_as_text
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(definition, special_as_text)
+    return _encoders[key]
 
 
-def pieces(docs, definition, limit=LIMIT, end_id=END_ID):
+def pieces(docs, definition, limit=LIMIT, end_id=END_ID, special_as_text=True):
     """doc_id, start, length, ids_crc32, doc_tokens and n_loss of every piece.
 
     ``definition`` is the JSON text of a public tokenizer; it travels with the tasks.
@@ -98,7 +100,7 @@ def pieces(docs, definition, limit=LIMIT, end_id=END_ID):
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder = encoder_of(definition)
+        encoder = encoder_of(definition, special_as_text)
         for part in text_slices(batches, "text", SLICE):
             ids, offsets = encoder.encode(part.column("text"))
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
@@ -207,9 +209,10 @@ def pack(items, limit=LIMIT, segments=SEGMENTS, loss_limit=LOSS, shard=SHARD):
     return packed.unionByName(whole)
 
 
-def pack_documents(docs, definition, limit=LIMIT):
+def pack_documents(docs, definition, limit=LIMIT, special_as_text=True):
     """Pieces of all documents in sequences: doc_id, start, length, ids_crc32,
-    doc_tokens, sequence_id, offset. An empty table gives no rows."""
-    return pack(pieces(docs, definition, limit), limit).select(
+    doc_tokens, sequence_id, offset. An empty table gives no rows. The registered
+    queries set ``special_as_text`` to False, for the ids of the library's plain call."""
+    return pack(pieces(docs, definition, limit, special_as_text=special_as_text), limit).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )

@@ -47,7 +47,7 @@ def op8_substring_dedup(spark, folder):
 
 def op9_packing(spark, folder):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as definition:
-        return packing.pack_documents(_table(spark, folder, "documents"), definition.read())
+        return packing.pack_documents(_table(spark, folder, "documents"), definition.read(), special_as_text=False)
 
 
 def op10_simhash(spark, folder):

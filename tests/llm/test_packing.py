@@ -109,3 +109,20 @@ def test_the_largest_product_goes_first():
 
 def test_empty_table(spark, definition):
     assert packing.pack_documents(docs(spark, "x").limit(0), definition).count() == 0
+
+
+def test_queries_give_special_tokens_the_ids_of_the_plain_call(spark, tmp_path):
+    import corpus_pipeline
+
+    from stockyard.llm import queries
+
+    plain = Tokenizer.from_file(PATH)
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b <|endoftext|><|endoftext|>.", "<|endoftext|", " <|ENDOFTEXT|> x"]
+    table = docs(spark, *texts)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = [np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4") for t in texts]
+    assert expected[0].tolist() == [3306, 49407, 1002, 1]
+    for out in (queries.op9_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, table, str(tmp_path))):
+        assert sorted((r["doc_id"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in out.collect()) == [
+            (i, len(e), zlib.crc32(e.tobytes()), len(e)) for i, e in enumerate(expected)
+        ]
