@@ -10,6 +10,12 @@ too, as they are: at that length one band over everything is the tuned choice, s
 a changed word costs more than a fifth of the shingles. Sentences under ``SHORT`` words
 go with the one that follows; a very long one is parted at words chosen by their hash.
 
+Neither sees where a passage begins or ends inside a sentence. So windows of ``SEED``
+words are compared as well, wherever lines and sentences end. Of every ``SPREAD``
+windows in a row the one with the smallest hash is a seed: documents that share
+``SEED + SPREAD - 1`` words share a seed, whatever stands around. Near the seeds that
+different documents hold, all windows are compared, so a passage is marked to the word.
+
 What is marked in a document is merged into runs, and runs of ``MIN_RUN`` words or more
 are cut. Documents with the smallest id keep theirs, so one copy stays.
 
@@ -19,9 +25,11 @@ size, which let a row too many pass but never lose one.
 """
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import functions as F
 
@@ -38,6 +46,8 @@ ROWS = 3               # hashes in a band
 MIN_PARAGRAPH = 20     # words of a paragraph that gets a signature
 MIN_RUN = 25           # words of a run that is cut
 SHORT, LONG = 6, 48    # words of a sentence that is joined to the next, or parted
+SEED = 25              # words of a window; not over MIN_RUN
+SPREAD = 25            # windows in a row that have a seed; not over SEED, so seeds leave no gap
 BLOCK = 4096           # paragraphs that one verification takes
 MAP_WORDS = 1 << 18    # 64-bit words of a bitmap, at most 16 MB when broadcast
 
@@ -123,10 +133,42 @@ def signatures(lines, bands, rows=ROWS):
     return n, mix(whole + n.astype(np.uint64)), keys
 
 
+def windows(codes, offsets, hashes, width=SEED):
+    """(hash, whether it lies in one text) of the window that begins at each word; the
+    last ``width - 1`` words of all have none."""
+    n = max(len(codes) - width + 1, 0)
+    base = 0x9E3779B97F4A7C15
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[codes] * powers(len(codes), base)[: len(codes)])])
+    back = powers(n, pow(base, -1, 1 << 64))[:n]
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return mix((total[width:] - total[: len(total) - width])[:n] * back), owner[:n] == owner[width - 1 :][:n]
+
+
+def _sliding(values, width, choose):
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = choose(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def seeds(h, inside, spread=SPREAD):
+    """Places of the windows with the smallest hash among some ``spread`` in a row of one
+    text. Of equal ones those early in sixteen go first, so that few are chosen."""
+    if len(h) < spread:
+        return np.zeros(0, np.int64)
+    turn = np.arange(len(h), dtype=np.uint64) & np.uint64(15)
+    key = np.where(inside, (h & ~np.uint64(31)) | np.uint64(16) | turn, np.uint64(0))
+    least = np.pad(_sliding(key, spread, np.minimum), spread - 1)
+    return np.flatnonzero(inside & (_sliding(least, spread, np.maximum) == key))
+
+
 def units(docs, bands, text_col="text"):
-    """Hashes and places of paragraphs (with bands) and sentences (without).
+    """Hashes and places of paragraphs (with bands), sentences and seeds (without). The
+    start of a seed is a number of words, and its end is null.
 
-    Columns: _key (of id and text), _doc, start, end, words, h, bands.
+    Columns: _key (of id and text), _doc, start, end, h, bands.
     """
     ship_package(docs.sparkSession)
     source = docs.select(
@@ -155,6 +197,11 @@ def units(docs, bands, text_col="text"):
                     line_start.append(found.start())
                     line_end.append(found.end())
                     lines.append(found.group())
+            codes, offsets, words = split_words(part.column("_text"))
+            h_at, inside = windows(codes, offsets, word_hashes(words))
+            chosen = seeds(h_at, inside)
+            of = np.searchsorted(offsets, chosen, "right") - 1
+            yield _rows(keys, ids, of, chosen - offsets[of], None, h_at[chosen], None)
             n, whole, bands_of = signatures(pa.array(lines, pa.string()), bands)
             kept = np.flatnonzero(n >= MIN_PARAGRAPH)
             yield _rows(keys, ids, owner, start, end, np.array(h, np.uint64), None)
@@ -173,7 +220,8 @@ def units(docs, bands, text_col="text"):
             lists = pa.ListArray.from_arrays(at, pa.array(bands_of.reshape(-1).view(np.int64)))
         return pa.RecordBatch.from_arrays(
             [keys.take(owner), ids.take(owner), pa.array(np.asarray(start, np.int32)),
-             pa.array(np.asarray(end, np.int32)), pa.array(h.view(np.int64)), lists],
+             pa.nulls(n, pa.int32()) if end is None else pa.array(np.asarray(end, np.int32)),
+             pa.array(h.view(np.int64)), lists],
             ["_key", "_doc", "start", "end", "h", "bands"],
         )
 
@@ -218,6 +266,44 @@ def _marked(rows, firsts):
     )
 
 
+def _near_seeds(docs, chosen, text_col):
+    """All windows near the seeds that documents with different ids hold, as ``units``
+    gives seeds. A passage reaches less than ``SPREAD`` windows beyond its outer seeds."""
+    firsts = materialize(_firsts(chosen), "substring_firsts")
+    near = _perhaps(chosen, "h", materialize(_bitmap(firsts, "h"), "substring_bitmap"))
+    places = materialize(
+        near.join(firsts.select("h"), "h").groupBy("_key").agg(F.collect_set("start").alias("places")),
+        "substring_places",
+    )
+    keyed = docs.select(
+        F.xxhash64("doc_id", text_col).alias("_key"), F.col("doc_id").cast("long").alias("_doc"),
+        F.col(text_col).alias("_text"),
+    )
+    keyed = _perhaps(keyed, "_key", materialize(_bitmap(places, "_key"), "substring_bitmap"))
+
+    def run(batches):
+        for part in text_slices(batches, "_text", SLICE_BYTES // 2):
+            codes, offsets, words = split_words(part.column("_text"))
+            h, inside = windows(codes, offsets, word_hashes(words))
+            listed = part.column("places")
+            of = np.repeat(np.arange(len(listed)), pc.list_value_length(listed).to_numpy())
+            at = listed.flatten().to_numpy() + offsets[of]
+            near = np.zeros(len(h) + 1, np.int64)
+            np.add.at(near, np.maximum(at - SPREAD + 1, offsets[of]), 1)
+            np.add.at(near, np.minimum(np.minimum(at + SPREAD, offsets[of + 1]), len(h)), -1)
+            taken = np.flatnonzero(inside & (np.cumsum(near[:-1]) > 0))
+            of = np.searchsorted(offsets, taken, "right") - 1
+            owner = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_key").take(owner), part.column("_doc").take(owner),
+                 pa.array((taken - offsets[of]).astype(np.int32)), pa.nulls(len(taken), pa.int32()),
+                 pa.array(h[taken].view(np.int64))],
+                ["_key", "_doc", "start", "end", "h"],
+            )
+
+    return keyed.join(places, "_key").mapInArrow(run, "_key long, _doc long, start int, `end` int, h long")
+
+
 def _verify(table):
     """Spanning links between the paragraphs of a block whose similarity reaches the
     threshold; from the smallest hash on, a paragraph that was reached isn't compared
@@ -325,15 +411,23 @@ def runs(text, spans, min_run=MIN_RUN):
 
 def _cut(text, found, min_run):
     """(text left, runs, ids of the documents that keep what was cut)."""
-    gone = runs(text, [(s["start"], s["end"]) for s in found], min_run)
+    words = [w.span() for w in WORD.finditer(text)] if any(s["end"] is None for s in found) else []
+    spans = [
+        (words[s["start"]][0], words[s["start"] + SEED - 1][1]) if s["end"] is None else (s["start"], s["end"])
+        for s in found
+    ]
+    gone = runs(text, spans, min_run)
+    begins = [a for a, _ in gone]
     parts, at = [], 0
     for start, end in gone:
         parts.append(text[at:start])
         at = end
     parts.append(text[at:])
-    kept_by = {
-        s["first"] for s in found if s["first"] != LAST and any(a <= s["start"] and s["end"] <= b for a, b in gone)
-    }
+    kept_by = set()
+    for s, (start, end) in zip(found, spans):
+        run = bisect_right(begins, start) - 1
+        if s["first"] != LAST and run >= 0 and end <= gone[run][1]:
+            kept_by.add(s["first"])
     return "".join(parts), gone, sorted(kept_by)
 
 
@@ -347,10 +441,11 @@ def cut(docs, min_run=MIN_RUN, text_col="text"):
     """
     bands = tune()
     found = materialize(units(docs, bands, text_col), "substring_units")
-    lines, whole = found.where("bands IS NOT NULL"), found.where("bands IS NULL")
+    lines, whole = found.where("bands IS NOT NULL"), found.where("bands IS NULL AND `end` IS NOT NULL")
+    near = materialize(_near_seeds(docs, found.where("`end` IS NULL"), text_col), "substring_windows")
     marked = _marked(whole, _firsts(whole)).unionByName(
         _marked(lines, _near_paragraphs(docs, lines, text_col))
-    )
+    ).unionByName(_marked(near, _firsts(near)))
     spans = materialize(
         marked.groupBy("_key").agg(F.collect_set(F.struct("start", "end", "first")).alias("_spans")),
         "substring_spans",

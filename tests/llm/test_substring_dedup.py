@@ -134,3 +134,56 @@ def test_odd_rows(spark):
     assert texts[3] == [None] and texts[4] == [""] and texts[6] == ["word " * 60_000] and texts[7] == [" \n . ! "]
     assert all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] is not None)
     assert D.dedup(table.limit(0)).count() == 0
+
+
+def _styled(seed, n, style):
+    words = prose(seed, n).replace(".", "").lower().split()
+    if style == "short":  # sentences of four words
+        words = [w + "." if k % 4 == 3 else w for k, w in enumerate(words)]
+    elif style == "long":  # of thirty
+        words = [w + "." if k % 30 == 29 else w for k, w in enumerate(words)]
+    return words
+
+
+@pytest.mark.parametrize("style", ["plain", "short", "long"])
+def test_passages_at_any_word_go_whole(spark, style):
+    """51 to 90 shared words, in front, in the middle and at the end of unlike text."""
+    random = np.random.default_rng(3)
+    rows, expected = [], {}
+    for k in range(30):
+        passage = [f"p{k}", *_styled(3000 + k, int(random.integers(49, 89)), style), f"q{k}"]
+        keep, copy = _styled(4000 + k, 160, style), _styled(5000 + k, 160, style)
+        at = int(random.integers(1, 160))
+        rows.append((k, " ".join([*keep[:at], *passage, *keep[at:]])))
+        at = (0, 160, int(random.integers(1, 160)))[k % 3]
+        before, after = [*copy[:at], "x" * (at > 0)], ["y" * (at < 160), *copy[at:]]
+        rows.append((100 + k, " ".join(w for w in [*before, *passage, *after] if w)))
+        expected[100 + k] = ([w for w in [*before, *after] if w], len(passage))
+    found = _found(docs(spark, *rows))
+    for k in range(30):
+        assert found[k]["n_removed"] == 0
+        left, n = expected[100 + k]
+        assert (found[100 + k]["text"].split(), found[100 + k]["n_removed"]) == (left, n), k
+        assert k in found[100 + k]["kept_by"]
+
+
+def test_a_passage_goes_whole_when_the_smallest_id_holds_a_part(spark):
+    passage, own = _styled(6000, 120, "plain"), [_styled(6001 + k, 80, "plain") for k in range(3)]
+    rows = _found(docs(
+        spark, (1, " ".join([*own[0], "a", *passage[30:70], "b"])), (2, " ".join([*own[1], "c", *passage, "d"])),
+        (3, " ".join(["e", *passage, "f", *own[2]])),
+    ))
+    assert rows[3]["text"].split() == ["e", "f", *own[2]] and {1, 2} <= set(rows[3]["kept_by"])
+
+
+def test_every_long_run_has_a_seed():
+    for words in (["w"] * 400, _styled(7000, 400, "plain"), ["a", "b"] * 200):
+        codes, offsets, distinct = D.split_words(pa.array([" ".join(words), "x y", " ".join(words[7:130])]))
+        h, inside = D.windows(codes, offsets, D.word_hashes(distinct))
+        chosen = D.seeds(h, inside)
+        assert inside[chosen].all() and inside.sum() == 376 + 99
+        of_first = set(h[chosen[chosen < 400]].tolist())
+        assert np.diff(chosen[chosen < 400]).max() <= D.SPREAD and len(chosen) < 90
+        assert all(of_first & set(h[a : a + D.SPREAD].tolist()) for a in range(376 - D.SPREAD + 1))
+        second = h[402:][: 99]
+        assert (h[7 : 7 + 99] == second).all()
