@@ -48,6 +48,9 @@ MARKS = set("ad ads adv advert adverts advertisement advertising adsense adslot
             "nav navbar navigation topbar footer header masthead toolbar pagination pager search hidden "
             "complementary contentinfo dialog".split())
 
+REPLIES = set("comment comments reply replies disqus discussion".split())
+NOT_ITSELF = set("has have no not with without".split())  # "has-sidebar" is no sidebar
+
 PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*>"
@@ -60,40 +63,66 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*("[^"]*
 NONE_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _dropped(tag, attributes):
-    """Whether an element is never article text."""
+def _dropped(tag, attributes, whole):
+    """2 if an element is never article text, 1 if its marks say so unless it holds most
+    of the page's words, else 0. Attributes of ``whole`` elements don't count."""
     if tag in NEVER:
-        return True
-    if tag in WHOLE or not attributes:
-        return False
+        return 2
+    if whole or not attributes:
+        return 0
+    marked = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden":
-            return True
+            return 2
         if name == "style":
             if NONE_SHOWN.search(value):
-                return True
-        else:
-            value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()
-            if not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                return True
-    return False
+                return 2
+            continue
+        for one in re.sub(r"([a-z])([A-Z])", r"\1-\2", value.strip("\"'")).lower().split():
+            parts = [x for x in re.split(r"[^a-z0-9]+", one) if x]
+            if parts and REPLIES.issuperset(parts):
+                return 2
+            if any(x in MARKS and not (k and parts[k - 1] in NOT_ITSELF) for k, x in enumerate(parts)):
+                marked = 1
+    return marked
+
+
+def _unclosed(page, name, at):
+    """Whether an element whose content begins at ``at`` has no end tag."""
+    depth = 1
+    for found in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I).finditer(page, at):
+        depth += -1 if found[1] else 1
+        if not depth:
+            return False
+    return True
 
 
 def events(page):
     """(kind, key, text, dropped, in_article) of every piece: kind "word" for text, whose
     key is (innermost block, in a link), "tag" for a tag, whose key is its name."""
     open_, result, at, page = [], [], 0, page or ""
-    dropping = articles = links = 0  # open elements of each sort
+    dropping = articles = links = seen = 0  # open elements of each sort; articles so far
+    marked, words = (), {None: 0}  # open elements with marks; words in each, and in all
+    held, checked, replies = [], {}, set()  # marks around each piece; by element: unclosed, comments
 
     def close(index):
-        nonlocal dropping, articles, links
-        for tag, drops in open_[index:]:
-            dropping -= drops
+        nonlocal dropping, articles, links, marked
+        for tag, drops, begin in open_[index:]:
+            dropping -= drops == 2
+            marked = tuple(x for x in marked if x != begin)
             articles -= tag == "article"
             links -= tag == "a"
         del open_[index:]
 
+    def add(kind, key, text, dropped, inside):
+        result.append((kind, key, text, dropped, inside))
+        held.append(marked)
+        if kind == "word" and not dropped:
+            n = len(text.split())
+            for x in (None, *marked):
+                words[x] = words.get(x, 0) + n
+
     while at < len(page):
         found = PIECE.match(page, at)
         at = found.end()
@@ -101,42 +130,56 @@ def events(page):
         name = found.group(2) or found.group(5)
         if name is None:
             if text[0] != "<" or text == "<":
-                block = next((t for t, _ in reversed(open_) if t not in INLINE), "")
-                result.append(("word", (block, links > 0), text, dropping > 0, articles > 0))
+                block = next((t for t, _, _ in reversed(open_) if t not in INLINE), "")
+                add("word", (block, links > 0), text, dropping > 0, articles > 0)
             continue
         name, closing = name.lower(), bool(found.group(1) or found.group(4))
         if closing:
             index = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-            result.append(("tag", name, "", dropping > 0, articles > 0 and name != "article"))
+            add("tag", name, "", dropping > 0, articles > 0 and name != "article")
             if index is not None:
                 close(index)
             continue
         attributes = found.group(3) or found.group(6) or ""
         shut = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
         if name in ("article", "main"):  # an element left open before the text
-            index = next((i for i, (_, drops) in enumerate(open_) if drops), None)
-            if index is not None:
-                close(index)
+            for index, (tag, drops, begin) in enumerate(open_):
+                if not drops or name == "article" and (tag == "aside" or begin in replies):
+                    continue
+                if begin not in checked:
+                    checked[begin] = _unclosed(page, tag, begin)
+                if checked[begin]:
+                    close(index)
+                    break
         while shut and open_ and (open_[-1][0] in shut or open_[-1][0] in INLINE):
             outer = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] not in INLINE), None)
             if outer is None or open_[outer][0] not in shut:
                 break
             close(outer)
-        drops = _dropped(name, attributes)
-        result.append(("tag", name, "", dropping > 0 or drops, articles > 0))
+        drops = _dropped(name, attributes, name in WHOLE and (name != "article" or not seen))
+        seen += name == "article" and not dropping
+        if drops == 2 and name not in NEVER:
+            replies.add(at)
+        outside, marked = marked, marked + (at,) * (drops == 1)
+        add("tag", name, "", dropping > 0 or drops == 2, articles > 0)
         if name in VOID or attributes.endswith("/"):
+            marked = outside
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>?", re.I).search(page, at)
             if name not in NEVER:
-                result.append(("word", (name, False), page[at : end.start() if end else len(page)], dropping > 0, articles > 0))
-            at = end.end() if end else len(page)
+                add("word", (name, False), page[at : end.start() if end else len(page)], dropping > 0, articles > 0)
+            marked, at = outside, end.end() if end else len(page)
             continue
-        open_.append((name, drops))
-        dropping += drops
+        open_.append((name, drops, at))
+        dropping += drops == 2
         articles += name == "article"
         links += name == "a"
-    return result
+    small = {x for x, n in words.items() if x is not None and 2 * n <= words[None]}
+    return [
+        (kind, key, text, dropped or not small.isdisjoint(around), inside)
+        for (kind, key, text, dropped, inside), around in zip(result, held)
+    ]
 
 
 def learn(pages):

@@ -84,3 +84,22 @@ def test_long_and_repeated_pages(spark, weights):
 
 def test_unlabelled_pages_teach_nothing():
     assert H.learn(["<p>x</p>", None, "<article>a</article><article>b</article>"]) == {}
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<div class='layout has-sidebar'>", "</div>"), ("<div class='post no-comments'>", "</div>"),
+    ("<div class='main-widget'>", "</div>"), ("<div class=sidebar>x", ""),
+])
+def test_wrappers_with_marks_keep_the_text(before, after):
+    tag = "div" if after else "article"
+    text = f"<{tag}>" + "many words of the text " * 9 + f"</{tag}>"
+    assert "many words of the text" in H.extract(f"<body>{before}{text}{after}</body>", {})
+
+
+@pytest.mark.parametrize("region", [
+    "<div id=comments><article class=comment>leaked words</article></div>",
+    "<aside><article>leaked words</article></aside>", "<article class=related>leaked words</article>",
+])
+def test_articles_in_comments_and_asides_stay_out(region):
+    text = "many words of the text " * 9
+    assert H.extract(f"<body><article>{text}</article>{region}</body>", {}) == text.strip()
