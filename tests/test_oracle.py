@@ -2,7 +2,7 @@
 
 import oracle_check
 import pytest
-from conftest import SF_DIR
+from settings import SF_DIR
 
 import __spark_entry__ as driver
 from stockyard.plans import oracle

@@ -21,7 +21,7 @@ def test_without_it_the_warehouse_is_used():
 
 
 def test_one_load_per_folder(spark):
-    from conftest import SF_DIR
+    from settings import SF_DIR
 
     from stockyard.sources import retail_star
 
