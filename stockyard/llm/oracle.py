@@ -5,7 +5,7 @@ region weights (5), XXH64 fingerprints (10) and MinHash (8). Their tests compare
 brute force, public libraries or held-out labels.
 """
 
-from stockyard.llm import nearest, quality_rules, url_filter
+from stockyard.llm import centroids, nearest, quality_rules, url_filter
 
 
 def _nearest():
@@ -169,8 +169,89 @@ FROM scored, cutoff
 """
 
 
+def _centroids():
+    k, dim = centroids.CLUSTERS, centroids.DIM
+    far = "list_sum(list_transform(range(1, len(x.p) + 1), lambda i: (x.p[i] - c.p[i]) * (x.p[i] - c.p[i])))"
+
+    def assigned(n):
+        """The best of distance * k + number is the nearest centroid, the smallest number of a tie."""
+        return f"""a{n} AS (
+  SELECT rid, vec_id, p, best % {k} AS k, best // {k} AS distance FROM (
+    SELECT x.rid, any_value(x.vec_id) AS vec_id, any_value(x.p) AS p, min(CAST({far} AS BIGINT) * {k} + c.k) AS best
+    FROM kept x, c{n} c GROUP BY x.rid))"""
+
+    def moved(n):
+        return f"""m{n} AS (
+  SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS p FROM (
+    SELECT k, i, CAST(sum(p[i]) AS BIGINT) AS s, count(*) AS n
+    FROM (SELECT k, p, unnest(range(1, {dim + 1})) AS i FROM a{n}) GROUP BY k, i) GROUP BY k
+), c{n + 1} AS (SELECT c.k, coalesce(m.p, c.p) AS p FROM c{n} c LEFT JOIN m{n} m ON c.k = m.k)"""
+
+    rounds = ", ".join(f"{assigned(n)}, {moved(n)}" for n in range(centroids.ROUNDS))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {centroids.SCALE}) AS BIGINT)) AS p
+  FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, p
+  FROM kept ORDER BY sha256('1:' || vec_id) LIMIT {k}
+), {rounds}, {assigned(centroids.ROUNDS)}
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.p, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} a JOIN c{centroids.ROUNDS} c ON a.k = c.k
+"""
+
+
+def _conversation_trie():
+    """Nodes are keyed by the digest of their path, chained turn by turn."""
+    # CRC-32 of the decimal id: eight shifts for every byte
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+      string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ord(x), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)))"""
+    return f"""
+WITH turns AS (
+  SELECT conv_id, sha256(length(r) || ':' || r || t) AS digest, turn,
+    len(list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place FROM turns
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, CAST({crc} AS BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns WHERE conv_id IS NOT NULL)
+), rebuilt AS (
+  SELECT c.conv_id, p.digest, p.words, row_number() OVER (PARTITION BY c.conv_id ORDER BY p.conv_id = c.base AND p.place <= c.h DESC, p.place) AS place
+  FROM convs c JOIN placed p ON (p.conv_id = c.base AND p.place <= c.h) OR (p.conv_id = c.conv_id AND p.place > c.h)
+), paths AS (
+  SELECT conv_id, place AS depth, words, string_agg(digest, '') OVER w AS path FROM rebuilt
+  WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), ends AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id
+), node AS (
+  SELECT path, p.depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (e.depth = p.depth), '')) AS ends
+  FROM paths p JOIN ends e USING (conv_id) GROUP BY path, p.depth
+), child AS (
+  SELECT parent.path, count(*) AS n FROM node parent JOIN node c
+    ON c.depth = parent.depth + 1 AND left(c.path, 64 * parent.depth) = parent.path GROUP BY 1
+), subtree AS (
+  SELECT top.path, count(*) FILTER (child.n IS NULL) AS n_leaves, sum((below.n_convs - 1) * below.words) AS saved
+  FROM node top JOIN node below ON below.depth >= top.depth AND left(below.path, 64 * top.depth) = top.path
+  LEFT JOIN child ON child.path = below.path GROUP BY 1
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+  s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM node n JOIN subtree s ON s.path = n.path LEFT JOIN child c ON c.path = n.path
+LEFT JOIN node up ON up.depth = n.depth - 1 AND up.path = left(n.path, 64 * (n.depth - 1))
+"""
+
+
 def oracle_sql():
     return {
+        "op11_conversation_trie": _conversation_trie(),
+        "op12_centroids": _centroids(),
         "op3_nearest": _nearest(),
         "op4_url_filter": _url_filter(),
         "op7_quality_rules": _quality_rules(),

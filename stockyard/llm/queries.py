@@ -3,8 +3,8 @@
 import public_tokenizers
 
 from stockyard.llm import (
-    html_text, nearest, packing, quality_classifier, quality_rules, sentencepiece, simhash,
-    substring_dedup, toxicity, url_filter,
+    centroids, conversation_trie, html_text, nearest, packing, quality_classifier,
+    quality_rules, sentencepiece, simhash, substring_dedup, toxicity, url_filter,
 )
 
 
@@ -54,5 +54,13 @@ def op10_simhash(spark, folder):
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_conversation_trie(spark, folder):
+    return conversation_trie.nodes(_table(spark, folder, "conversations"))
+
+
+def op12_centroids(spark, folder):
+    return centroids.cluster(_table(spark, folder, "embeddings"))
+
+
 def catalog():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
