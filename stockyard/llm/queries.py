@@ -3,7 +3,7 @@
 import public_tokenizers
 
 from stockyard.llm import (
-    centroids, conversation_trie, html_text, nearest, packing, quality_classifier,
+    centroids, conversation_trie, html_text, language, nearest, packing, quality_classifier,
     quality_rules, sentencepiece, simhash, substring_dedup, toxicity, url_filter,
 )
 
@@ -62,5 +62,10 @@ def op12_centroids(spark, folder):
     return centroids.cluster(_table(spark, folder, "embeddings"))
 
 
+def op13_language(spark, folder):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as model:
+        return language.identify(_table(spark, folder, "documents"), model.read())
+
+
 def catalog():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
