@@ -115,7 +115,7 @@ class Lattice:
             x[order] for x in (self.unit, self.end, self.length, self.piece)
         )
         self.first = pieces.count
-        self._bytes = [np.frombuffer(chr(c).encode(), np.uint8) + pieces.count for c in self.characters.tolist()]
+        self._bytes = [np.frombuffer(chr(c).encode(), np.uint8).astype(np.int64) + pieces.count for c in self.characters.tolist()]
 
     def steps(self):
         """(end, length, slice of the matches) in order; a unit occurs once in each."""
