@@ -9,32 +9,67 @@ from stockyard import schema as S
 from stockyard.functions import measures as M
 from stockyard.operators.ordering import accumulate, group_offsets, place
 from stockyard.operators.quality import foreign_key_check, to_long
+from stockyard.session import materialize
+
+
+def names(df: DataFrame):
+    """(table, value): every distinct value of the entity keys and of the names that have
+    a lookup, from one scan of the rows. Missing values are left out."""
+    columns = {**S.ENTITIES, **{table: column for table, (column, _, _) in S.LOOKUPS.items()}}
+    keys = list(columns.values())
+    # Each set keeps one column and leaves the others null: its bit alone is 0 in the id.
+    sets = df.groupingSets([[c] for c in keys], *keys).agg(F.grouping_id().alias("_set"))
+    every = 2 ** len(keys) - 1
+    ids = {every - 2 ** (len(keys) - 1 - i): table for i, table in enumerate(columns)}
+    name = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])[F.col("_set").cast("int")]
+    return sets.select(name.alias("table"), F.coalesce(*keys).alias("value")).filter(F.col("value").isNotNull())
 
 
 def build_dimensions(df: DataFrame):
     """Name -> frame for the two entity tables, four lookups and the promotions.
 
-    The values of all six columns are counted by one grouping per column over the same
-    rows, so every task sends each value once. Surrogate ids follow the name order
-    within a lookup, so a rerun gives the same ids; they come from a distributed rank,
-    so a lookup may be of any size. Missing values get no id.
+    Surrogate ids follow the name order within a lookup, so a rerun gives the same ids.
     """
-    dimensions = {
-        table: df.select(key).filter(F.col(key).isNotNull()).distinct() for table, key in S.ENTITIES.items()
-    }
+    return merge_dimensions(df, {})
+
+
+def merge_dimensions(df: DataFrame, stored):
+    """The stored dimensions (name -> frame; those that are absent count as empty) and what
+    the rows add to them.
+
+    A stored name keeps its id for good, also if no row has it any more. New names get ids
+    after the largest of their lookup, in name order, from a distributed rank, so a lookup may
+    be of any size. The names are found in one scan of the rows and stored, and so are the
+    lookups: joins with them read a file of a known size.
+    """
+    found = materialize(names(df), "names")
     parts = [
-        df.select(F.lit(table).alias("table"), F.col(column).alias("value"))
-        .filter(F.col("value").isNotNull()).distinct()
-        for table, (column, _, _) in S.LOOKUPS.items()
+        stored[table].select(F.lit(table).alias("table"), F.col(name).alias("value"), F.col(key).alias("id"))
+        for table, (_, key, name) in S.LOOKUPS.items() if table in stored
     ]
-    placed = place(reduce(DataFrame.unionAll, parts), ["table", "value"])
-    # Four rows; a join by shuffle would put a whole lookup in one task.
+    fresh = found.filter(F.col("table").isin(list(S.LOOKUPS)))
+    known = reduce(DataFrame.unionAll, parts) if parts else None
+    if known is not None:
+        fresh = fresh.join(known, ["table", "value"], "left_anti")
+    placed = place(fresh, ["table", "value"])
+    # Four rows each; a join by shuffle would put a whole lookup in one task.
     starts = F.broadcast(group_offsets(placed, "table"))
-    numbered = accumulate(placed, into="_rank").join(starts, "table").select(
-        "table", "value", (F.col("_rank") - F.col("_base")).cast("int").alias("id")
-    )
+    number = (F.col("_rank") - F.col("_base")).cast("int")
+    numbered = accumulate(placed, into="_rank").join(starts, "table")
+    if known is not None:
+        last = known.groupBy("table").agg(F.max("id").alias("_last"))
+        numbered = numbered.join(F.broadcast(last), "table", "left")
+        number += F.coalesce("_last", F.lit(0))
+    numbered = numbered.select("table", "value", number.alias("id"))
+    lookups = materialize(known.unionAll(numbered) if known is not None else numbered, "lookups")
+    dimensions = {}
+    for table, key in S.ENTITIES.items():
+        members = found.filter(F.col("table") == table).select(F.col("value").alias(key))
+        if table in stored:
+            members = stored[table].select(key).unionAll(members.join(stored[table], key, "left_anti"))
+        dimensions[table] = members
     for table, (_, key, name) in S.LOOKUPS.items():
-        dimensions[table] = numbered.filter(F.col("table") == table).select(
+        dimensions[table] = lookups.filter(F.col("table") == table).select(
             F.col("id").alias(key), F.col("value").alias(name)
         )
     dimensions["promotions"] = df.sparkSession.createDataFrame(S.PROMOTIONS, S.PROMOTIONS_SCHEMA)

@@ -22,15 +22,14 @@ def clean_csv(spark, source, target):
 def load_flat(spark, source, prefix="", expected_shape=None, location=None):
     """Clean CSV into the typed flat table ``<prefix>inventory_sales``, by month.
 
-    Refuses another shape, missing values and repeated keys before it touches the
-    table, and checks the stored row count after.
+    The rows are written beside the table and checked there: another shape, missing values
+    and repeated keys are refused, and the table keeps what it had.
     """
-    rows = materialize(files.read_csv(spark, source), "load")
-    count = tables.require_complete(rows)
-    if expected_shape is not None and (count, len(rows.columns)) != tuple(expected_shape):
-        raise tables.ShapeError(f"unexpected shape {(count, len(rows.columns))}, expected {expected_shape}")
-    tables.require_unique(rows)
-    created = tables.create_tables(spark, [tables.FACT_TABLE], prefix, location)
+    rows = files.read_csv(spark, source)
+    count, columns = expected_shape or (None, len(rows.columns))
+    if len(rows.columns) != columns:
+        raise tables.ShapeError(f"unexpected columns {len(rows.columns)}, expected {columns}")
+    created = tables.create_tables(spark, [tables.FACT_TABLE], prefix, location, keep=True)
     name = created[tables.FACT_TABLE]
     tables.load_fact(rows, name, expected_rows=count)
     return spark.table(name)
@@ -52,26 +51,34 @@ def load_star(spark, source, prefix="", location=None, allow_refused=False):
         staged.filter(F.col(files.CORRUPT).isNull()).select(*S.FACT_COLUMNS)
     )
     tables.require_complete(rows)
-    tables.require_unique(rows)
     stored = store_star(rows, prefix, location)
     return stored, star.load_reconciliation(staged, stored["inventory_sales_normalized"])
 
 
-def store_star(rows, prefix="", location=None):
-    """Create and fill every table of the normalised model; returns name -> frame.
+def store_star(rows, prefix="", location=None, anew=False):
+    """Fill every table of the normalised model; returns name -> frame.
 
-    Loading again replaces what is there.
+    Loading again replaces the fact, and the dimensions grow: a name that is stored keeps
+    its id. ``anew`` forgets what is stored. All tables are written beside the stored ones;
+    rows, keys and references of the fact are checked there; then the dimensions are
+    switched, and the fact last. A load that is refused changes no table.
     """
     spark = rows.sparkSession
     fact = "inventory_sales_normalized"
-    names = [*S.ENTITIES, *S.LOOKUPS, "promotions"]
-    catalog = tables.create_tables(spark, [*names, fact], prefix, location)
-    dimensions = star.build_dimensions(rows)
-    for name in [*S.ENTITIES, *S.LOOKUPS]:
-        tables.insert_select(dimensions[name], catalog[name])
-    tables.insert_values(spark, S.PROMOTIONS, catalog["promotions"])
-    stored = {name: spark.table(catalog[name]) for name in names}
-    tables.insert_select(star.normalize(rows, stored), catalog[fact])
+    dimension_names = [*S.ENTITIES, *S.LOOKUPS]
+    names = [*dimension_names, "promotions"]
+    catalog = tables.create_tables(spark, [*names, fact], prefix, location, keep=not anew)
+    merged = star.merge_dimensions(rows, {name: spark.table(catalog[name]) for name in dimension_names})
+    staged = {name: tables.stage(merged[name], catalog[name]) for name in names}
+    beside = {name: version.rows for name, version in staged.items()}
+    staged[fact] = tables.stage(star.normalize(rows, beside), catalog[fact])
+    written = staged[fact].rows
+    tables.require_rows(written, rows.count())
+    tables.require_unique(written)
+    orphans = star.star_schema_check(written, beside).filter("orphan_rows > 0").collect()
+    if orphans:
+        raise tables.ConstraintError(f"references without a target {[o.asDict() for o in orphans]}")
+    tables.switch(spark, *staged.values())
     return {name: spark.table(catalog[name]) for name in [*names, fact]}
 
 

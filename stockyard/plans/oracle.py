@@ -280,6 +280,24 @@ def ids(column, table="fact"):
     )
 
 
+# A first load of some rows, then all: its names keep their ids, new ones come after them.
+FIRST = "category >= 'LARGE' AND region > 'AMERICA' AND store_id > 'S005'"
+
+
+def merged_ids(table, column):
+    first = ids(column, f"fact WHERE {FIRST}")
+    new = f"SELECT DISTINCT {column} FROM fact WHERE {column} NOT IN (SELECT {column} FROM ({first}))"
+    return (
+        f"SELECT '{table}' AS table_name, id, {column} AS name FROM ({first}) UNION ALL "
+        f"SELECT '{table}', CAST((SELECT COUNT(*) FROM ({first})) + ROW_NUMBER() OVER (ORDER BY {column}) AS INT), {column} FROM ({new})"
+    )
+
+
+ENTITY_ROWS = [
+    "SELECT 'stores' AS table_name, CAST(NULL AS INT) AS id, store_id AS name FROM (SELECT DISTINCT store_id FROM fact)",
+    "SELECT 'products', CAST(NULL AS INT), product_id FROM (SELECT DISTINCT product_id FROM fact)",
+]
+
 STAR = f"""
   SELECT date, store_id, product_id, c.id AS category_id, r.id AS region_id, inventory_level, units_sold, units_ordered,
     demand_forecast, price, discount, w.id AS weather_id, holiday_promotion AS promotion_id, competitor_pricing, s.id AS season_id
@@ -460,12 +478,9 @@ BODIES = {
     "scalar_subquery_projection": f"SELECT {tier()} AS inventory_risk, COUNT(*) AS observations, CAST(100 AS DOUBLE) * COUNT(*) / (SELECT COUNT(*) FROM fact WHERE demand_forecast > 0) AS percentage FROM fact WHERE demand_forecast > 0 GROUP BY 1",
     "normalize_fact": STAR,
     "build_dimensions": " UNION ALL ".join(
-        [
-            "SELECT 'stores' AS table_name, CAST(NULL AS INT) AS id, store_id AS name FROM (SELECT DISTINCT store_id FROM fact)",
-            "SELECT 'products', CAST(NULL AS INT), product_id FROM (SELECT DISTINCT product_id FROM fact)",
-        ]
-        + [f"SELECT '{t}', id, {c} FROM ({ids(c)})" for t, (c, _) in LOOKUP.items()]
+        ENTITY_ROWS + [f"SELECT '{t}', id, {c} FROM ({ids(c)})" for t, (c, _) in LOOKUP.items()]
     ),
+    "dimension_merge": " UNION ALL ".join(ENTITY_ROWS + [merged_ids(t, c) for t, (c, _) in LOOKUP.items()]),
     "denormalize_fact": FACT_ROWS,
     "aligned_assign": grouped("product_id", f"{total('units_sold')} AS total_units_sold, {avg('inventory_level')} AS avg_inventory, {LOW_RATE} AS low_inventory_risk_rate"),
     "fk_check": " UNION ALL ".join(

@@ -117,7 +117,7 @@ def load_fact(inv):
 
 @query()
 def insert_select(inv):
-    return jobs.store_star(_flat(inv), "star_")["inventory_sales_normalized"].select(*S.NORMALIZED_COLUMNS)
+    return jobs.store_star(_flat(inv), "star_", anew=True)["inventory_sales_normalized"].select(*S.NORMALIZED_COLUMNS)
 
 
 @query()
@@ -135,7 +135,7 @@ def insert_values(inv):
 
 @query()
 def create_tables(inv):
-    stored = jobs.store_star(_flat(inv), "typed_")
+    stored = jobs.store_star(_flat(inv), "typed_", anew=True)
     counts = star.row_counts(stored)
     widths = F.create_map(*[
         x for n, f in stored.items() for x in (F.lit(n), F.lit(len([c for c in f.columns if c not in S.GRAINS])))
@@ -359,9 +359,7 @@ def normalize_fact(inv):
     return star.normalize(_flat(inv), star.build_dimensions(inv.fact))
 
 
-@query()
-def build_dimensions(inv):
-    dimensions = star.build_dimensions(inv.fact)
+def _dimension_rows(dimensions):
     parts = [
         dimensions[t].select(
             F.lit(t).alias("table_name"), F.lit(None).cast("int").alias("id"), F.col(k).alias("name")
@@ -377,6 +375,18 @@ def build_dimensions(inv):
     return result
 
 
+@query()
+def build_dimensions(inv):
+    return _dimension_rows(star.build_dimensions(inv.fact))
+
+
+@query()
+def dimension_merge(inv):
+    # A first load that lacks names which sort before the ones it has, then all rows.
+    first = star.build_dimensions(inv.fact.filter("category >= 'LARGE' AND region > 'AMERICA' AND store_id > 'S005'"))
+    return _dimension_rows(star.merge_dimensions(inv.fact, first))
+
+
 @query()
 def denormalize_fact(inv):
     dimensions = star.build_dimensions(inv.fact)
