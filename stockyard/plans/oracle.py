@@ -234,6 +234,29 @@ DAILY = (
     f"SELECT date, store_id, product_id, category, region, inventory_level, demand_forecast, {tier()} AS risk_status, "
     f"{GATED} AS recommended_order_qty FROM fact WHERE inventory_level < demand_forecast"
 )
+# The stream: what comes first, then everything with more stock; dates up to LATE are late then.
+FIRST_STORES = "store_id < 'S013'"
+LATE = "(SELECT MAX(date) - 30 FROM {table} WHERE " + FIRST_STORES + ")"
+MORE = "(SELECT * REPLACE (inventory_level + 60 AS inventory_level) FROM fact)"
+ORDER_ROW = (
+    f"date, store_id, product_id, category, region, inventory_level, demand_forecast, {tier()} AS risk_status, "
+    f"{GATED} AS recommended_order_qty"
+)
+VERSIONS = f"""
+  SELECT {ORDER_ROW}, FALSE AS withdrawn FROM (
+    SELECT * FROM fact WHERE {FIRST_STORES} AND date <= {LATE.format(table='fact')}
+    UNION ALL SELECT * FROM {MORE} WHERE date > {LATE.format(table='fact')})
+  WHERE inventory_level < demand_forecast
+  UNION ALL SELECT {ORDER_ROW}, TRUE FROM {MORE}
+  WHERE date > {LATE.format(table='fact')} AND {FIRST_STORES} AND inventory_level >= demand_forecast
+    AND inventory_level - 60 < demand_forecast"""
+_KEYS_OF = f"SELECT COUNT(*) FROM (SELECT DISTINCT {KEY} FROM raw WHERE"
+ACCOUNT = f"""
+  SELECT arrival, arrived, kept, late, arrived - kept - late AS repeated FROM (
+    SELECT 0 AS arrival, (SELECT COUNT(*) FROM raw WHERE {FIRST_STORES}) AS arrived,
+      ({_KEYS_OF} {FIRST_STORES})) AS kept, CAST(0 AS BIGINT) AS late
+    UNION ALL SELECT 1, (SELECT COUNT(*) FROM raw), ({_KEYS_OF} date > {LATE.format(table='raw')})),
+      ({_KEYS_OF} date <= {LATE.format(table='raw')})))"""
 DEVIATION = (
     "SQRT(CAST(COUNT(units_sold) * SUM(CAST(units_sold AS BIGINT) * units_sold) - SUM(units_sold) * SUM(units_sold) AS DOUBLE) "
     "/ (CAST(COUNT(units_sold) AS DOUBLE) * CAST(COUNT(units_sold) AS DOUBLE)))"
@@ -654,6 +677,8 @@ BODIES = {
     ),
     # streaming
     "stream_reorder_check": DAILY,
+    "stream_withdrawals": VERSIONS,
+    "stream_account": ACCOUNT,
 }
 
 

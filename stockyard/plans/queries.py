@@ -770,12 +770,50 @@ def wide_to_long(inv):
 # --- streaming --------------------------------------------------------------
 
 
+def _stream(spark, arrivals, **options):
+    """Run the stream once for each frame that arrives; returns its output and its last runs."""
+    arrived, output, state = (work_path(spark, f"stream_{x}") for x in ("arrived", "orders", "state"))
+    runs = []
+    for rows in arrivals:
+        rows.write.mode("append").parquet(arrived)
+        run = reorder_stream.start(reorder_stream.read_fact_stream(spark, arrived), output, state, **options)
+        run.awaitTermination()
+        runs.append(run)
+    return output, runs
+
+
 @query()
 def stream_reorder_check(inv):
     spark = inv.raw.sparkSession
-    arrived = work_path(spark, "arrived")
-    output = work_path(spark, "stream_orders")
-    _flat(inv).write.parquet(arrived)
-    stream = reorder_stream.read_fact_stream(spark, arrived)
-    reorder_stream.start(stream, output, work_path(spark, "stream_state")).awaitTermination()
+    output, _ = _stream(spark, [_flat(inv)])
     return reorder_stream.read_orders(spark, output)
+
+
+# What arrives first, and how far behind the newest of its dates a row may come.
+FIRST_STORES = "store_id < 'S013'"
+LATENESS = "30 days"
+
+
+@query()
+def stream_withdrawals(inv):
+    # Then all rows come with more stock: old dates are late, the others may withdraw an order.
+    spark, rows = inv.raw.sparkSession, _flat(inv)
+    more = rows.withColumn("inventory_level", F.col("inventory_level") + 60)
+    output, _ = _stream(spark, [rows.filter(FIRST_STORES), more], watermark=LATENESS)
+    shown = reorder_stream.read_orders(spark, output).withColumn("withdrawn", F.lit(False))
+    return shown.unionByName(
+        reorder_stream.read_orders(spark, output, withdrawn=True).withColumn("withdrawn", F.lit(True))
+    )
+
+
+@query()
+def stream_account(inv):
+    spark = inv.raw.sparkSession
+    _, runs = _stream(spark, [inv.raw.filter(FIRST_STORES), inv.raw], watermark=LATENESS)
+    result = None
+    for number, run in enumerate(runs):
+        rows = reorder_stream.account(spark, run).select(
+            F.lit(number).alias("arrival"), "arrived", "kept", "late", "repeated"
+        )
+        result = rows if result is None else result.unionAll(rows)
+    return result

@@ -76,36 +76,6 @@ def test_publishing_a_day_twice_replaces_it(spark, facts, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
-def _run(spark, source, output, state, **options):
-    stream = reorder_stream.read_fact_stream(spark, source)
-    reorder_stream.start(stream, output, state, **options).awaitTermination()
-
-
-@pytest.mark.parametrize("watermark", [None, "7 days"])
-def test_stream_over_several_arrivals(spark, facts, tmp_path, watermark):
-    source, output, state = (str(tmp_path / d) for d in ("in", "out", "state"))
-    short = {"inventory_level": 10, "demand_forecast": 50}
-    facts({**short, "store_id": "a"}, {"store_id": "b"}, {**short, "store_id": "n", "demand_forecast": -4}).write.parquet(source)
-    _run(spark, source, output, state, watermark=watermark)
-    # The same day again: one repeated key, one new row.
-    facts({**short, "store_id": "a"}, {**short, "store_id": "c"}).write.mode("append").parquet(source)
-    _run(spark, source, output, state, watermark=watermark)
-    _run(spark, source, output, state, watermark=watermark)
-    found = sorted((r.store_id, r.recommended_order_qty) for r in reorder_stream.read_orders(spark, output).collect())
-    assert found == [("a", 45), ("c", 45)]
-
-
-def test_later_delivery_withdraws_an_order(spark, facts, tmp_path):
-    source, output, state = (str(tmp_path / d) for d in ("in", "out", "state"))
-    short = {"inventory_level": 10, "demand_forecast": 50}
-    facts({**short, "store_id": "a"}, {**short, "store_id": "b"}).write.parquet(source)
-    _run(spark, source, output, state)
-    facts({"store_id": "a", "inventory_level": 900, "demand_forecast": 50}).write.mode("append").parquet(source)
-    _run(spark, source, output, state)
-    _run(spark, source, output, state)
-    assert [r.store_id for r in reorder_stream.read_orders(spark, output).collect()] == ["b"]
-
-
 def test_values_of_one_row_stay_together(facts):
     rows = facts({"inventory_level": 5, "demand_forecast": 90}, {"inventory_level": 8, "demand_forecast": 20})
     row = R.with_latest_stock(rows).first()
