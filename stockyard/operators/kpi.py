@@ -108,6 +108,59 @@ def kpi_summary(df):
     )
 
 
+# --- every slice in one pass ------------------------------------------------
+
+SLICES = [("store_id",), ("category",), ("product_id",), ("region",)]
+
+
+def _part_sums():
+    """Exact sums that every measure of a slice follows from; they add up over groups.
+    A count of risk tiers takes rows with a positive forecast."""
+    valid = F.col(C.FORECAST) > 0
+    tiers = {f"_tier{i}": F.count_if(valid & (F.col(C.RISK) == tier)) for i, tier in enumerate(P.RISK_TIERS)}
+    return {
+        "_rows": M.rows(), "_sold": F.sum(C.SOLD), "_sold_rows": F.count(C.SOLD), "_ordered": F.sum(C.ORDERED),
+        "_level": F.sum(C.LEVEL), "_level_rows": F.count(C.LEVEL), "_forecast": F.sum(M.hundredths(C.FORECAST)),
+        "_forecast_rows": F.count(C.FORECAST), "_valid": F.count_if(valid), **tiers,
+    }
+
+
+def cube(df: DataFrame, slices=SLICES):
+    """Performance and risk shares of every slice, from one scan of the fact.
+
+    ``slices`` are lists of columns; () is the whole network. The rows are first reduced to
+    exact sums of the finest groups that occur, before the shuffle; GROUPING SETS then add
+    these sums up, not the rows. ``slice`` names the columns, which are null where a slice does
+    not have them. The values are those of ``performance`` and ``risk_by`` to the last bit; a
+    group without a positive forecast, which ``risk_by`` leaves out, has no shares.
+    """
+    slices = [tuple(s) for s in slices]
+    keys = list(dict.fromkeys(c for s in slices for c in s))
+    sums = _part_sums()
+    finest = with_risk(df).groupBy(*keys).agg(*[total.alias(name) for name, total in sums.items()])
+    sets = finest.groupingSets([list(s) for s in slices], *keys).agg(
+        F.grouping_id().alias("_set"), *[F.sum(name).alias(name) for name in sums]
+    )
+    # the id has a 0 where a slice has the column
+    number = {s: sum(2 ** (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in s) for s in slices}
+    names = F.create_map(*[F.lit(x) for s in slices for x in (number[s], " x ".join(s) or "network")])
+
+    def mean(total, rows, unit=1):
+        whole = F.col(total).cast("double")
+        return F.try_divide(whole if unit == 1 else whole / unit, F.col(rows))
+
+    stock = mean("_level", "_level_rows")
+    shares = [name for name in SEGMENT_RISK if name != "valid_observations"]
+    return sets.select(
+        names[F.col("_set").cast("int")].alias("slice"), *keys,
+        F.col("_sold").alias("total_units_sold"), F.col("_ordered").alias("total_units_ordered"),
+        stock.alias("avg_inventory"), mean("_forecast", "_forecast_rows", 100).alias("avg_demand_forecast"),
+        F.try_divide(mean("_sold", "_sold_rows"), stock).alias("inventory_turnover_proxy"),
+        F.col("_valid").alias("valid_observations"),
+        *[F.try_divide(F.lit(100.0) * F.col(f"_tier{i}"), F.col("_valid")).alias(c) for i, c in enumerate(shares)],
+    ).orderBy("slice", F.desc("total_units_sold"), *keys)
+
+
 # --- risk -------------------------------------------------------------------
 
 

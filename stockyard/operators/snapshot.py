@@ -32,6 +32,24 @@ def reference_date(df: DataFrame, as_of=None, shape=lambda day: day):
     return shape(F.lit(as_of))
 
 
+def previous_date(df: DataFrame, as_of=None, shape=lambda day: day):
+    """``shape`` of the last date before the reference date that the fact holds.
+
+    With stored periods it is looked for in the reference date's period, and only if
+    that holds none in the newest period before; all others are pruned.
+    """
+    before = df.filter(F.col("date") < reference_date(df, as_of))
+    stored = [(column, unit) for column, unit in S.GRAINS.items() if column in df.columns]
+    if not stored:
+        return before.agg(shape(F.max("date"))).scalar()
+    column, unit = stored[0]
+    period = reference_date(df, as_of, lambda day: F.trunc(day, unit))
+    older = df.filter(F.col(column) < period)
+    older = older.filter(F.col(column) == older.agg(F.max(column)).scalar())
+    found = [rows.agg(shape(F.max("date"))).scalar() for rows in (before.filter(F.col(column) == period), older)]
+    return F.coalesce(*found)
+
+
 def _compare(df, as_of, op, shift=lambda day: day):
     """``op(date, reference)``, with the same bound on the partition column if stored."""
     rows = df.filter(op(F.col("date"), reference_date(df, as_of, shift)))

@@ -290,6 +290,76 @@ def trend(day="(SELECT MAX(date) FROM fact)", days=90, lead="1", z="1.65"):
         demand_forecast AS given_demand_forecast FROM ({latest_stats(day, days)}))"""
 
 
+def reorder_history():
+    """Trailing statistics of every row by a frame over dates."""
+    squares = "SUM(CAST(units_sold AS BIGINT) * units_sold) OVER w"
+    deviation = (
+        f"SQRT(CAST(COUNT(units_sold) OVER w * {squares} - SUM(units_sold) OVER w * SUM(units_sold) OVER w AS DOUBLE) "
+        "/ (CAST(COUNT(units_sold) OVER w AS DOUBLE) * CAST(COUNT(units_sold) OVER w AS DOUBLE)))"
+    )
+    return f"""
+      SELECT *, CASE WHEN current_stock <= 0 THEN 'Out of Stock'
+        WHEN current_stock < reorder_point_trend_based THEN 'Below Reorder Point' ELSE 'Adequate Stock' END AS stock_status
+      FROM (SELECT *, lead_time_demand + safety_stock AS reorder_point_trend_based FROM (
+        SELECT *, avg_daily_sales_90d * 1::DOUBLE AS lead_time_demand,
+          1.65::DOUBLE * COALESCE(stddev_daily_sales_90d, 0) * SQRT(1::DOUBLE) AS safety_stock
+        FROM (SELECT {KEY}, inventory_level AS current_stock, demand_forecast AS given_demand_forecast,
+            CAST(SUM(units_sold) OVER w AS DOUBLE) / COUNT(units_sold) OVER w AS avg_daily_sales_90d,
+            {deviation} AS stddev_daily_sales_90d, COUNT(*) OVER w AS days_observed
+          FROM fact WINDOW w AS (PARTITION BY store_id, product_id ORDER BY date
+            RANGE BETWEEN INTERVAL 89 DAY PRECEDING AND CURRENT ROW))))"""
+
+
+def order_changes(later="(SELECT MAX(date) FROM fact)", earlier=None, all_rows=False):
+    earlier = earlier or f"(SELECT MAX(date) FROM fact WHERE date < {later})"
+
+    def orders(day):
+        return f"(SELECT *, {GATED} AS qty FROM fact WHERE date = {day} AND inventory_level < demand_forecast)"
+
+    change = "CASE WHEN b.qty IS NULL THEN 'New' WHEN a.qty IS NULL THEN 'Withdrawn' WHEN a.qty <> b.qty THEN 'Changed' ELSE 'Unchanged' END"
+    latest = ", ".join(
+        f"CASE WHEN a.qty IS NULL THEN b.{c} ELSE a.{c} END AS {c}" for c in ("store_id", "product_id", "category", "region")
+    )
+    return f"""
+      SELECT * FROM (SELECT {latest}, {change} AS change, b.inventory_level AS inventory_before,
+        a.inventory_level AS inventory_now, b.qty AS order_qty_before, a.qty AS order_qty_now,
+        COALESCE(a.qty, 0) - COALESCE(b.qty, 0) AS order_qty_change
+      FROM {orders(later)} a FULL JOIN {orders(earlier)} b
+        ON a.store_id IS NOT DISTINCT FROM b.store_id AND a.product_id IS NOT DISTINCT FROM b.product_id)
+      WHERE {'TRUE' if all_rows else "change <> 'Unchanged'"}"""
+
+
+CHANGE_RANK = "CASE change WHEN 'New' THEN 1 WHEN 'Changed' THEN 2 WHEN 'Unchanged' THEN 3 ELSE 4 END"
+CHANGE_ORDER = f"{CHANGE_RANK}, ABS(order_qty_change) DESC, store_id, product_id"
+
+
+def cube(slices):
+    """One grouping for each slice."""
+    keys = list(dict.fromkeys(c for s in slices for c in s))
+    valid = "COUNT(*) FILTER (WHERE demand_forecast > 0)"
+    shares = ", ".join(
+        f"CAST(100 AS DOUBLE) * COUNT(*) FILTER (WHERE demand_forecast > 0 AND {t}) / NULLIF({valid}, 0) AS {c}"
+        for t, c in zip(IS_TIER, ("understocked_pct", "balanced_pct", "high_inventory_pct", "excess_inventory_pct"))
+    )
+    return " UNION ALL ".join(
+        f"SELECT '{' x '.join(s) or 'network'}' AS slice, "
+        + "".join(f"{c if c in s else 'CAST(NULL AS VARCHAR)'} AS {c}, " for c in keys)
+        + f"{PERF}, {valid} AS valid_observations, {shares} FROM fact" + (f" GROUP BY {', '.join(s)}" if s else "")
+        for s in slices
+    )
+
+
+def dated(by="store_id, product_id"):
+    return f"SELECT *, LAG(date) OVER (PARTITION BY {by} ORDER BY date) AS before FROM (SELECT DISTINCT {by}, date FROM fact)"
+
+
+def date_gaps(by="store_id, product_id"):
+    return (
+        f"SELECT {by}, CAST(before + 1 AS DATE) AS gap_start, CAST(date - 1 AS DATE) AS gap_end, "
+        f"CAST(date - before - 1 AS INT) AS missing_days FROM ({dated(by)}) WHERE date - before > 1"
+    )
+
+
 LOOKUP = {
     "categories": ("category", "category_id"), "regions": ("region", "region_id"),
     "weather_conditions": ("weather_condition", "weather_id"), "seasons": ("seasonality", "season_id"),
@@ -665,6 +735,22 @@ BODIES = {
     "trend_reorder_point_as_of": trend("DATE '1995-06-15'", 365, "2", "1.28"),
     "safety_stock": f"SELECT store_id, product_id, avg_daily_sales * 1::DOUBLE AS lead_time_demand, 1.65::DOUBLE * COALESCE(stddev_daily_sales, 0) * SQRT(1::DOUBLE) AS safety_stock FROM ({sales_stats()})",
     "daily_reorder_check": DAILY,
+    "reorder_point_history": reorder_history(),
+    "reorder_changes": order_changes(),
+    "reorder_changes_between": order_changes("DATE '1996-03-02'", "DATE '1995-11-30'"),
+    "reorder_change_totals": "SELECT change, COUNT(*) AS combinations, CAST(SUM(order_qty_change) AS BIGINT) AS units_change "
+    f"FROM ({order_changes("DATE '1996-03-02'", all_rows=True)}) GROUP BY change",
+    # every slice, calendar
+    "kpi_cube": cube([["store_id"], ["category"], ["product_id"], ["region"]]),
+    "kpi_cube_crossed": cube([["store_id", "category"], ["region", "product_id"], ["region"], []]),
+    "date_gaps": date_gaps(),
+    "date_gaps_by_store": date_gaps("store_id"),
+    "date_islands": "SELECT store_id, product_id, MIN(date) AS island_start, MAX(date) AS island_end, COUNT(*) AS days FROM ("
+    "SELECT store_id, product_id, date, SUM(CASE WHEN date - before = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY store_id, product_id ORDER BY date) AS run "
+    f"FROM ({dated()})) GROUP BY store_id, product_id, run",
+    "date_coverage": "SELECT store_id, product_id, MIN(date) AS first_date, MAX(date) AS last_date, COUNT(*) AS days_present, "
+    "MAX(date) - MIN(date) + 1 - COUNT(*) AS days_missing, CAST(COALESCE(MAX(date - before - 1), 0) AS INT) AS longest_gap "
+    f"FROM ({dated()}) GROUP BY store_id, product_id",
     # sorts, limits, reshaping
     "order_by_metric": grouped("region", f"{total('units_sold')} AS total_units_sold, {avg('inventory_level')} AS avg_inventory"),
     "order_by_domain": f"SELECT {tier()} AS inventory_risk, COUNT(*) AS observations FROM fact GROUP BY 1",
@@ -723,6 +809,11 @@ ORDERS = {
     "quality_summary": "position", "quality_summary_clean": "position", "kpi_summary": "position",
     "negative_forecast_preview": f"{KEY}, demand_forecast, inventory_level, units_ordered",
     "peek_dates": "date", "preview": KEY,
+    "reorder_changes": CHANGE_ORDER, "reorder_changes_between": CHANGE_ORDER, "reorder_change_totals": CHANGE_RANK,
+    "kpi_cube": "slice, total_units_sold DESC, store_id NULLS FIRST, category NULLS FIRST, product_id NULLS FIRST, region NULLS FIRST",
+    "kpi_cube_crossed": "slice, total_units_sold DESC, store_id NULLS FIRST, category NULLS FIRST, region NULLS FIRST, product_id NULLS FIRST",
+    "date_gaps": "missing_days DESC, store_id, product_id, gap_start", "date_gaps_by_store": "missing_days DESC, store_id, gap_start",
+    "date_islands": "days DESC, store_id, product_id, island_start", "date_coverage": "days_missing DESC, store_id, product_id",
     "store_performance": "total_units_sold DESC, store_id", "product_performance": "total_units_sold DESC, product_id",
     "category_performance": "total_units_sold DESC, category", "store_efficiency_daily": "store_id",
     "store_order_efficiency": "order_to_sales_ratio DESC, store_id",

@@ -7,7 +7,7 @@ from stockyard import schema as S
 from stockyard.functions import classify as C
 from stockyard.functions import measures as M
 from stockyard.functions.present import report_view
-from stockyard.operators import cleaning, kpi, movement, quality, replenishment, reshape, star
+from stockyard.operators import cleaning, gaps, kpi, movement, quality, replenishment, reshape, star
 from stockyard.operators import ordering, snapshot
 from stockyard.plans import jobs
 from stockyard.session import work_path
@@ -719,6 +719,59 @@ def trend_reorder_report(inv):
     return report_view(replenishment.trend_reorder_point(inv.fact))
 
 
+@query()
+def reorder_point_history(inv):
+    return replenishment.reorder_point_history(inv.fact)
+
+
+@query()
+def reorder_changes(inv):
+    return replenishment.reorder_changes(inv.fact)
+
+
+@query()
+def reorder_changes_between(inv):
+    return replenishment.reorder_changes(inv.fact, as_of="1996-03-02", since="1995-11-30")
+
+
+@query()
+def reorder_change_totals(inv):
+    return replenishment.reorder_change_totals(inv.fact, as_of="1996-03-02")
+
+
+# --- every slice, calendar --------------------------------------------------
+
+
+@query()
+def kpi_cube(inv):
+    return kpi.cube(inv.fact)
+
+
+@query()
+def kpi_cube_crossed(inv):
+    return kpi.cube(inv.fact, [("store_id", "category"), ("region", "product_id"), ("region",), ()])
+
+
+@query()
+def date_gaps(inv):
+    return gaps.date_gaps(inv.fact)
+
+
+@query()
+def date_gaps_by_store(inv):
+    return gaps.date_gaps(inv.fact, ["store_id"])
+
+
+@query()
+def date_islands(inv):
+    return gaps.date_islands(inv.fact)
+
+
+@query()
+def date_coverage(inv):
+    return gaps.date_coverage(inv.fact)
+
+
 # --- sorts, limits, reshaping -----------------------------------------------
 
 
