@@ -88,25 +88,38 @@ def column_quantiles(df: DataFrame, columns, probabilities, accuracy=1000):
 
     One row per column that holds values: ``name`` and ``q0, q1, ..`` in the order of
     ``probabilities``. The first scan brackets each quantile by a
-    mergeable sketch, whose error in rank is ``n / accuracy`` at most. The second
-    counts the values inside brackets one by one, and between brackets only how many
-    there are, the least and the largest. So what is grouped follows the brackets, a
-    hot value is one row per task, and nothing is sorted as a whole or stored.
+    mergeable sketch, whose error in rank is ``n / accuracy`` at most; the second is that
+    of ``bracketed_quantiles``.
     """
-    probabilities, margin = [float(p) for p in probabilities], 2.0 / accuracy
-    ends = [min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-margin, margin)]
-    number = {c: F.col(c).cast("double") for c in columns}
+    ends = bracket_ends(probabilities, 2.0 / accuracy)
     # one row of a few numbers; as literals they keep the second scan in compiled code
     bounds = df.agg(
-        *[F.percentile_approx(v, ends, accuracy).alias(f"b{i}") for i, v in enumerate(number.values())]
+        *[F.percentile_approx(F.col(c).cast("double"), ends, accuracy).alias(f"b{i}") for i, c in enumerate(columns)]
     ).first()
-    cells = []
-    for i, value in enumerate(number.values()):
-        if bounds[f"b{i}"] is None:  # no values
+    known = [None if bounds[f"b{i}"] is None else [F.lit(x) for x in bounds[f"b{i}"]] for i in range(len(columns))]
+    return bracketed_quantiles(df, columns, probabilities, known)
+
+
+def bracket_ends(probabilities, margin):
+    """Ranks around each probability, two for each, in order."""
+    return [min(max(float(p) + side, 0.0), 1.0) for p in probabilities for side in (-margin, margin)]
+
+
+def bracketed_quantiles(df: DataFrame, columns, probabilities, bounds):
+    """Exact quantiles of columns for which brackets around each are known, in one scan.
+
+    ``bounds`` holds, for each column, the expressions of the two ends of each bracket (or
+    None for a column without values). Counts the values inside brackets one by one, and
+    between brackets only how many there are, the least and the largest. So what is grouped
+    follows the brackets, a hot value is one row per task, and nothing is sorted as a
+    whole or stored. A bracket that misses its quantile raises an error.
+    """
+    probabilities, cells = [float(p) for p in probabilities], []
+    for i, (c, ends) in enumerate(zip(columns, bounds)):
+        if ends is None:
             continue
-        bracket = [
-            (F.lit(bounds[f"b{i}"][2 * p]), F.lit(bounds[f"b{i}"][2 * p + 1])) for p in range(len(probabilities))
-        ]
+        value = F.col(c).cast("double")
+        bracket = [(ends[2 * p], ends[2 * p + 1]) for p in range(len(probabilities))]
         inside = reduce(or_, [value.between(low, high) for low, high in bracket])
         gap = reduce(add, [(value > high).cast("int") for _, high in bracket])
         cells.append(F.struct(
@@ -128,12 +141,16 @@ def column_quantiles(df: DataFrame, columns, probabilities, accuracy=1000):
         F.sum("n").over(within).alias("_size"),
     )
     picks = []
+    missed = F.raise_error(F.lit("a bracket misses its quantile: the sketch is too coarse")).cast("double")
     for k, p in enumerate(probabilities):
         position = (F.col("_size") - 1).cast("double") * F.lit(p)
         for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
             covers = (F.col("_end") - F.col("n") <= rank) & (rank < F.col("_end"))
             # a rank in a gap is its first or its last: the bracket misses by less than one
-            value = F.when(rank == F.col("_end") - F.col("n"), F.col("low")).otherwise(F.col("high"))
+            value = (
+                F.when(rank == F.col("_end") - F.col("n"), F.col("low"))
+                .when((rank == F.col("_end") - 1) | (F.col("low") == F.col("high")), F.col("high")).otherwise(missed)
+            )
             picks.append(F.max(F.when(covers, value)).alias(f"_{side}{k}"))
     picked = ranked.groupBy("i", "_size").agg(*picks)
     result = [F.array(*[F.lit(c) for c in columns])[F.col("i")].alias("name")]

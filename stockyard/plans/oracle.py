@@ -740,6 +740,17 @@ BODIES = {
     "reorder_changes_between": order_changes("DATE '1996-03-02'", "DATE '1995-11-30'"),
     "reorder_change_totals": "SELECT change, COUNT(*) AS combinations, CAST(SUM(order_qty_change) AS BIGINT) AS units_change "
     f"FROM ({order_changes("DATE '1996-03-02'", all_rows=True)}) GROUP BY change",
+    # stored summaries
+    "describe_from_sketches": describe(NUMBERS, "fact"),
+    "describe_period_from_sketches": describe(NUMBERS, "(SELECT * FROM fact WHERE date >= DATE '1994-03-01' AND date < DATE '1995-11-01')"),
+    "distinct_from_sketches": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_values, TRUE AS within_error FROM fact" for c in TEXTS
+    ),
+    "frequent_values": " UNION ALL ".join(
+        f"(SELECT '{c}' AS column_name, {c} AS column_value, COUNT(*) AS observations, "
+        f"COUNT(*) > 3.5 * (SELECT COUNT(*) FROM fact) / 8192 AS certain FROM fact GROUP BY {c} ORDER BY observations DESC, {c} LIMIT 20)"
+        for c in ("product_id", "category", "store_id", "weather_condition")
+    ),
     # every slice, calendar
     "kpi_cube": cube([["store_id"], ["category"], ["product_id"], ["region"]]),
     "kpi_cube_crossed": cube([["store_id", "category"], ["region", "product_id"], ["region"], []]),
@@ -809,6 +820,8 @@ ORDERS = {
     "quality_summary": "position", "quality_summary_clean": "position", "kpi_summary": "position",
     "negative_forecast_preview": f"{KEY}, demand_forecast, inventory_level, units_ordered",
     "peek_dates": "date", "preview": KEY,
+    "describe_from_sketches": "column_name", "describe_period_from_sketches": "column_name",
+    "frequent_values": "column_name, observations DESC, column_value",
     "reorder_changes": CHANGE_ORDER, "reorder_changes_between": CHANGE_ORDER, "reorder_change_totals": CHANGE_RANK,
     "kpi_cube": "slice, total_units_sold DESC, store_id NULLS FIRST, category NULLS FIRST, product_id NULLS FIRST, region NULLS FIRST",
     "kpi_cube_crossed": "slice, total_units_sold DESC, store_id NULLS FIRST, category NULLS FIRST, region NULLS FIRST, product_id NULLS FIRST",

@@ -8,7 +8,7 @@ from stockyard.functions import classify as C
 from stockyard.functions import measures as M
 from stockyard.functions.present import report_view
 from stockyard.operators import cleaning, gaps, kpi, movement, quality, replenishment, reshape, star
-from stockyard.operators import ordering, snapshot
+from stockyard.operators import ordering, sketches, snapshot
 from stockyard.plans import jobs
 from stockyard.session import work_path
 from stockyard.sources import files, tables
@@ -772,6 +772,43 @@ def date_coverage(inv):
     return gaps.date_coverage(inv.fact)
 
 
+# --- stored summaries -------------------------------------------------------
+
+
+def _summaries(inv):
+    spark = inv.raw.sparkSession
+    return sketches.read(spark, sketches.store(inv.fact, work_path(spark, "summaries")))
+
+
+@query()
+def describe_from_sketches(inv):
+    return _round9(sketches.describe(inv.fact, _summaries(inv)), "std", "p25", "p50", "p75")
+
+
+@query()
+def describe_period_from_sketches(inv):
+    span = ("1994-03-01", "1995-10-01")
+    rows = sketches.of_periods(inv.fact, *span)
+    return _round9(sketches.describe(rows, sketches.within(_summaries(inv), *span)), "std", "p25", "p50", "p75")
+
+
+@query()
+def distinct_from_sketches(inv):
+    # The estimates beside the exact counts, and whether they are as near as four standard errors.
+    exact = quality.to_long(quality.cardinality(inv.fact, {c: c for c in S.STRING_COLUMNS}), S.STRING_COLUMNS, "column_name", "distinct_values")
+    near = F.abs(F.col("distinct_estimate") - F.col("distinct_values")) <= F.ceil(
+        F.lit(4 * sketches.HLL_ERROR) * F.col("distinct_values")
+    )
+    return sketches.distinct_estimates(_summaries(inv)).join(exact, "column_name").select(
+        "column_name", "distinct_values", near.alias("within_error")
+    )
+
+
+@query()
+def frequent_values(inv):
+    return sketches.frequent_values(inv.fact, ["product_id", "category", "store_id", "weather_condition"])
+
+
 # --- sorts, limits, reshaping -----------------------------------------------
 
 
