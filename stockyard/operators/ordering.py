@@ -105,11 +105,11 @@ def bracket_ends(probabilities, margin):
     return [min(max(float(p) + side, 0.0), 1.0) for p in probabilities for side in (-margin, margin)]
 
 
-def bracketed_quantiles(df: DataFrame, columns, probabilities, bounds):
+def bracketed_quantiles(df: DataFrame, columns, probabilities, bounds, extra=()):
     """Exact quantiles of columns for which brackets around each are known, in one scan.
 
     ``bounds`` holds, for each column, the expressions of the two ends of each bracket (or
-    None for a column without values). Counts the values inside brackets one by one, and
+    None for a column without values), which may refer to ``extra`` columns. Counts the values inside brackets one by one, and
     between brackets only how many there are, the least and the largest. So what is grouped
     follows the brackets, a hot value is one row per task, and nothing is sorted as a
     whole or stored. A bracket that misses its quantile raises an error.
@@ -118,22 +118,22 @@ def bracketed_quantiles(df: DataFrame, columns, probabilities, bounds):
     for i, (c, ends) in enumerate(zip(columns, bounds)):
         if ends is None:
             continue
-        value = F.col(c).cast("double")
+        value = F.col("x")  # cast once
         bracket = [(ends[2 * p], ends[2 * p + 1]) for p in range(len(probabilities))]
         inside = reduce(or_, [value.between(low, high) for low, high in bracket])
         gap = reduce(add, [(value > high).cast("int") for _, high in bracket])
-        cells.append(F.struct(
-            F.lit(i).alias("i"), F.when(inside, -1).otherwise(gap).alias("gap"),
-            F.when(inside, value).alias("value"), value.alias("x"),
-        ))
+        cells.append(
+            df.select(F.col(c).cast("double").alias("x"), *extra).filter(F.col("x").isNotNull())
+            .select("x", F.when(inside, -1).otherwise(gap).alias("gap"), F.when(inside, value).alias("value"))
+            .groupBy("gap", "value")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+            .select(F.lit(i).alias("i"), "n", "low", "high")
+        )
     if not cells:
         kinds = ", ".join(["name string", *[f"q{k} double" for k in range(len(probabilities))]])
         return df.sparkSession.createDataFrame([], kinds)
-    counts = (
-        df.select(F.inline(F.array(*cells))).filter(F.col("x").isNotNull())
-        .groupBy("i", "gap", "value")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-    )
+    # a column is read for itself, so all in all the columns are read once
+    counts = reduce(DataFrame.unionAll, cells)
     within = W.partitionBy("i")  # the values near a few quantiles
     ranked = counts.select(
         "i", "n", "low", "high",

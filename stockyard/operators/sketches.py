@@ -129,7 +129,7 @@ def quantiles(df: DataFrame, summaries: DataFrame, columns, probabilities, margi
     bounds = [
         [F.col("_brackets")[i][e] for e in range(2 * len(probabilities))] for i in range(len(columns))
     ]
-    return bracketed_quantiles(rows, columns, probabilities, bounds)
+    return bracketed_quantiles(rows, columns, probabilities, bounds, ["_brackets"])
 
 
 def moments(summaries: DataFrame, schema, columns):
