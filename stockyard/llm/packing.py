@@ -11,12 +11,14 @@ shards grow in number, not in size, and each leaves one sequence at most that is
 nearly full.
 """
 
+import json
 import os
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -32,28 +34,49 @@ KNOWN_WORDS = 1_000_000  # encoded words that a worker remembers, about 200 MB
 SLICE = 4 << 20          # bytes of text that are encoded together
 
 
+# A word of ASCII and Latin-1 letters, and marks behind it.
+WORD_AND_MARKS = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,!?;:]*)$"
+
+
+def parts_words(definition):
+    """Whether a tokenizer lowers case and takes a run of letters and the run of other marks
+    behind it each for itself, by its definition."""
+    told = json.loads(definition)
+    steps = lambda x, name: x.get(name, [x]) if x else []
+    lowers = any(n["type"] == "Lowercase" for n in steps(told.get("normalizer"), "normalizers"))
+    splits = [
+        p["pattern"].get("Regex", "") for p in steps(told.get("pre_tokenizer"), "pretokenizers")
+        if p["type"] == "Split" and p.get("invert") and p.get("behavior") == "Removed"
+    ]
+    alternatives = [set(x.split("|")) for x in splits]
+    return lowers and any({r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= x for x in alternatives)
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins what white space parts.
 
     Such a tokenizer gives a text the ids of its words in turn, so each distinct word
     is encoded once while it is remembered: the word's number leads to its ids in one
-    flat array. With ``special_as_text`` a special token that a text spells out is
+    flat array. If the tokenizer also parts letters from marks and lowers case, a word of
+    letters and marks at its end is the lowered letters, then the marks, and only these are
+    encoded and remembered. With ``special_as_text`` a special token that a text spells out is
     encoded like other text; without, it gets its one id, as in the library's plain call.
     """
 
     def __init__(self, definition, special_as_text=True):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = special_as_text
+        self.parts = parts_words(definition)
         self._forget()
 
     def _forget(self):
         self.known, self.flat, self.ends = {}, np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _numbers(self, words):
-        new = [w for w in words if w not in self.known]
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
         if new and len(self.known) + len(new) > KNOWN_WORDS:
             self._forget()
-            new = words
+            new = list(dict.fromkeys(words))
         lists = []
         for start in range(0, len(new), 10_000):
             part = new[start : start + 10_000]
@@ -65,16 +88,35 @@ class WordEncoder:
             self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(lengths))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    def _ids(self, words):
+        """(ids of the distinct words, one after another; first id of each and the end)."""
+        if not self.parts:
+            number = self._numbers(words.to_pylist())
+            return _spread(self.flat, self.ends[number], self.ends[number + 1])
+        split = pc.extract_regex(words, WORD_AND_MARKS)
+        whole = pc.is_null(split)
+        stems = pc.if_else(whole, words, pc.utf8_lower(pc.struct_field(split, "word"))).dictionary_encode()
+        tails = pc.if_else(whole, "", pc.struct_field(split, "marks")).dictionary_encode()
+        number = self._numbers(stems.dictionary.to_pylist() + tails.dictionary.to_pylist())
+        stem, tail = (x.indices.to_numpy(zero_copy_only=False) for x in (stems, tails))
+        number = np.stack([number[stem], number[len(stems.dictionary) + tail]], 1).reshape(-1)
+        flat, ends = _spread(self.flat, self.ends[number], self.ends[number + 1])
+        return flat, ends[::2]
+
     def encode(self, texts):
         """(ids of all texts of an Arrow array, one after another; first id of every
         text and the end). A null text is empty."""
         codes, offsets, words = split_words(texts)
-        number = self._numbers(words.to_pylist())[codes]
-        begin = self.ends[number]
-        spread = self.ends[number + 1] - begin
-        ends = np.concatenate([[0], np.cumsum(spread)])
-        at = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], spread)
-        return self.flat[at], ends[offsets]
+        flat, ends = self._ids(words)
+        ids, ends = _spread(flat, ends[codes], ends[codes + 1])
+        return ids, ends[offsets]
+
+
+def _spread(flat, begin, end):
+    """(the stretches of ``flat`` one after another; first place of each and the end)."""
+    size = end - begin
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)], ends
 
 
 _encoders = {}  # of this process, by definition and option

@@ -126,3 +126,25 @@ def test_queries_give_special_tokens_the_ids_of_the_plain_call(spark, tmp_path):
         assert sorted((r["doc_id"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in out.collect()) == [
             (i, len(e), zlib.crc32(e.tobytes()), len(e)) for i, e in enumerate(expected)
         ]
+
+
+def test_words_split_into_letters_and_marks_get_the_library_ids():
+    import random
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    plain, encoder = Tokenizer.from_str(definition), packing.WordEncoder(definition, special_as_text=False)
+    assert encoder.parts
+    draw = random.Random(5)
+    letters = "abzAZéÉßÿÀÖØöø×÷.,!?;:'’-<|>09 \n\t日Ÿİſ́…"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(30))) for _ in range(3000)]
+    texts += ["<|endoftext|>a. B!", "don't. it's! I'LL,", "Hello.World a.b", "É!!É", "a.", ".", "", None]
+    ids, offsets = encoder.encode(pa.array(texts, pa.string()))
+    for text, a, b in zip(texts, offsets, offsets[1:]):
+        assert plain.encode(text or "", add_special_tokens=False).ids == ids[a:b].tolist(), text
+
+
+def test_a_tokenizer_that_keeps_case_or_marks_gets_whole_words():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        assert not packing.parts_words(file.read())
+    assert not packing.parts_words('{"normalizer": null, "pre_tokenizer": null}')
