@@ -25,7 +25,6 @@ size, which let a row too many pass but never lose one.
 """
 
 import re
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -242,8 +241,10 @@ def _perhaps(rows, column, bitmap, found=True):
     bit = F.xxhash64(F.col(column))
     word = F.pmod(F.shiftright(bit, 6), F.lit(MAP_WORDS)).cast("int")
     here = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    joined = rows.withColumn("_at", word).join(F.broadcast(bitmap), F.col("_at") == F.col("_word"), "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(here) != 0, F.lit(False))
+    at, there, bits = (free_name(rows.columns, c) for c in ("_at", "_word", "_bits"))
+    bitmap = bitmap.select(F.col("_word").alias(there), F.col("_bits").alias(bits))
+    joined = rows.withColumn(at, word).join(F.broadcast(bitmap), F.col(at) == F.col(there), "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(here) != 0, F.lit(False))
     return joined.where(hit if found else ~hit).select(*rows.columns)
 
 
@@ -409,26 +410,46 @@ def runs(text, spans, min_run=MIN_RUN):
     return [(a, b) for a, b in merged if len(WORD.findall(text, a, b)) >= min_run]
 
 
-def _cut(text, found, min_run):
-    """(text left, runs, ids of the documents that keep what was cut)."""
-    words = [w.span() for w in WORD.finditer(text)] if any(s["end"] is None for s in found) else []
-    spans = [
-        (words[s["start"]][0], words[s["start"] + SEED - 1][1]) if s["end"] is None else (s["start"], s["end"])
-        for s in found
-    ]
+def word_spans(text):
+    """First and last character places (the last exclusive) of the words of a text."""
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    word = np.concatenate([[False], ~((code == 32) | ((code >= 9) & (code <= 13))), [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[::2], edge[1::2]
+
+
+def joined_windows(starts, width=SEED):
+    """(first word, last word) of the runs that windows beginning at these words form."""
+    starts = np.unique(starts)
+    fresh = np.flatnonzero(np.diff(starts, prepend=-width - 2) > width)
+    return starts[fresh], starts[np.append(fresh[1:], len(starts)) - 1] + width - 1
+
+
+def _cut(text, start, end, first, min_run):
+    """(text left, runs, ids of the documents that keep what was cut) of a text with marks:
+    characters ``start`` to ``end``, or the window that begins at word ``start`` if ``end``
+    is -1, which document ``first`` keeps."""
+    window = end < 0
+    spans = list(zip(start[~window].tolist(), end[~window].tolist()))
+    if window.any():
+        begins, ends = word_spans(text)
+        one, last = joined_windows(start[window])  # windows that hang together are one span
+        spans += zip(begins[one].tolist(), ends[last].tolist())
+        start, end = start.copy(), end.copy()
+        end[window] = ends[start[window] + SEED - 1]
+        start[window] = begins[start[window]]
     gone = runs(text, spans, min_run)
-    begins = [a for a, _ in gone]
+    if not gone:
+        return text, gone, []
     parts, at = [], 0
-    for start, end in gone:
-        parts.append(text[at:start])
-        at = end
+    for a, b in gone:
+        parts.append(text[at:a])
+        at = b
     parts.append(text[at:])
-    kept_by = set()
-    for s, (start, end) in zip(found, spans):
-        run = bisect_right(begins, start) - 1
-        if s["first"] != LAST and run >= 0 and end <= gone[run][1]:
-            kept_by.add(s["first"])
-    return "".join(parts), gone, sorted(kept_by)
+    begins, ends = np.array(gone).T
+    run = np.searchsorted(begins, start, "right") - 1
+    kept_by = np.unique(first[(run >= 0) & (end <= ends[run]) & (first != LAST)])
+    return "".join(parts), gone, kept_by.tolist()
 
 
 def cut(docs, min_run=MIN_RUN, text_col="text"):
@@ -465,10 +486,17 @@ def cut(docs, min_run=MIN_RUN, text_col="text"):
     def apply(batches):
         for part in text_slices(batches, text_col):
             texts, made = [], []
-            for text, listed_spans in zip(part.column(text_col).to_pylist(), part.column(listed).to_pylist()):
-                if text and listed_spans:
-                    left, gone, kept_by = _cut(text, listed_spans, min_run)
-                    words = sum(len(WORD.findall(text, a, b)) for a, b in gone)
+            marks = part.column(listed)
+            stops = np.cumsum(pc.fill_null(pc.list_value_length(marks), 0).to_numpy())
+            flat = marks.flatten()
+            start, end, first = (
+                pc.fill_null(pc.struct_field(flat, c), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                for c in ("start", "end", "first")
+            )
+            for text, a, b in zip(part.column(text_col).to_pylist(), [0, *stops.tolist()], stops.tolist()):
+                if text and a < b:
+                    left, gone, kept_by = _cut(text, start[a:b], end[a:b], first[a:b], min_run)
+                    words = sum(len(WORD.findall(text, *run)) for run in gone)
                     texts.append(left)
                     made.append({"spans": [{"start": a, "end": b} for a, b in gone], "words": words, "kept_by": kept_by})
                 else:

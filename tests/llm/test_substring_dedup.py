@@ -187,3 +187,39 @@ def test_every_long_run_has_a_seed():
         assert all(of_first & set(h[a : a + D.SPREAD].tolist()) for a in range(376 - D.SPREAD + 1))
         second = h[402:][: 99]
         assert (h[7 : 7 + 99] == second).all()
+
+
+def test_columns_with_the_names_of_helpers_are_kept(spark):
+    passage = prose(3, 70)
+    table = docs(spark, (1, prose(1, 30) + "\n" + passage), (2, prose(2, 30) + "\n" + passage))
+    names = ("_at", "_word", "_bits", "_key", "_spans", "_cut", "h", "first")
+    named = table.withColumns({c: F.lit(5) for c in names})
+    out = {r.doc_id: r for r in D.without_repeats(named).collect()}
+    assert all(r[c] == 5 for r in out.values() for c in names)
+    assert len(out[2].text) < len(out[1].text)
+
+
+def test_cutting_joins_windows_as_plain_spans():
+    import re
+
+    import numpy as np
+
+    random = np.random.default_rng(4)
+    for _ in range(60):
+        words = [f"w{k}" for k in random.integers(0, 99, 120)]
+        text = "".join(w + " \n\t"[k] * int(n) for w, k, n in zip(words, random.integers(0, 3, 120), random.integers(1, 3, 120)))
+        places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        starts = random.choice(120 - D.SEED + 1, 12)
+        other = random.integers(0, len(text) - 40, 3)
+        start = np.concatenate([starts, other])
+        end = np.concatenate([np.full(12, -1), other + 40])
+        first = random.integers(1, 4, 15)
+        spans = [(places[s][0], places[s + D.SEED - 1][1]) for s in starts] + [(int(o), int(o) + 40) for o in other]
+        gone = D.runs(text, spans, 25)
+        left, found, kept_by = D._cut(text, start, end, first, 25)
+        assert found == gone
+        assert kept_by == sorted({int(f) for f, (a, b) in zip(first, spans) if any(x <= a and b <= y for x, y in gone)})
+        rest, at = "", 0
+        for a, b in gone:
+            rest, at = rest + text[at:a], b
+        assert left == rest + text[at:]
