@@ -250,11 +250,10 @@ def keep_one(docs, shingle=SHINGLE, max_bits=MAX_BITS):
     rows = with_fingerprint(docs.select("doc_id", "text", key), shingle)
     rows = materialize(rows, "simhash_documents")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
+    name, winner, owner = (free_name(docs.columns, c) for c in ("_key", "_winner", "_id"))
     winners = _components(rows.withColumn("_order", order), max_bits).select(
-        F.col("_first.id").alias("_id"), F.col("_first.key").alias("_key")
+        F.col("_first.id").alias(owner), F.col("_first.key").alias(winner)
     ).distinct()
-    name = free_name(docs.columns, "_key")
     keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
-    winners = winners.withColumnRenamed("_key", "_winner")
-    same = (F.col(name) == F.col("_winner")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    same = (F.col(name) == F.col(winner)) & F.col("doc_id").eqNullSafe(F.col(owner))
     return keyed.join(winners, same, "left_semi").dropDuplicates([name, "doc_id"]).select(*docs.columns)

@@ -107,3 +107,12 @@ def test_components_operator(spark):
     found = connected(frame).collect()
     assert len(found) == len(nodes)
     assert {r["node"]: r["root"] for r in found} == expected
+
+
+def test_columns_with_the_names_of_helpers_are_kept(spark):
+    table = docs(spark, (1, "a b c d"), (2, "a b c d"), (3, "quite another text here"))
+    for name in ("_key", "_winner", "_id", "_fp", "_order", "_root"):
+        named = table.withColumn(name, F.lit(7))
+        kept = S.keep_one(named)
+        assert kept.columns == named.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+        assert {r[name] for r in kept.collect()} == {7}
