@@ -213,6 +213,8 @@ def judge(docs):
 def keep(docs):
     """The rows of ``docs`` that ``judge`` keeps, with their columns."""
     whole = free_name(docs.columns, "_doc")
-    cuts = materialize(cutoffs(base(docs, others=["lang", "source"])), "rules_cutoffs")
-    rows = base(docs, others=[F.struct(*docs.columns).alias(whole), "lang", "source"])
-    return _judged(rows, cuts).where("kept").select(*[F.col(f"{whole}.`{c}`").alias(c) for c in docs.columns])
+    # written with its measures: a filter over the measuring expressions would hold a copy of
+    # them for every rate
+    measured = materialize(base(docs, others=[F.struct(*docs.columns).alias(whole), "lang", "source"]), "rules_measured")
+    rows = _judged(measured, materialize(cutoffs(measured), "rules_cutoffs")).where("kept")
+    return rows.select(*[F.col(f"{whole}.`{c}`").alias(c) for c in docs.columns])
