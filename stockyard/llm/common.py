@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SLICE_BYTES = 2 << 20
+WORD_BLOCK = 1 << 18  # characters of words whose features are made together, about 40 MB
 MASK64 = (1 << 64) - 1
 
 
@@ -131,6 +132,51 @@ def subword_features(words, bits, sizes=(3, 4, 5)):
     return np.concatenate(owners), (np.concatenate(hashes) >> shift).astype(np.int64)
 
 
+def subword_sums(words, bits, weights, sizes=(3, 4, 5), block=WORD_BLOCK):
+    """(sum of the weights of its features, number of features) of every word.
+
+    As by ``subword_features``, but some ``block`` characters at a time, so that memory does
+    not follow the text; a word longer than that is taken in stretches.
+    """
+    total, count = np.zeros(len(words)), np.zeros(len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    group = np.cumsum(lengths) // block
+    long = lengths > block
+    cuts = np.flatnonzero((np.diff(group) > 0) | long[1:] | long[:-1]) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]):
+        if start == end:
+            continue
+        if long[start]:
+            features = _stretches(words[start], bits, sizes, block)
+            for part in features:
+                total[start] += weights[part].sum()
+                count[start] += len(part)
+            continue
+        owner, feature = subword_features(words[start:end], bits, sizes)
+        total[start:end] = np.bincount(owner, weights=weights[feature], minlength=end - start)
+        count[start:end] = np.bincount(owner, minlength=end - start)
+    return total, count
+
+
+def _stretches(word, bits, sizes, block):
+    """The features of one long word, in parts."""
+    shift, text = np.uint64(64 - bits), f"<{word}>"
+    whole, base = np.zeros(1, np.uint64), 0x9E3779B97F4A7C15
+    for start in range(0, len(text), block):
+        part = np.frombuffer(text[start : start + block + max(sizes) - 1].encode("utf-32-le"), "<u4").astype(np.uint64)
+        size = min(block, len(text) - start)
+        place = powers(size) * np.uint64(pow(base, start, 1 << 64))
+        whole += (part[:size] * place).sum(dtype=np.uint64)
+        for n in sizes:
+            grams = min(size, len(part) - n + 1)
+            if grams > 0:
+                gram = np.zeros(grams, np.uint64)
+                for k in range(n):
+                    gram += part[k : k + grams] * factor_at(k)
+                yield (mix(gram + np.uint64(n << 40)) >> shift).astype(np.int64)
+    yield (mix(whole + np.uint64(7)) >> shift).astype(np.int64)
+
+
 def factor_at(k, base=0xD6E8FEB86659FD93):
     return np.uint64(pow(base, k + 1, 1 << 64))
 

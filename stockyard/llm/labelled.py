@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from stockyard.llm.common import sigmoid
 
+LONGEST = 32  # this part of a sample's characters may be in one text
+
 
 def held_out(id_column):
     """True where crc32 of the id as text, modulo 4, is 2; false for a null id."""
@@ -24,7 +26,7 @@ class Sample:
 
 def draw(docs, labels, label, rows=4000, chars=48_000_000, id_col="doc_id", text_col="text"):
     """At most ``rows`` labelled documents (half of each label, if there are as many),
-    and at most ``chars`` characters of whole texts.
+    and at most ``chars`` characters of whole texts, each of ``chars // LONGEST`` at most.
 
     Rows that ``held_out`` marks, null labels and null ids are left out; of repeated
     labels the largest counts, of repeated documents the smallest text. The sample is
@@ -47,6 +49,8 @@ def draw(docs, labels, label, rows=4000, chars=48_000_000, id_col="doc_id", text
         .groupBy("_id", "_label").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
     )
     running = Window.partitionBy("_label").orderBy(order, "_id").rowsBetween(Window.unboundedPreceding, 0)
+    # a single very long text is left out by itself, so that it doesn't end the sample
+    found = found.where(F.length("_text") <= chars // LONGEST)
     found = (
         found.withColumn("_chars", F.sum(F.length("_text")).over(running))
         .where(F.col("_chars") <= chars // 2).select("_id", "_label", "_text")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stockyard.llm.common import (
-    mix, segment_sums, ship_package, sigmoid, split_words, subword_features, text_slices, word_hashes,
+    mix, segment_sums, ship_package, sigmoid, split_words, subword_features, subword_sums, text_slices, word_hashes,
 )
 from stockyard.llm.labelled import calibrate, draw, held_out
 
@@ -165,9 +165,7 @@ def _descend(bags, labels, chosen, bits, dim, steps, rate, batch, seed=7):
 def score_texts(model, texts):
     """Probability of label 1 for each text of an Arrow array."""
     codes, offsets, words = split_words(texts)
-    owner, feature = subword_features(words.to_pylist(), model.bits)
-    word_sum = np.bincount(owner, weights=model.weights[feature], minlength=len(words))
-    word_n = np.bincount(owner, minlength=len(words)).astype(np.float64)
+    word_sum, word_n = subword_sums(words.to_pylist(), model.bits, model.weights)
     place, pairs = _pair_features(codes, offsets, word_hashes(words), model.bits)
     sums, counts = word_sum[codes], word_n[codes]
     sums[place] += model.weights[pairs]

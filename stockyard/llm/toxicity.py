@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from stockyard.llm.common import (
-    segment_max, segment_sums, ship_package, sigmoid, split_words, subword_features, text_slices,
+    segment_max, segment_sums, ship_package, sigmoid, split_words, subword_features, subword_sums, text_slices,
 )
 from stockyard.llm.labelled import calibrate, draw, held_out
 
@@ -222,8 +222,7 @@ def score_texts(model, texts):
 def _worst(model, texts):
     """Log odds of the worst sentence of each text."""
     codes, ends, of_text, words = _sentences(texts)
-    owner, feature = subword_features(words, model.bits)
-    by_word = _word_weights(model.weights, owner, feature, len(words))
+    by_word, _ = subword_sums(words, model.bits, model.weights)
     by_word[[i for i, w in enumerate(words) if not w]] = 0.0
     value = segment_sums(by_word[codes], ends) + model.bias
     return segment_max(value, of_text, model.bias)

@@ -124,3 +124,39 @@ def test_keep_returns_the_columns_and_all_repeats(spark, tables):
     assert kept.schema == table.schema
     assert kept.count() == 2 * quality_classifier.keep(table, tables[1]).count()
     assert all(r["text"] is not None for r in rows_of(kept))
+
+
+def test_features_of_long_words_are_made_in_stretches():
+    import random
+
+    from stockyard.llm.common import subword_features, subword_sums
+
+    draw, weights = random.Random(1), np.random.default_rng(0).normal(size=1 << 12)
+    words = ["".join(draw.choice("abcé日") for _ in range(draw.choice([0, 1, 2, 5, 40, 300]))) for _ in range(200)]
+    words.append("x" * 3000)
+    owner, feature = subword_features(words, 12)
+    total = np.bincount(owner, weights=weights[feature], minlength=len(words))
+    for block in (1 << 18, 700, 64, 5):
+        sums, counts = subword_sums(words, 12, weights, block=block)
+        assert sums == pytest.approx(total, abs=1e-6) and (counts == np.bincount(owner)).all()
+    assert len(subword_sums([], 12, weights)[0]) == 0
+
+
+def test_one_very_long_word_takes_little_memory(spark):
+    import tracemalloc
+
+    model = quality_classifier.fit(pa.array(["good clean prose here", "bad noisy junk there"] * 40), np.array([1, 0] * 40))
+    text = pa.array(["q" * 4_000_000])
+    tracemalloc.start()
+    quality_classifier.score_texts(model, text)
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
+def test_a_very_long_text_leaves_the_sample_of_its_label_whole(spark):
+    rows = [(i, f"text {i}") for i in range(100)] + [(1000 + i, "x" * 40_000) for i in range(3)]
+    table = docs(spark, *rows)
+    labels = spark.createDataFrame([(i, 1) for i, _ in rows], "doc_id long, quality int")
+    sample = labelled.draw(table, labels, "quality", rows=400, chars=64_000)
+    free = [i for i, _ in rows[:100] if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(sample.texts) == len(free) and max(map(len, sample.texts.to_pylist())) < 100
