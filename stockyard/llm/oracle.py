@@ -11,17 +11,16 @@ from stockyard.llm import centroids, nearest, quality_rules, url_filter
 def _nearest():
     return f"""
 WITH v AS (
-  SELECT vec_id, max(CAST(embedding AS DOUBLE[])) AS e FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id
 ), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id % {nearest.EVERY} = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  SELECT q.rid AS query_row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % {nearest.EVERY} = 0 AND q.rid <> c.rid AND len(q.e) = len(c.e)
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
-FROM pairs WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+FROM pairs WINDOW w AS (PARTITION BY query_row ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= {nearest.K}
 """
 

@@ -18,19 +18,18 @@ def _table(spark, rows):
 
 
 def _brute(rows, k=20, every=20):
-    found = {}
+    found = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v) or not any(v):
             continue
-        v = [float(np.float32(x)) for x in v]
-        found[i] = max(v, found.get(i, v))
+        found.append((i, [float(np.float32(x)) for x in v]))
     result = []
-    for q, a in found.items():
+    for own, (q, a) in enumerate(found):
         if q % every:
             continue
         scored = []
-        for c, b in found.items():
-            if c != q and len(a) == len(b):
+        for other, (c, b) in enumerate(found):
+            if own != other and len(a) == len(b):
                 total = 0.0
                 for x, y in zip(a, b):
                     total += x * y
@@ -100,3 +99,22 @@ def test_bounds_hold():
     about = (sa.astype(float) @ sb.T.astype(float)) * ka[:, None] * kb[None, :]
     error = na[:, None] * lb[None, :] + la[:, None] * (nb + lb)[None, :]
     assert (np.abs(about - a @ b.T) <= error + 1e-9).all()
+
+
+def test_rows_that_repeat_an_id_are_all_candidates(spark):
+    rows = [(1, [0.5, 0.0]), (1, [0.9, 0.0]), (1, [0.9, 0.0]), (20, [1.0, 0.0]), (20, [2.0, 1.0]), (40, [1.0, 1.0])]
+    found = _found(_table(spark, rows))
+    assert found == _brute(rows) and [r[3] for r in found if r[0] == 40] == pytest.approx([3.0, 1.0, 0.9, 0.9, 0.5])
+
+
+@pytest.mark.parametrize("large,small", [(1e160, 1e-160), (1e155, 1e-155), (1e300, 1.0), (1.0, 1e-310), (1e150, 1e-308)])
+def test_no_neighbour_is_lost_to_overflow(large, small):
+    random = np.random.default_rng(2)
+    vectors = random.normal(size=(300, 8)) * np.where(random.random(300) < 0.5, large, small)[:, None]
+    ids, queries = np.arange(300), np.arange(0, 300, 20)
+    with np.errstate(all="ignore"):
+        row, other, score = nearest.tile(queries, vectors[queries], ids, ids, vectors)
+        for n, q in enumerate(queries):
+            scores = nearest._dot(np.repeat(vectors[q][None], 300, 0), vectors)
+            best = sorted((-s, c) for c, s in enumerate(scores) if c != q)[:20]
+            assert list(zip((-score[row == n]).tolist(), other[row == n].tolist())) == best

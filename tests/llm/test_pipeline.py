@@ -70,7 +70,7 @@ def test_run_is_the_last_stage(spark, stages):
 def test_all_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
@@ -82,6 +82,9 @@ def test_named_queries_give_the_contract_columns(spark):
         "op9_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
         "op6_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
         "op1_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op11_conversation_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+        "op12_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+        "op13_language": ["doc_id", "held_out", "lang_pred", "score"],
         "op7_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     }
     for name, columns in wanted.items():
