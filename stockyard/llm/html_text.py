@@ -98,87 +98,145 @@ def _unclosed(page, name, at):
     return True
 
 
+class _Open:
+    """The open elements at a place of a page, innermost last, and what is asked of them:
+    each question takes the same time however many are open."""
+
+    def __init__(self):
+        self.names, self.drops, self.begins = [], [], []
+        self.places, self.blocks, self.dropping = {}, [], []  # by name, not inline, dropped
+        self.marks, self.above, self.words = [], [], []       # marked: open ones, parents, own words
+
+    def push(self, name, drops, begin):
+        place = len(self.names)
+        self.names.append(name)
+        self.drops.append(drops)
+        self.begins.append(begin)
+        self.places.setdefault(name, []).append(place)
+        if name not in INLINE:
+            self.blocks.append(place)
+        if drops:
+            self.dropping.append(place)
+        if drops == 1:
+            self.marks.append((place, self.mark()))
+
+    def close(self, place):
+        """Close the element at a place and all inside it."""
+        for stack in (self.blocks, self.dropping):
+            while stack and stack[-1] >= place:
+                stack.pop()
+        while self.marks and self.marks[-1][0] >= place:
+            self.marks.pop()
+        while len(self.names) > place:
+            self.places[self.names.pop()].pop()
+            self.drops.pop()
+            self.begins.pop()
+
+    def count(self, name):
+        return len(self.places.get(name, ()))
+
+    def last(self, name):
+        return (self.places.get(name) or [None])[-1]
+
+    def block(self):
+        return self.names[self.blocks[-1]] if self.blocks else ""
+
+    def mark(self):
+        """A new marked element inside the innermost one that is open."""
+        self.above.append(self.inner())
+        self.words.append(None)
+        return len(self.above) - 1
+
+    def inner(self):
+        return self.marks[-1][1] if self.marks else -1
+
+
 def events(page):
     """(kind, key, text, dropped, in_article) of every piece: kind "word" for text, whose
     key is (innermost block, in a link), "tag" for a tag, whose key is its name."""
-    open_, result, at, page = [], [], 0, page or ""
-    dropping = articles = links = seen = 0  # open elements of each sort; articles so far
-    marked, words = (), {None: 0}  # open elements with marks; words in each, and in all
+    open_, result, at, page = _Open(), [], 0, page or ""
+    seen = hidden = total = 0  # articles so far, open elements that are never text, words
     held, checked, replies = [], {}, set()  # marks around each piece; by element: unclosed, comments
 
-    def close(index):
-        nonlocal dropping, articles, links, marked
-        for tag, drops, begin in open_[index:]:
-            dropping -= drops == 2
-            marked = tuple(x for x in marked if x != begin)
-            articles -= tag == "article"
-            links -= tag == "a"
-        del open_[index:]
+    def close(place):
+        nonlocal hidden
+        hidden -= sum(drops == 2 for drops in open_.drops[place:])
+        open_.close(place)
 
-    def add(kind, key, text, dropped, inside):
+    def add(kind, key, text, dropped, inside, mark):
+        nonlocal total
         result.append((kind, key, text, dropped, inside))
-        held.append(marked)
+        held.append(mark)
         if kind == "word" and not dropped:
             n = len(text.split())
-            for x in (None, *marked):
-                words[x] = words.get(x, 0) + n
+            total += n
+            if mark >= 0:
+                open_.words[mark] = (open_.words[mark] or 0) + n
 
     while at < len(page):
         found = PIECE.match(page, at)
         at = found.end()
         text = found.group()
         name = found.group(2) or found.group(5)
+        articles = open_.count("article")
         if name is None:
             if text[0] != "<" or text == "<":
-                block = next((t for t, _, _ in reversed(open_) if t not in INLINE), "")
-                add("word", (block, links > 0), text, dropping > 0, articles > 0)
+                add("word", (open_.block(), open_.count("a") > 0), text, hidden > 0, articles > 0, open_.inner())
             continue
         name, closing = name.lower(), bool(found.group(1) or found.group(4))
         if closing:
-            index = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-            add("tag", name, "", dropping > 0, articles > 0 and name != "article")
-            if index is not None:
-                close(index)
+            place = open_.last(name)
+            add("tag", name, "", hidden > 0, articles > 0 and name != "article", open_.inner())
+            if place is not None:
+                close(place)
             continue
         attributes = found.group(3) or found.group(6) or ""
         shut = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
         if name in ("article", "main"):  # an element left open before the text
-            for index, (tag, drops, begin) in enumerate(open_):
-                if not drops or name == "article" and (tag == "aside" or begin in replies):
+            for place in open_.dropping:
+                tag, begin = open_.names[place], open_.begins[place]
+                if name == "article" and (tag == "aside" or begin in replies):
                     continue
                 if begin not in checked:
                     checked[begin] = _unclosed(page, tag, begin)
                 if checked[begin]:
-                    close(index)
+                    close(place)
                     break
-        while shut and open_ and (open_[-1][0] in shut or open_[-1][0] in INLINE):
-            outer = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] not in INLINE), None)
-            if outer is None or open_[outer][0] not in shut:
+        while shut and open_.names and (open_.names[-1] in shut or open_.names[-1] in INLINE):
+            outer = open_.blocks[-1] if open_.blocks else None
+            if outer is None or open_.names[outer] not in shut:
                 break
             close(outer)
         drops = _dropped(name, attributes, name in WHOLE and (name != "article" or not seen))
-        seen += name == "article" and not dropping
+        seen += name == "article" and not hidden
         if drops == 2 and name not in NEVER:
             replies.add(at)
-        outside, marked = marked, marked + (at,) * (drops == 1)
-        add("tag", name, "", dropping > 0 or drops == 2, articles > 0)
+        articles = open_.count("article")
         if name in VOID or attributes.endswith("/"):
-            marked = outside
+            add("tag", name, "", hidden > 0 or drops == 2, articles > 0, open_.mark() if drops == 1 else open_.inner())
             continue
         if name in RAW:
+            mark = open_.mark() if drops == 1 else open_.inner()
+            add("tag", name, "", hidden > 0 or drops == 2, articles > 0, mark)
             end = re.compile(rf"</{re.escape(name)}\s*>?", re.I).search(page, at)
             if name not in NEVER:
-                add("word", (name, False), page[at : end.start() if end else len(page)], dropping > 0, articles > 0)
-            marked, at = outside, end.end() if end else len(page)
+                add("word", (name, False), page[at : end.start() if end else len(page)], hidden > 0, articles > 0, mark)
+            at = end.end() if end else len(page)
             continue
-        open_.append((name, drops, at))
-        dropping += drops == 2
-        articles += name == "article"
-        links += name == "a"
-    small = {x for x, n in words.items() if x is not None and 2 * n <= words[None]}
+        open_.push(name, drops, at)
+        add("tag", name, "", hidden > 0 or drops == 2, articles > 0, open_.inner())
+        hidden += drops == 2
+    words, above = open_.words, open_.above
+    for mark in range(len(words) - 1, -1, -1):  # what is inside comes later
+        if above[mark] >= 0 and words[mark] is not None:
+            words[above[mark]] = (words[above[mark]] or 0) + words[mark]
+    small = []
+    for mark, n in enumerate(words):
+        few = n is not None and 2 * n <= total  # an element without text stands for nothing
+        small.append(few or (above[mark] >= 0 and small[above[mark]]))
     return [
-        (kind, key, text, dropped or not small.isdisjoint(around), inside)
-        for (kind, key, text, dropped, inside), around in zip(result, held)
+        (kind, key, text, dropped or (mark >= 0 and small[mark]), inside)
+        for (kind, key, text, dropped, inside), mark in zip(result, held)
     ]
 
 
@@ -234,12 +292,16 @@ def extract(page, weights):
 def train(pages, rows=FIT_PAGES, chars=FIT_CHARS):
     """Weights from at most ``rows`` labelled pages with ``chars`` characters in all,
     the same ones on every run."""
-    labelled = pages.where(F.lower("html").contains("<article")).select(
-        "html", F.xxhash64("page_id", "html").alias("_order"), F.length("html").alias("_chars")
-    ).where(F.col("_chars") <= chars).orderBy("_order").limit(rows)
+    # hashes and lengths first: no task gets more than ``rows`` of these from another
+    own = F.xxhash64("page_id", "html")
+    labelled = pages.where(F.lower("html").contains("<article"))
+    sizes = labelled.select(own.alias("_order"), F.length("html").alias("_chars")).where(F.col("_chars") <= chars)
+    first = sizes.groupBy("_order").agg(F.max("_chars").alias("_chars")).orderBy("_order").limit(rows)
     running = Window.partitionBy(F.lit(0)).orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = labelled.withColumn("_upto", F.sum("_chars").over(running)).where(F.col("_upto") <= chars)
-    return learn(chosen.select("html").toArrow()["html"].to_pylist())
+    chosen = first.withColumn("_upto", F.sum("_chars").over(running)).where(F.col("_upto") <= chars)
+    chosen = [r["_order"] for r in chosen.select("_order").collect()]
+    found = labelled.select("html", own.alias("_order")).where(F.col("_order").isin(chosen))
+    return learn(found.groupBy("_order").agg(F.first("html").alias("html")).toArrow()["html"].to_pylist())
 
 
 def main_text(pages, weights=None):

@@ -103,3 +103,28 @@ def test_wrappers_with_marks_keep_the_text(before, after):
 def test_articles_in_comments_and_asides_stay_out(region):
     text = "many words of the text " * 9
     assert H.extract(f"<body><article>{text}</article>{region}</body>", {}) == text.strip()
+
+
+@pytest.mark.parametrize("body", ['<div class="ad">', "<b>", '<div class="ad">x ', "<b>x</i>", "</i>"])
+def test_many_unclosed_elements_take_time_in_proportion(body):
+    import time
+
+    start = time.process_time()
+    pieces = H.events("<p>some words of a page</p>" + body * 50_000)
+    assert time.process_time() - start < 20 and len(pieces) >= 50_000
+
+
+def test_marks_count_the_words_of_what_they_hold():
+    page = '<div class="ad"><div class="sidebar"><p>a b c</p></div><p>d e f g</p></div><p>h i</p>'
+    dropped = {text: gone for kind, _, text, gone, _ in H.events(page) if kind == "word"}
+    # the advert holds seven of nine words, the sidebar in it three
+    assert dropped == {"a b c": True, "d e f g": False, "h i": False}
+
+
+def test_sampled_pages_are_read_by_their_hashes(spark):
+    rows = [(i, f"u{i}", f"<body><nav>menu {i}</nav><article><p>some text of page {i}</p></article></body>") for i in range(30)]
+    table = spark.createDataFrame(rows + rows[:5] + [(99, "u", None)], "page_id long, url string, html string")
+    whole = H.learn([r[2] for r in rows])
+    assert H.train(table) == whole  # repeated rows teach once
+    some = H.train(table, rows=10)
+    assert some and some != whole and some == H.train(table.repartition(7), rows=10)
