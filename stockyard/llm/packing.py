@@ -167,7 +167,7 @@ def pieces(docs, definition, limit=LIMIT, end_id=END_ID, special_as_text=True):
 
 
 def fill(tokens, loss, limit=LIMIT, segments=SEGMENTS, loss_limit=LOSS):
-    """Sequence number of every item, by the dot-product heuristic.
+    """Sequence number of every item, by the dot-product heuristic; none for no items.
 
     Items over a limit of their own get a sequence alone. Items alike in tokens and
     loss are interchangeable, so choices are made among kinds of items. Of equal

@@ -186,7 +186,8 @@ def _reached(prints, max_bits):
 
 
 def links(prints, max_bits=MAX_BITS, sample=SAMPLE, shard=SHARD):
-    """Spanning links (a, b) between the distinct fingerprints of column ``_fp``."""
+    """Spanning links (a, b) between the distinct fingerprints of column ``_fp``, which has no
+    nulls; an empty frame gives none."""
     spark = prints.sparkSession
     ship_package(spark)
     total = prints.count()
