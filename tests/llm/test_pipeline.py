@@ -89,3 +89,16 @@ def test_named_queries_give_the_contract_columns(spark):
     }
     for name, columns in wanted.items():
         assert __spark_entry__.queries()[name](spark, SF).columns[: len(columns)] == columns
+
+
+def test_empty_tables_and_columns_with_other_names(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    names = ("_at", "_word", "_bits", "_id", "_winner", "_key", "_doc", "kept", "n_words", "score", "predicted", "h")
+    named = docs.withColumns({c: F.lit(3) for c in names})
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, named, SF)
+        assert out.columns == named.columns
+        assert out.select(*names).distinct().collect() == [tuple([3] * len(names))]
