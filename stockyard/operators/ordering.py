@@ -7,7 +7,7 @@ shared by a third of the rows is still spread over tasks by the rest of the key.
 """
 
 from functools import reduce
-from operator import add, or_
+from operator import add, and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -189,3 +189,28 @@ def first_per_key(df: DataFrame, keys, order):
     """
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+
+
+BROADCAST_KEYS = 1_000_000  # with their values about 100 MB in memory
+
+
+def least_per_key(df: DataFrame, keys, column):
+    """The rows of each key that hold its least ``column``, nulls first: those that
+    ``first_per_key`` with an order by that column first would choose from.
+
+    For stored rows, which are read twice: the least values come from a hash aggregation
+    of the narrow columns, and the join with them drops most copies before a wide row is
+    sorted or shuffled. Keys and the column may be null. Up to ``BROADCAST_KEYS`` keys are
+    broadcast; beyond, Catalyst chooses.
+    """
+    value = F.col(column)
+    # beside the least value whether a null is there; both fit a hash aggregation's buffer
+    found = df.groupBy(*keys).agg(F.min(value).alias("_least"), F.max(value.isNull()).alias("_null"))
+    least = materialize(found, "least")
+    if least.count() <= BROADCAST_KEYS:
+        least = F.broadcast(least)
+    least = least.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.when(~F.col("_null"), F.col("_least")).alias("_least")
+    )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(least, same & value.eqNullSafe(F.col("_least")), "left_semi")

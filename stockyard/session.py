@@ -1,6 +1,7 @@
 """Session settings and the shared work folder."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,24 @@ def materialize(df: DataFrame, label):
     path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def settings(spark, **values):
+    """Session settings (``__`` in a name for its dots) for the queries that run inside."""
+    values = {key.replace("__", "."): value for key, value in values.items()}
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def unsorted_joins(spark):
+    """Inside, adaptive execution joins by a hash table instead of a sort wherever one side's
+    partitions turn out small enough, so wide rows on the other side are never sorted or
+    spilled. Larger partitions are sorted as always."""
+    return settings(spark, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold="64m")

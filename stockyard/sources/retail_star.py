@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from stockyard import schema as S
 from stockyard.operators.cleaning import clean
-from stockyard.session import work_path
+from stockyard.operators.ordering import least_per_key
+from stockyard.session import unsorted_joins, work_path
 from stockyard.sources.tables import read_partitioned, write_partitioned
 
 BASE_TABLES = ["lineitem", "orders", "customer", "nation", "region", "supplier", "part"]
@@ -38,9 +39,9 @@ def _code(letter, text, width):
 def raw_rows(spark, folder):
     """Order lines as store x product observations.
 
-    The order side is reduced to (order, priority, region) before it meets the
-    lines, so the wide line rows are shuffled once per large join and the tiny
-    geography never on its own. No hints: Catalyst broadcasts what its size
+    The order side is reduced to (order, priority, region) and the lines to the numbers
+    that the rows are made of before they meet, so the one large shuffle carries narrow
+    rows; the texts of parts join after it. No hints: Catalyst broadcasts what its size
     statistics allow, and adaptive execution splits skewed join keys.
     """
     orders = (
@@ -66,21 +67,28 @@ def raw_rows(spark, folder):
     supplier = _table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     part = _table(spark, folder, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
     lines = (
-        _table(spark, folder, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        _table(spark, folder, "lineitem")
+        .select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+            F.col("l_shipdate").cast("date").alias("date"),
+            F.col("l_quantity").cast("int").alias("qty"),
+            F.col("l_extendedprice").cast("decimal(12,2)").alias("ext"),
+            F.round(F.col("l_discount") * 100).cast("int").alias("discount"),
+            F.concat("l_returnflag", "l_linestatus").alias("_weather"),
+        )
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
     )
 
-    date = F.col("l_shipdate").cast("date")
+    date, quantity, weather = F.col("date"), F.col("qty"), F.col("_weather")
     order, line, item, source = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    quantity = F.col("l_quantity").cast("int")
     level = ((order * 37 + item * 17 + line * 5) % 451 + 50).cast("int")
     noise = ((order * 13 + line * 101 + source * 7) % 3001 - 1000).cast("decimal(10,2)") * F.lit(
         "0.01"
     ).cast("decimal(3,2)")
     sold = F.floor(level * (quantity - 1) / 50).cast("int")
     price = F.col("p_retailprice").cast("decimal(10,2)")
-    weather = F.concat("l_returnflag", "l_linestatus")
     # How line flags and months stand for weather and season.
     weather_name = (
         F.when(weather == "AF", "Cloudy").when(weather == "AO", "Rainy")
@@ -92,7 +100,7 @@ def raw_rows(spark, folder):
         .when(month.isin(9, 10, 11), "Autumn").otherwise("Winter")
     )
     return lines.select(
-        date.alias("date"),
+        "date",
         _code("S", (F.col("s_nationkey") + 1).cast("string"), 3).alias("store_id"),
         _code("P", F.replace("p_brand", F.lit("Brand#"), F.lit("")), 4).alias("product_id"),
         F.col("p_type").alias("category"),
@@ -102,7 +110,7 @@ def raw_rows(spark, folder):
         ((item * 11 + order * 3) % 181 + 20).cast("int").alias("units_ordered"),
         (sold.cast("decimal(10,2)") + noise).cast("decimal(10,2)").alias("demand_forecast"),
         price.alias("price"),
-        F.round(F.col("l_discount") * 100).cast("int").alias("discount"),
+        "discount",
         weather_name.alias("weather_condition"),
         "holiday_promotion",
         (price + noise).cast("decimal(10,2)").alias("competitor_pricing"),
@@ -111,8 +119,8 @@ def raw_rows(spark, folder):
         "l_linenumber",
         "l_partkey",
         "l_suppkey",
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("ext"),
-        quantity.alias("qty"),
+        "ext",
+        "qty",
     )
 
 
@@ -134,9 +142,11 @@ def load(spark, folder) -> Inventory:
 
 def store(spark, folder):
     """Write staging and fact; returns the paths and the schema of the staging rows."""
-    lineage = raw_rows(spark, folder)
     lineage_path = work_path(spark, "staging")
-    lineage.hint("rebalance").write.parquet(lineage_path)
-    lineage = spark.read.schema(lineage.schema).parquet(lineage_path)
-    fact_path = write_partitioned(clean(lineage, tie_break=LINEAGE), work_path(spark, "fact"))
+    with unsorted_joins(spark):
+        lineage = raw_rows(spark, folder)
+        lineage.write.parquet(lineage_path)  # in the partitions of its last join: no shuffle more
+        lineage = spark.read.schema(lineage.schema).parquet(lineage_path)
+        rows = least_per_key(lineage, S.KEYS, LINEAGE[0])
+        fact_path = write_partitioned(clean(rows, tie_break=LINEAGE), work_path(spark, "fact"))
     return lineage_path, lineage.schema, fact_path

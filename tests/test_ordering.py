@@ -66,6 +66,23 @@ def test_first_per_key_limits_before_the_shuffle(spark):
     assert sorted(map(tuple, kept.collect())) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_least_per_key_keeps_the_candidates(spark):
+    frame = spark.createDataFrame(
+        [("a", 2, 1), ("a", 1, 3), ("a", 1, 2), ("b", 5, 1), ("b", None, 9), ("b", None, 8), (None, 4, 1), (None, 3, 1)],
+        "k string, v int, w int",
+    )
+    for bound in (ordering.BROADCAST_KEYS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ordering, "BROADCAST_KEYS", bound)
+            near = ordering.least_per_key(frame, ["k"], "v")
+        assert near.columns == frame.columns
+        assert sorted(map(tuple, near.collect()), key=str) == sorted(
+            [("a", 1, 3), ("a", 1, 2), ("b", None, 9), ("b", None, 8), (None, 3, 1)], key=str
+        )
+        first = ordering.first_per_key(near, ["k"], ["v", "w"]).collect()
+        assert sorted(first, key=str) == sorted(ordering.first_per_key(frame, ["k"], ["v", "w"]).collect(), key=str)
+
+
 def test_twenty_products_split_7_6_7_and_7_7_6(facts):
     rows = facts(
         *[{"product_id": f"P{i:04d}", "units_sold": 100 + i, "inventory_level": 1000} for i in range(20)]

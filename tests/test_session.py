@@ -1,3 +1,4 @@
+import datetime
 from types import SimpleNamespace
 
 from stockyard import session
@@ -26,3 +27,73 @@ def test_one_load_per_folder(spark):
     from stockyard.sources import retail_star
 
     assert retail_star.load(spark, SF_DIR).raw.inputFiles() == retail_star.load(spark, SF_DIR).raw.inputFiles()
+
+
+def _base_tables(spark, folder):
+    """Base tables with missing keys, repeated orders and many copies of a business key."""
+    rows = {
+        "region": ([(0, "ASIA"), (1, "EUROPE")], "r_regionkey int, r_name string"),
+        "nation": ([(0, 0), (1, 1), (2, None)], "n_nationkey int, n_regionkey int"),
+        "customer": ([(i, i % 3) for i in range(6)], "c_custkey long, c_nationkey int"),
+        "supplier": ([(0, 0), (1, 1), (2, None), (None, 1)], "s_suppkey long, s_nationkey int"),
+        "part": (
+            [(0, "Brand#11", "PROMO TIN", 9.5), (1, None, "SMALL TIN", 8.0), (2, "Brand#12", None, 7.25)],
+            "p_partkey long, p_brand string, p_type string, p_retailprice double",
+        ),
+        "orders": (
+            [(i % 30 if i else None, i % 6, "2-HIGH" if i % 2 else "5-LOW") for i in range(40)],
+            "o_orderkey long, o_custkey long, o_orderpriority string",
+        ),
+        "lineitem": (
+            [
+                (i * 7 % 31, i % 4, i % 3, i % 4, datetime.date(1995, 1 + i % 2, 3) if i % 9 else None,
+                 float(1 + i % 50), 10.5 * i, 0.01 * (i % 11), "A", "F" if i % 3 else None)
+                for i in range(400)
+            ],
+            "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_quantity double, "
+            "l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string",
+        ),
+    }
+    for name, (data, kinds) in rows.items():
+        spark.createDataFrame(data, kinds).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_stored_fact_is_the_first_row_of_each_key(spark, tmp_path):
+    from stockyard import schema as S
+    from stockyard.operators import cleaning
+    from stockyard.sources import retail_star
+
+    folder = _base_tables(spark, tmp_path)
+    inventory = retail_star.load(spark, folder)
+    raw = retail_star.raw_rows(spark, folder)
+    assert raw.count() > 200 and sorted(inventory.lineage.collect(), key=str) == sorted(raw.collect(), key=str)
+    expected = cleaning.clean(raw, tie_break=retail_star.LINEAGE).collect()
+    assert sorted(inventory.fact.select(*S.FACT_COLUMNS).collect(), key=str) == sorted(expected, key=str)
+    assert any(r.date is None for r in expected) and any(r.product_id is None for r in expected)
+
+
+def test_the_large_joins_carry_narrow_lines_and_sort_nothing(spark, tmp_path):
+    from stockyard.sources import retail_star
+
+    folder = _base_tables(spark, tmp_path)
+    with session.settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"), session.unsorted_joins(spark):
+        rows = retail_star.raw_rows(spark, folder)
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("== Initial Plan ==")]
+    assert "ShuffledHashJoin" in final and "SortMergeJoin" not in final
+    order, part = (final.index(f"ShuffledHashJoin [{key}") for key in ("l_orderkey", "l_partkey"))
+    assert part < order  # the outer join stands first: texts of parts meet the lines last
+    assert spark.conf.get("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold") == "0b"
+
+
+def test_a_load_writes_its_rows_without_a_shuffle_of_their_own(spark, tmp_path, monkeypatch):
+    from stockyard.sources import retail_star
+
+    asked = []
+    monkeypatch.setattr(retail_star, "write_partitioned", lambda df, path: path)
+    hint = type(spark.range(1)).hint
+    monkeypatch.setattr(type(spark.range(1)), "hint", lambda df, *a: (asked.append(a), hint(df, *a))[1])
+    retail_star.store(spark, _base_tables(spark, tmp_path))
+    assert asked == []
