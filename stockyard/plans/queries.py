@@ -865,10 +865,8 @@ def _stream(spark, arrivals, **options):
     arrived, output, state = (work_path(spark, f"stream_{x}") for x in ("arrived", "orders", "state"))
     runs = []
     for rows in arrivals:
-        rows.write.mode("append").parquet(arrived)
-        run = reorder_stream.start(reorder_stream.read_fact_stream(spark, arrived), output, state, **options)
-        run.awaitTermination()
-        runs.append(run)
+        rows.write.option("maxRecordsPerFile", 1_000_000).mode("append").parquet(arrived)
+        runs.append(reorder_stream.run(reorder_stream.read_fact_stream(spark, arrived), output, state, **options))
     return output, runs
 
 

@@ -17,10 +17,12 @@ from stockyard import params as P
 from stockyard import schema as S
 from stockyard.operators.cleaning import clip_negative_forecast
 from stockyard.operators.replenishment import REORDER_COLUMNS, with_reorder
+from stockyard.session import settings
 
 BATCH, DATE = "batch_id", "list_date"
 OUTPUT = ["date", *[c for c in REORDER_COLUMNS if c != "reorder_trigger"]]
 ARRIVAL = "_arrival"
+SPLIT = "16m"  # of stored fact rows, about a million
 ACCOUNT = "batch_id long, arrived long, kept long, late long, repeated long, watermark string"
 
 
@@ -28,13 +30,17 @@ def read_fact_stream(spark, path, files_per_batch=None):
     """Parquet files as they arrive, with the fixed fact schema.
 
     ``_arrival`` orders the versions of a key: the time of the file, its name, the row's
-    place in it.
+    place in it. The name is the path without the start that all files share, as each row
+    carries it through the sort and into the state.
     """
     reader = spark.readStream.schema(S.FACT_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    order = ["file_modification_time", "file_path", "row_index"]
-    return reader.parquet(path).select("*", F.struct(*[f"_metadata.{c}" for c in order]).alias(ARRIVAL))
+    file, root = F.col("_metadata.file_path"), F.lit(path.rstrip("/"))
+    at = F.locate(path.rstrip("/"), file)  # the first place: the same one in the paths of all files
+    name = F.when(at > 0, F.substring(file, at + F.length(root), F.length(file))).otherwise(file)
+    order = ["_metadata.file_modification_time", name.alias("file_path"), "_metadata.row_index"]
+    return reader.parquet(path).select("*", F.struct(*order).alias(ARRIVAL))
 
 
 def newest_versions(stream: DataFrame, watermark=None):
@@ -111,6 +117,18 @@ def start(stream: DataFrame, output, checkpoint, buffer=P.BUFFER, watermark=None
     return writer.start()
 
 
+def run(stream: DataFrame, output, checkpoint, **options):
+    """Process what is there and return the finished query; fails as it fails.
+
+    The state's aggregation sorts the rows of each task by key. Splits of the default size
+    hold millions of wide rows and spill, so files are read in smaller ones meanwhile.
+    """
+    with settings(stream.sparkSession, spark__sql__files__maxPartitionBytes=SPLIT):
+        query = start(stream, output, checkpoint, **options)
+        query.awaitTermination()
+    return query
+
+
 def read_orders(spark, output, dates=None, withdrawn=False):
     """The current order lists, of all dates or of the given ones, with a row for each key
     whose newest version triggers; ``withdrawn`` shows the keys that no longer do instead."""

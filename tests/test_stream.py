@@ -112,3 +112,36 @@ def test_replaying_a_batch_changes_nothing(spark, arrivals):
 def test_nothing_written_yet(spark, tmp_path):
     found = reorder_stream.read_orders(spark, str(tmp_path / "none"))
     assert found.columns == reorder_stream.OUTPUT and found.collect() == []
+
+
+def test_rows_carry_a_short_name_that_orders_the_files(spark, facts, tmp_path):
+    folder = str(tmp_path / "in")
+    for store in ("a", "b"):
+        facts({"store_id": store}).coalesce(1).write.mode("append").parquet(folder)
+    seen = []
+    stream = reorder_stream.read_fact_stream(spark, folder + "/").select(
+        "store_id", f"{reorder_stream.ARRIVAL}.*", F.col("_metadata.file_path").alias("whole")
+    )
+    writer = stream.writeStream.foreachBatch(lambda batch, _: seen.extend(batch.collect()))
+    writer.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+    assert {r.store_id for r in seen} == {"a", "b"}
+    assert all(r.file_path.startswith("/part-") and r.whole.endswith(folder + r.file_path) for r in seen)
+    def arrived(name):
+        return sorted(seen, key=lambda r: (r.file_modification_time, r[name], r.row_index))
+
+    assert arrived("whole") == arrived("file_path")
+
+
+def test_a_run_reads_in_small_splits(spark, facts, tmp_path):
+    folder = str(tmp_path / "in")
+    facts(*[{"store_id": str(i)} for i in range(8)]).repartition(8).write.parquet(folder)
+    name = "spark.sql.files.maxPartitionBytes"
+    before, sizes = spark.conf.get(name), []
+    start = reorder_stream.start
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(reorder_stream, "start", lambda *a, **o: (sizes.append(spark.conf.get(name)), start(*a, **o))[1])
+        query = reorder_stream.run(
+            reorder_stream.read_fact_stream(spark, folder), str(tmp_path / "out"), str(tmp_path / "state")
+        )
+    assert sizes == [reorder_stream.SPLIT] and spark.conf.get(name) == before
+    assert reorder_stream.account(spark, query).first().arrived == 8
