@@ -12,6 +12,7 @@ from operator import add, and_, or_
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockyard.session import materialize
 
@@ -83,19 +84,31 @@ def ntile(df: DataFrame, tiles, order, into="tile"):
     return ranked.withColumn(into, (tile + 1).cast("int")).drop("_rank", "grand_total")
 
 
+KLL_K = 8000  # at accuracy 1000: a rank is off by 0.07 percent at 99 percent, a bracket allows three times that
+
+
 def column_quantiles(df: DataFrame, columns, probabilities, accuracy=1000):
     """Exact linear-interpolated quantiles of numeric columns, in two scans.
 
     One row per column that holds values: ``name`` and ``q0, q1, ..`` in the order of
     ``probabilities``. The first scan brackets each quantile by a
     mergeable sketch, whose error in rank is ``n / accuracy`` at most; the second is that
-    of ``bracketed_quantiles``.
+    of ``bracketed_quantiles``. Whole numbers and decimals go to KLL sketches, which take a
+    third of the time; these leave out NaN, so floating point keeps the other sketch.
     """
     ends = bracket_ends(probabilities, 2.0 / accuracy)
+    sketches, brackets, k = [], [], KLL_K * accuracy // 1000
+    for i, c in enumerate(columns):
+        value = F.col(c).cast("double")
+        if 8 <= k <= 65535 and isinstance(df.select(c).schema[0].dataType, (T.IntegralType, T.DecimalType)):
+            sketches += [F.kll_sketch_agg_double(value, F.lit(k)).alias(f"s{i}"), F.count(c).alias(f"n{i}")]
+            found = F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", F.array(*map(F.lit, ends))))
+        else:
+            sketches.append(F.percentile_approx(value, ends, accuracy).alias(f"s{i}"))
+            found = F.col(f"s{i}")
+        brackets.append(found.alias(f"b{i}"))
     # one row of a few numbers; as literals they keep the second scan in compiled code
-    bounds = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), ends, accuracy).alias(f"b{i}") for i, c in enumerate(columns)]
-    ).first()
+    bounds = df.agg(*sketches).select(*brackets).first()
     known = [None if bounds[f"b{i}"] is None else [F.lit(x) for x in bounds[f"b{i}"]] for i in range(len(columns))]
     return bracketed_quantiles(df, columns, probabilities, known)
 

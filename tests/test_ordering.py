@@ -36,6 +36,23 @@ def test_quantiles_skip_missing(spark):
     assert ordering.column_quantiles(frame, ["a"], [0.5]).first().q0 == 2.0
 
 
+def test_whole_numbers_and_decimals_are_bracketed_by_the_quicker_sketch(spark, monkeypatch):
+    n = 60_000  # more than a sketch keeps
+    rows = spark.range(0, n, 1, 4).selectExpr(
+        "cast(id * 7919 % 60000 as int) a", "cast(id * 7919 % 60000 as decimal(12,2)) / 100 b", "cast(null as int) c"
+    )
+    monkeypatch.setattr(ordering.F, "percentile_approx", lambda *a: pytest.fail("the slower sketch"))
+    found = {r["name"]: (r.q0, r.q1) for r in ordering.column_quantiles(rows, ["a", "b", "c"], [0.25, 0.5]).collect()}
+    assert set(found) == {"a", "b"}
+    assert found["a"] == ((n - 1) / 4, (n - 1) / 2)
+    assert np.allclose(found["b"], [(n - 1) / 400, (n - 1) / 200], rtol=0, atol=1e-9)
+
+
+def test_a_value_that_is_no_number_counts_as_the_largest(spark):
+    rows = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (3.0,), (float("nan"),)], "a double")
+    assert ordering.column_quantiles(rows, ["a"], [0.25, 0.5]).first()[1:] == (2.0, 3.0)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 20, 1000])
 def test_ntile_matches_sql(spark, n):
     rng = random.Random(n)
