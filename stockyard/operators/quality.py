@@ -211,11 +211,12 @@ def _kind(data_type):
     return "string" if isinstance(data_type, T.StringType) else "other"
 
 
-def _moments(df, columns):
+def _moments(df, columns, deviation=True):
     """One row per column: count, mean, sample deviation, extremes; from one scan.
 
     Whole numbers and decimals are added up exactly, in their own scale; where even 38
-    digits don't hold the squares, and for floating point, doubles are used.
+    digits don't hold the squares, and for floating point, doubles are used. Without
+    ``deviation`` no squares are added up and that column is left out.
     """
     fields, sums, rows = {f.name: f.dataType for f in df.schema}, [], []
     for i, c in enumerate(columns):
@@ -224,12 +225,19 @@ def _moments(df, columns):
             value = value.cast("decimal(20,0)" if isinstance(kind, T.LongType) else "decimal(10,0)")
         number = F.col(c).cast("double")
         exact = not isinstance(kind, T.FractionalType) or isinstance(kind, T.DecimalType)
+        if isinstance(kind, T.IntegralType) and not isinstance(kind, T.LongType):
+            summed = F.try_sum(c).cast("decimal(20,0)")  # in a long
+        else:
+            summed = F.try_sum(value if exact else number)
         sums += [
             F.count(c).alias(f"_n{i}"), F.min(number).alias(f"_min{i}"), F.max(number).alias(f"_max{i}"),
-            F.try_sum(value if exact else number).alias(f"_sum{i}"),
-            F.try_sum(F.try_multiply(value, value) if exact else number * number).alias(f"_sq{i}"),
-            F.sum(number).alias(f"_dsum{i}"), F.sum(number * number).alias(f"_dsq{i}"),
+            summed.alias(f"_sum{i}"), F.sum(number).alias(f"_dsum{i}"),
         ]
+        if deviation:
+            sums += [
+                F.try_sum(F.try_multiply(value, value) if exact else number * number).alias(f"_sq{i}"),
+                F.sum(number * number).alias(f"_dsq{i}"),
+            ]
         n, total, squares = (F.col(f"_{x}{i}") for x in ("n", "sum", "sq"))
         count = n.cast("double")
         plain = count * F.col(f"_dsq{i}") - F.col(f"_dsum{i}") * F.col(f"_dsum{i}")
@@ -238,7 +246,7 @@ def _moments(df, columns):
         rows.append(F.struct(
             F.lit(c).alias("column_name"), n.alias("count"),
             F.try_divide(F.coalesce(total.cast("double"), F.col(f"_dsum{i}")), count).alias("mean"),
-            F.sqrt(F.try_divide(F.greatest(spread, F.lit(0.0)), count * (count - 1))).alias("std"),
+            *([F.sqrt(F.try_divide(F.greatest(spread, F.lit(0.0)), count * (count - 1))).alias("std")] if deviation else []),
             F.col(f"_min{i}").alias("min"), F.col(f"_max{i}").alias("max"),
         ))
     return df.agg(M.rows().alias("_rows"), *sums).select(F.inline(F.array(*rows)))
@@ -266,7 +274,7 @@ def numeric_summary(df: DataFrame, columns=S.NUMERIC_COLUMNS):
     """Min, max, mean and median per numeric column."""
     middle = column_quantiles(df, columns, [0.5]).select(F.col("name").alias("column_name"), F.col("q0").alias("median"))
     return (
-        _moments(df, columns).join(middle, "column_name", "left")
+        _moments(df, columns, deviation=False).join(middle, "column_name", "left")
         .select("column_name", "min", "max", "mean", "median").orderBy("column_name")
     )
 

@@ -146,3 +146,10 @@ def test_columns_without_values_stay_in_the_reports(facts):
 def test_summary_reads_twice_and_expands_no_rows(inventory):
     plan = quality.quality_summary(inventory.raw)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") <= 2
+
+
+def test_a_summary_without_deviations_adds_no_squares(spark):
+    rows = spark.createDataFrame([(2**31 - 1,), (2**31 - 1,), (None,), (-(2**31),)], "x int")
+    found = quality.numeric_summary(rows, ["x"])
+    assert "_sq0" not in found._jdf.queryExecution().analyzed().toString()
+    assert found.first()[1:] == (-(2.0**31), 2.0**31 - 1, (2**31 - 2) / 3, 2.0**31 - 1)
