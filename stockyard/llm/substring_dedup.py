@@ -36,7 +36,7 @@ from stockyard.llm.common import (
     SLICE_BYTES, free_name, mix, powers, ship_package, split_words, text_slices, word_hashes,
 )
 from stockyard.llm.components import connected
-from stockyard.session import materialize
+from stockyard.session import materialize, scratch, small_batches, unsorted_joins
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -452,6 +452,23 @@ def _cut(text, start, end, first, min_run):
     return "".join(parts), gone, kept_by.tolist()
 
 
+def _spans(docs, text_col):
+    """(_key, _spans) of the documents with marks. The hashes, which take more room than the
+    texts, are deleted when the marks are stored."""
+    spark = docs.sparkSession
+    with scratch(spark) as keep, small_batches(spark), unsorted_joins(spark):
+        found = materialize(units(docs, tune(), text_col), "substring_units")
+        lines, whole = found.where("bands IS NOT NULL"), found.where("bands IS NULL AND `end` IS NOT NULL")
+        near = materialize(_near_seeds(docs, found.where("`end` IS NULL"), text_col), "substring_windows")
+        marked = _marked(whole, _firsts(whole)).unionByName(
+            _marked(lines, _near_paragraphs(docs, lines, text_col))
+        ).unionByName(_marked(near, _firsts(near)))
+        return keep(
+            marked.groupBy("_key").agg(F.collect_set(F.struct("start", "end", "first")).alias("_spans")),
+            "substring_spans",
+        )
+
+
 def cut(docs, min_run=MIN_RUN, text_col="text"):
     """The columns of ``docs`` with the text after cutting, and a struct column (its
     name is returned too) of spans cut, words cut and the ids that keep the passages.
@@ -460,17 +477,7 @@ def cut(docs, min_run=MIN_RUN, text_col="text"):
     sake; a null id comes after all others. Rows without a repeated passage, null and
     empty texts come out as they went in. White space around a cut stays.
     """
-    bands = tune()
-    found = materialize(units(docs, bands, text_col), "substring_units")
-    lines, whole = found.where("bands IS NOT NULL"), found.where("bands IS NULL AND `end` IS NOT NULL")
-    near = materialize(_near_seeds(docs, found.where("`end` IS NULL"), text_col), "substring_windows")
-    marked = _marked(whole, _firsts(whole)).unionByName(
-        _marked(lines, _near_paragraphs(docs, lines, text_col))
-    ).unionByName(_marked(near, _firsts(near)))
-    spans = materialize(
-        marked.groupBy("_key").agg(F.collect_set(F.struct("start", "end", "first")).alias("_spans")),
-        "substring_spans",
-    )
+    spans = _spans(docs, text_col)
     key, listed, result = (free_name(docs.columns, c) for c in ("_key", "_spans", "_cut"))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", text_col))
     bitmap = materialize(_bitmap(spans, "_key"), "substring_bitmap")

@@ -1,5 +1,6 @@
 """Session settings and the shared work folder."""
 
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -37,15 +38,46 @@ def work_path(spark, label):
     return "/".join([root, "stockyard", spark.sparkContext.applicationId, label, uuid.uuid4().hex])
 
 
+_open = threading.local()  # the paths that belong to the scratch blocks around a call
+
+
+@contextmanager
+def scratch(spark):
+    """What is materialized inside is deleted at the end, but for what the function that
+    the block gets has stored. No frame that reads the rest may be used after it."""
+    outer, paths = getattr(_open, "paths", None), []
+    _open.paths = paths
+
+    def keep(df, label):
+        _open.paths = outer
+        try:
+            return materialize(df, label)
+        finally:
+            _open.paths = paths
+
+    try:
+        yield keep
+    finally:
+        _open.paths = outer
+        for path in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def materialize(df: DataFrame, label):
     """Write ``df`` once and read it back.
 
     The stored files survive the loss of executors, cut the lineage, and give
     Catalyst a real size, which is what its broadcast threshold is checked against.
+    The shuffle files of the write go with its end, not when the driver next happens
+    to collect its garbage, so disk follows the largest step and not their sum.
     """
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,3 +100,9 @@ def unsorted_joins(spark):
     partitions turn out small enough, so wide rows on the other side are never sorted or
     spilled. Larger partitions are sorted as always."""
     return settings(spark, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold="64m")
+
+
+def small_batches(spark):
+    """Inside, Python workers get 2,500 rows at a time, not 10,000: of whole texts a batch is
+    held by the executor and by the worker at once."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2500")

@@ -1,6 +1,11 @@
 import datetime
+import os
+import time
 from types import SimpleNamespace
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from stockyard import session
 
 
@@ -97,3 +102,36 @@ def test_a_load_writes_its_rows_without_a_shuffle_of_their_own(spark, tmp_path,
     monkeypatch.setattr(type(spark.range(1)), "hint", lambda df, *a: (asked.append(a), hint(df, *a))[1])
     retail_star.store(spark, _base_tables(spark, tmp_path))
     assert asked == []
+
+
+def test_shuffle_files_go_when_their_rows_are_stored(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(blocks.getAllFiles().mkString("\n").split("\n"))
+    before = files()
+    stored = session.materialize(spark.range(10_000).groupBy((F.col("id") % 977).alias("k")).count(), "cleaned")
+    for _ in range(50):  # they are removed in the background
+        left = {f for f in files() - before if "shuffle_" in f}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and stored.count() == 977
+
+
+def test_scratch_keeps_only_what_it_is_told_to(spark):
+    listed = lambda frame: [os.path.exists(f.removeprefix("file:")) for f in frame.inputFiles()]
+    with session.scratch(spark) as outer:
+        before = session.materialize(spark.range(3), "a")
+        with session.scratch(spark) as keep:
+            gone = session.materialize(spark.range(4), "b")
+            kept = keep(gone.selectExpr("id + 1 AS id"), "c")
+        assert not any(listed(gone)) and all(listed(before)) and all(listed(kept))
+        last = outer(kept, "d")
+    assert not any(listed(before)) and not any(listed(kept)) and last.count() == 4
+
+
+def test_batches_of_texts_are_small(spark):
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32())], ["n"]) for b in batches)
+    with session.small_batches(spark):
+        found = session.materialize(spark.range(6_000).coalesce(1).mapInArrow(sizes, "n int"), "sizes")
+    assert found.agg(F.max("n")).first()[0] == 2_500
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
