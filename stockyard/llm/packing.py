@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stockyard.llm.common import ship_package, split_words, text_slices
-from stockyard.session import materialize
+from stockyard.session import materialize, small_batches
 
 LIMIT = 2048      # tokens in a sequence
 SEGMENTS = 64     # pieces in a sequence
@@ -220,7 +220,8 @@ def pack(items, limit=LIMIT, segments=SEGMENTS, loss_limit=LOSS, shard=SHARD):
     counts as 0.
     """
     ship_package(items.sparkSession)
-    items = materialize(items.withColumn("_row", F.monotonically_increasing_id()), "packing_items")
+    with small_batches(items.sparkSession):
+        items = materialize(items.withColumn("_row", F.monotonically_increasing_id()), "packing_items")
     rests = items.where(F.coalesce("length", F.lit(0)) < limit)
     shards = max(1, -(-rests.count() // shard))
     rests = rests.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
