@@ -1,5 +1,6 @@
 """Helpers shared by the operators of this subpackage."""
 
+import ctypes
 import os
 
 import numpy as np
@@ -20,6 +21,35 @@ def ship_package(spark):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (PACKAGE_ROOT, path) if x)
 
 
+remembered = {}  # what the tasks of one step leave in a worker for each other
+
+
+def give_back(keep):
+    """Freed memory goes from this process to the system; what other steps have left in it is
+    dropped, unless this step is the one to ``keep`` it."""
+    if not keep:
+        remembered.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def released(run, keep=False):
+    """``run`` for ``mapInArrow``, with memory given back before and after a partition. Workers
+    live on from step to step, so what each of them holds would add to what later steps need."""
+
+    def between(batches):
+        give_back(keep)
+        try:
+            yield from run(batches)
+        finally:
+            give_back(keep)
+
+    return between
+
+
 def text_slices(batches, column, budget=SLICE_BYTES):
     """Slices of the batches with about ``budget`` bytes of text, at least one row each.
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stockyard.llm.common import ship_package, split_words, text_slices
+from stockyard.llm.common import give_back, released, remembered, ship_package, split_words, text_slices
 from stockyard.session import materialize, small_batches
 
 LIMIT = 2048      # tokens in a sequence
@@ -30,7 +30,8 @@ SEGMENTS = 64     # pieces in a sequence
 LOSS = 2048       # tokens in a sequence that bear loss
 END_ID = 1        # id after each document
 SHARD = 20_000
-KNOWN_WORDS = 1_000_000  # encoded words that a worker remembers, about 200 MB
+KNOWN_WORDS = 1_000_000  # encoded words that a worker remembers, about 40 MB
+KNOWN_BYTES = 64 << 20   # of their texts
 SLICE = 4 << 20          # bytes of text that are encoded together
 
 
@@ -70,34 +71,45 @@ class WordEncoder:
         self._forget()
 
     def _forget(self):
-        self.known, self.flat, self.ends = {}, np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.known, self.flat, self.ends = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _numbers(self, words):
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
-        if new and len(self.known) + len(new) > KNOWN_WORDS:
+        words = words.cast(pa.large_string())
+        number = pc.index_in(words, value_set=self.known)
+        missing = pc.is_null(number)
+        new = words.filter(missing).unique()
+        if len(new) and (len(self.known) + len(new) > KNOWN_WORDS or self.known.nbytes + new.nbytes > KNOWN_BYTES):
             self._forget()
-            new = list(dict.fromkeys(words))
-        lists = []
+            new = words.unique()
+            missing = pc.is_valid(words)
+        if not len(new):
+            return number.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, lengths = [self.flat], []
         for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            lists += [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(lists), "<u4", int(lengths.sum())))
-            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(lengths))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            part = self.tokenizer.encode_batch_fast(new.slice(start, 10_000).to_pylist(), add_special_tokens=False)
+            lists = [x.ids for x in part]
+            lengths += map(len, lists)
+            flat.append(np.fromiter(chain.from_iterable(lists), "<u4"))
+        before = len(self.known)
+        self.known = pa.concat_arrays([self.known, new])
+        self.flat = np.concatenate(flat)
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(lengths, dtype=np.int64))
+        number = pc.fill_null(number, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = missing.to_numpy(zero_copy_only=False)
+        place = pc.index_in(words.filter(pa.array(missing)), value_set=new)
+        number[missing] = before + place.to_numpy(zero_copy_only=False)
+        return number
 
     def _ids(self, words):
         """(ids of the distinct words, one after another; first id of each and the end)."""
         if not self.parts:
-            number = self._numbers(words.to_pylist())
+            number = self._numbers(words)
             return _spread(self.flat, self.ends[number], self.ends[number + 1])
         split = pc.extract_regex(words, WORD_AND_MARKS)
         whole = pc.is_null(split)
         stems = pc.if_else(whole, words, pc.utf8_lower(pc.struct_field(split, "word"))).dictionary_encode()
         tails = pc.if_else(whole, "", pc.struct_field(split, "marks")).dictionary_encode()
-        number = self._numbers(stems.dictionary.to_pylist() + tails.dictionary.to_pylist())
+        number = self._numbers(pa.concat_arrays([stems.dictionary, tails.dictionary]))
         stem, tail = (x.indices.to_numpy(zero_copy_only=False) for x in (stems, tails))
         number = np.stack([number[stem], number[len(stems.dictionary) + tail]], 1).reshape(-1)
         flat, ends = _spread(self.flat, self.ends[number], self.ends[number + 1])
@@ -119,15 +131,12 @@ def _spread(flat, begin, end):
     return flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)], ends
 
 
-_encoders = {}  # of this process, by definition and option
-
-
 def encoder_of(definition, special_as_text=True):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already share the cores
-    key = definition, special_as_text
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(definition, special_as_text)
-    return _encoders[key]
+    key = "packing", definition, special_as_text
+    if key not in remembered:
+        remembered[key] = WordEncoder(definition, special_as_text)
+    return remembered[key]
 
 
 def pieces(docs, definition, limit=LIMIT, end_id=END_ID, special_as_text=True):
@@ -159,10 +168,11 @@ def pieces(docs, definition, limit=LIMIT, end_id=END_ID, special_as_text=True):
                  *[pa.array(x, pa.int64()) for x in (start, length, crc, total[doc], length - (start == 0))]],
                 names,
             )
+            give_back(keep=True)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "n_loss"]
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:])
+        released(run, keep=True), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:])
     )
 
 

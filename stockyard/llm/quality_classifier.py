@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stockyard.llm.common import (
-    mix, segment_sums, ship_package, sigmoid, split_words, subword_features, subword_sums, text_slices, word_hashes,
+    mix, released, segment_sums, ship_package, sigmoid, split_words, subword_features, subword_sums, text_slices,
+    word_hashes,
 )
 from stockyard.llm.labelled import calibrate, draw, held_out
 
@@ -187,7 +188,7 @@ def score(docs, model, id_col="doc_id", text_col="text"):
 
     return (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
+        .mapInArrow(released(run), f"_id {kind}, score double").withColumnRenamed("_id", id_col)
     )
 
 
@@ -217,4 +218,4 @@ def keep(docs, labels, threshold=THRESHOLD):
         for part in text_slices(batches, "text"):
             yield part.filter(pa.array(score_texts(model, part.column("text")) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from stockyard.llm.common import free_name, ship_package, text_slices
+from stockyard.llm.common import free_name, released, ship_package, text_slices
 from stockyard.llm.components import connected
 from stockyard.session import materialize
 
@@ -67,7 +67,7 @@ def with_fingerprint(docs, shingle=SHINGLE, text_col="text"):
             columns = [part.column(name) for name in part.schema.names if name != "_raw"]
             yield pa.RecordBatch.from_arrays([*columns, prints], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 class Tree:
@@ -210,7 +210,7 @@ def links(prints, max_bits=MAX_BITS, sample=SAMPLE, shard=SHARD):
         return pa.table({"a": child.view(np.int64), "b": parent.view(np.int64)})
 
     return (
-        prints.select("_fp").mapInArrow(deal, "_leaf long, _fp long")
+        prints.select("_fp").mapInArrow(released(deal), "_leaf long, _fp long")
         .groupBy("_leaf").applyInArrow(compare, "a long, b long")
     )
 

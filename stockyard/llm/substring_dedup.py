@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from stockyard.llm.common import (
-    SLICE_BYTES, free_name, mix, powers, ship_package, split_words, text_slices, word_hashes,
+    SLICE_BYTES, free_name, mix, powers, released, ship_package, split_words, text_slices, word_hashes,
 )
 from stockyard.llm.components import connected
 from stockyard.session import materialize, scratch, small_batches, unsorted_joins
@@ -224,7 +224,7 @@ def units(docs, bands, text_col="text"):
             ["_key", "_doc", "start", "end", "h", "bands"],
         )
 
-    return source.mapInArrow(run, shape)
+    return source.mapInArrow(released(run), shape)
 
 
 def _bitmap(wanted, column):
@@ -302,7 +302,7 @@ def _near_seeds(docs, chosen, text_col):
                 ["_key", "_doc", "start", "end", "h"],
             )
 
-    return keyed.join(places, "_key").mapInArrow(run, "_key long, _doc long, start int, `end` int, h long")
+    return keyed.join(places, "_key").mapInArrow(released(run), "_key long, _doc long, start int, `end` int, h long")
 
 
 def _verify(table):
@@ -380,7 +380,7 @@ def _near_paragraphs(docs, lines, text_col):
             packed = [np.unique(values[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(packed, pa.binary())], ["h", "shingles"])
 
-    payload = near.join(places, "_key").mapInArrow(shingles, "h long, shingles binary")
+    payload = near.join(places, "_key").mapInArrow(released(shingles), "h long, shingles binary")
     payload = payload.groupBy("h").agg(F.first("shingles").alias("shingles"))
     # a large bucket is dealt into parts, and every two parts meet in a block
     parts = F.ceil(F.col("n") * 2 / F.lit(BLOCK)).cast("int")
@@ -521,7 +521,7 @@ def cut(docs, min_run=MIN_RUN, text_col="text"):
             F.array().cast("array<bigint>").alias("kept_by"),
         )
     )
-    return untouched.unionByName(touched.mapInArrow(apply, schema)), result
+    return untouched.unionByName(touched.mapInArrow(released(apply), schema)), result
 
 
 def dedup(docs):

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stockyard.llm import packing
+from stockyard.llm import common, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -149,3 +149,32 @@ def test_a_tokenizer_that_keeps_case_or_marks_gets_whole_words():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         assert not packing.parts_words(file.read())
     assert not packing.parts_words('{"normalizer": null, "pre_tokenizer": null}')
+
+
+def test_remembered_words_take_little_memory_and_stay_within_bounds(definition, ids_of, monkeypatch):
+    import tracemalloc
+
+    encoder = packing.WordEncoder(definition)
+    texts = pa.array([" ".join(f"{i:x}q" for i in range(k, k + 5000)) for k in range(0, 100_000, 5000)])
+    tracemalloc.start()
+    try:
+        for i in range(len(texts)):
+            encoder.encode(texts.slice(i, 1))
+        held = tracemalloc.get_traced_memory()[0] + encoder.known.nbytes
+    finally:
+        tracemalloc.stop()
+    assert len(encoder.known) > 100_000 and held < 8_000_000
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 300)
+    for text in ["a few words", "other words " + "x" * 400, "a few words again", "words words"]:
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == ids_of(text)[:-1]
+        assert len(encoder.known) <= 8
+
+
+def test_steps_drop_what_another_has_left_in_a_worker(definition):
+    first = packing.encoder_of(definition)
+    assert list(common.released(iter, keep=True)([1, 2])) == [1, 2] and packing.encoder_of(definition) is first
+    assert list(common.released(iter)([1, 2])) == [1, 2] and packing.encoder_of(definition) is not first
+    with pytest.raises(ZeroDivisionError):
+        list(common.released(lambda batches: (1 // b for b in batches))([1, 0]))
+    common.remembered.clear()
